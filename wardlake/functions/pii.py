@@ -58,7 +58,13 @@ def _digit(number: Column, position: int) -> Column:
 
 
 def _weighted(number: Column, weights: list[int]) -> Column:
-    return sum((_digit(number, i) * w for i, w in enumerate(weights, start=1)), F.lit(0))
+    """Weighted sum of the leading digits."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(weights))),
+        F.lit(0),
+        lambda acc, i: acc
+        + (F.ascii(F.substring(number, i, F.lit(1))) - 48) * F.get(F.lit(weights), i - 1),
+    )
 
 
 def plausible_yymmdd(number: ColumnLike) -> Column:
@@ -141,98 +147,106 @@ def _label_if(label: str, test: Callable[[Column], Column]) -> Callable[[Column]
     return lambda text: F.when(test(text), label)
 
 
-def locate_matches(
-    text: Column,
-    pattern: str,
-    label_of: Callable[[Column], Column],
-    group: int = 0,
-) -> Column:
-    """All confirmed matches of one pattern, with their positions.
-
-    `label_of` returns NULL for a candidate that is not confirmed. Positions come
-    from the lengths of the gaps between matches, and are computed only for rows
-    that hold a confirmed match.
-    """
-    candidates = F.transform(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
+def candidates(text: Column, pattern: str, label_of: Callable[[Column], Column]) -> Column:
+    """Matches of one pattern as `struct<text, label>`; the label of a rejected one is NULL."""
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         lambda m: F.struct(m.alias("text"), label_of(m).alias("label")),
     )
 
-    def positions(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        widths = F.zip_with(
-            gaps,
-            found,
-            lambda g, m: F.struct(
-                utf16_length(g).alias("gap"),
-                utf16_length(m["text"]).alias("match"),
-                F.length(g).cast("bigint").alias("gap_chars"),
-                F.length(m["text"]).cast("bigint").alias("match_chars"),
-                # A quote escaped by a backslash does not open or close a string.
-                F.regexp_count(F.regexp_replace(g, r"(?s)\\.", ""), F.lit('"'))
-                .cast("bigint")
-                .alias("quotes"),
+
+def _locate(text: Column, pattern: Column, found: Column) -> Column:
+    """Positions of one pattern's confirmed matches, from the gaps between matches."""
+
+    def widths(gaps: Column) -> Column:
+        return F.array(
+            F.zip_with(gaps, found, lambda g, m: utf16_length(g) + utf16_length(m["text"])),
+            F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m["text"])).cast("bigint")),
+            # A quote escaped by a backslash does not open or close a string.
+            F.transform(
+                gaps,
+                lambda g: F.regexp_count(F.regexp_replace(g, r"(?s)\\.", ""), F.lit('"')).cast("bigint"),
             ),
         )
-        return let(widths, lambda w: place(found, w))
-
-    def place(found: Column, widths: Column) -> Column:
-        units = running_totals(F.transform(widths, lambda w: w["gap"] + w["match"]))
-        chars = running_totals(F.transform(widths, lambda w: w["gap_chars"] + w["match_chars"]))
-        quotes = running_totals(F.transform(widths, lambda w: w["quotes"]))
-        spots = F.arrays_zip(
-            found.alias("m"), widths.alias("w"), units.alias("u"), chars.alias("c"), quotes.alias("q")
+
+    def place(gaps: Column, arrays: Column) -> Column:
+        return let(
+            F.transform(arrays, running_totals),
+            lambda sums: F.transform(found, lambda m, i: span(m, i, F.get(gaps, i), arrays, sums)),
         )
-        spans = F.transform(
-            spots,
-            lambda s: F.struct(
-                (s["u"] + s["w"]["gap"]).alias("start"),
-                (s["u"] + s["w"]["gap"] + s["w"]["match"]).alias("end"),
-                s["m"]["label"].alias("label"),
-                s["m"]["text"].alias("text"),
-                F.lit(1).cast("bigint").alias("tier"),
-                (s["c"] + s["w"]["gap_chars"]).alias("char_start"),
-                ((s["q"] + s["w"]["quotes"]) % 2 == 1).alias("quoted"),
-            ),
+
+    def span(match: Column, i: Column, gap: Column, arrays: Column, sums: Column) -> Column:
+        def before(kind: int) -> Column:
+            return F.get(F.get(sums, F.lit(kind)), i)
+
+        def through(kind: int) -> Column:
+            return before(kind) + F.get(F.get(arrays, F.lit(kind)), i)
+
+        return F.struct(
+            (before(0) + utf16_length(gap)).alias("start"),
+            through(0).alias("end"),
+            match["label"].alias("label"),
+            match["text"].alias("text"),
+            F.lit(1).cast("bigint").alias("tier"),
+            (before(1) + F.length(gap)).alias("char_start"),
+            (through(2) % 2 == 1).alias("quoted"),
         )
-        return F.filter(spans, lambda s: s["label"].isNotNull())
 
-    located = let(
-        candidates,
-        lambda found: F.when(
-            F.exists(found, lambda m: m["label"].isNotNull()), positions(found)
-        ),
-    )
-    return F.coalesce(located, empty_array(LOCATED_TYPE))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    located = let(gaps, lambda g: let(widths(g), lambda arrays: place(g, arrays)))
+    return F.filter(located, lambda s: s["label"].isNotNull())
 
 
 def _with_label(spans: Column, label: str) -> Column:
     return F.filter(spans, lambda s: s["label"] == label)
 
 
+def _rejected(matches: Column) -> Column:
+    """Whether no candidate was confirmed."""
+    return F.forall(matches, lambda m: m["label"].isNull())
+
+
 def detect_located(text: ColumnLike) -> Column:
-    """Spans in detector order, with code-point start and quote state added."""
+    """Spans in detector order, with code-point start and quote state added.
+
+    Every pattern is matched once. Positions need a second pass over the text, so
+    they are computed only for patterns with a confirmed match.
+    """
     text = as_column(text)
+    detectors = [
+        # Both person numbers share one candidate pattern: scan it once.
+        (PERSON_NUMBER_PATTERN, _person_label),
+        (BUSINESS_NUMBER_PATTERN, _label_if("BUSINESS_REG_NO", lambda m: let(digits(m), is_brn))),
+        (CARD_PATTERN, _label_if("CREDIT_CARD", lambda m: let(digits(m), is_card))),
+        (EMAIL_PATTERN, lambda _: F.lit("EMAIL")),
+        (IP_PATTERN, _label_if("IP", is_ipv4)),
+        (PHONE_PATTERN, _label_if("PHONE", is_phone)),
+    ]
 
     def scan(t: Column) -> Column:
-        # Both person numbers share one candidate pattern: scan it once.
-        person = let(
-            locate_matches(t, PERSON_NUMBER_PATTERN, _person_label),
-            lambda s: F.concat(_with_label(s, "RRN"), _with_label(s, "FRN")),
-        )
-        email = F.when(
-            t.contains("@"), locate_matches(t, EMAIL_PATTERN, lambda _: F.lit("EMAIL"))
-        ).otherwise(empty_array(LOCATED_TYPE))
-        return F.concat(
-            person,
-            locate_matches(t, BUSINESS_NUMBER_PATTERN, _label_if("BUSINESS_REG_NO", lambda m: let(digits(m), is_brn))),
-            locate_matches(t, CARD_PATTERN, _label_if("CREDIT_CARD", lambda m: let(digits(m), is_card))),
-            email,
-            locate_matches(t, IP_PATTERN, _label_if("IP", is_ipv4)),
-            locate_matches(t, PHONE_PATTERN, _label_if("PHONE", is_phone)),
-        )
+        groups = []
+        for pattern, label_of in detectors:
+            found = candidates(t, pattern, label_of)
+            if pattern is EMAIL_PATTERN:
+                found = F.when(t.contains("@"), found).otherwise(
+                    empty_array("struct<text:string,label:string>")
+                )
+            groups.append(F.struct(F.lit(pattern).alias("pattern"), found.alias("found")))
+        confirmed = F.filter(F.array(*groups), lambda g: ~_rejected(g["found"]))
+        return F.flatten(F.transform(confirmed, lambda g: _locate(t, g["pattern"], g["found"])))
+
+    def in_detector_order(spans: Column) -> Column:
+        # Person numbers share a pattern but RRN is listed before FRN.
+        return F.when(
+            F.exists(spans, lambda s: s["label"] == "FRN"),
+            F.concat(
+                _with_label(spans, "RRN"),
+                F.filter(spans, lambda s: s["label"] != "RRN"),
+            ),
+        ).otherwise(spans)
 
-    return F.when(text.isNotNull(), let(text, scan)).otherwise(empty_array(LOCATED_TYPE))
+    found = let(let(text, scan), in_detector_order)
+    return F.when(text.isNotNull(), found).otherwise(empty_array(LOCATED_TYPE))
 
 
 def public_spans(located: Column) -> Column:

@@ -31,7 +31,7 @@ VENDOR_HINTS = {
     "ANTHROPIC_KEY": ["sk-ant-"],
     "OPENAI_KEY": ["sk-"],
     "AWS_ACCESS_KEY": ["AKIA", "ASIA"],
-    "GITHUB_TOKEN": ["gh", "github_pat_"],
+    "GITHUB_TOKEN": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"],
     "SLACK_TOKEN": ["xox"],
     "GOOGLE_API_KEY": ["AIza"],
 }
@@ -46,6 +46,9 @@ GENERIC_SHAPE = (
     r"|secret|token|password|passwd)[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_.=-]{16,})"
 )
 
+# What every generic secret contains; cheap to look for, since it starts at a rare character.
+ASSIGNED_VALUE_HINT = r"[:=]\s*[\"']?[A-Za-z0-9+/_.=-]{16}"
+
 # Markers of placeholder values.
 PLACEHOLDER_WORDS = [
     "example", "changeme", "placeholder", "sample", "dummy", "test", "your", "xxxx", "redacted",
@@ -104,8 +107,11 @@ def private_keys(text: ColumnLike) -> Column:
 
 def generic_secrets(text: ColumnLike) -> Column:
     """`array<string>` of keyword-anchored values; the keyword is not part of it."""
-    values = F.regexp_extract_all(as_column(text), F.lit(GENERIC_SHAPE), F.lit(1))
-    return F.filter(values, looks_random)
+    text = as_column(text)
+    values = F.regexp_extract_all(text, F.lit(GENERIC_SHAPE), F.lit(1))
+    return F.when(text.rlike(ASSIGNED_VALUE_HINT), F.filter(values, looks_random)).otherwise(
+        empty_array("string")
+    )
 
 
 def detect_secrets(text: ColumnLike) -> Column:
