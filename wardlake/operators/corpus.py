@@ -11,9 +11,7 @@ from wardlake.constants import DIFFICULTIES, EVAL_SOURCES, LANGUAGES, SPLITS, SU
 from wardlake.functions import synth
 from wardlake.functions.expressions import empty_array, utf16_length
 from wardlake.functions.pii import SPAN_TYPE
-from wardlake.schemas import EVAL_SCHEMA, LABEL_MAP_SCHEMA, LABEL_SCHEMA, META_TYPE
-
-_RECORD_COLUMNS = EVAL_SCHEMA.fieldNames()
+from wardlake.schemas import LABEL_MAP_SCHEMA, LABEL_SCHEMA, META_TYPE, RECORD_COLUMNS
 
 
 def split_of(i: Column) -> Column:
@@ -51,7 +49,7 @@ def positive_records(cells: DataFrame, seed: int) -> DataFrame:
             "spans": F.array(span).cast(f"array<{SPAN_TYPE}>"),
             "meta": meta.cast(META_TYPE),
         }
-    ).select(*_RECORD_COLUMNS)
+    ).select(*RECORD_COLUMNS)
 
 
 def positives(spark: SparkSession, per_cell: int = 35, seed: int = 42) -> DataFrame:
@@ -98,7 +96,7 @@ def negative_records(cells: DataFrame, seed: int) -> DataFrame:
             "spans": empty_array(SPAN_TYPE),
             "meta": meta.cast(META_TYPE),
         }
-    ).select(*_RECORD_COLUMNS)
+    ).select(*RECORD_COLUMNS)
 
 
 def negatives(spark: SparkSession, per_kind: int = 250, seed: int = 7) -> DataFrame:

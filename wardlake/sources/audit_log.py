@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardlake.schemas import AUDIT_SCHEMA
 
+# RFC 3339 with microseconds.
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 _CORRUPT = "_corrupt_record"
 
 
-def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _open(spark: SparkSession, path: str) -> DataFrame:
     """A JSON-lines table; a path that does not exist is an empty log."""
+    schema = f"{AUDIT_SCHEMA}, {_CORRUPT} string"
     try:
         return spark.read.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT).json(path)
     except AnalysisException as error:
@@ -24,14 +27,12 @@ def _open(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     """Events of a log; blank and malformed lines are skipped."""
-    schema = T.StructType([*AUDIT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    return _open(spark, path, schema).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    return _open(spark, path).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
 
 
 def read_rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     """Malformed lines of a log, for inspection."""
-    schema = T.StructType([*AUDIT_SCHEMA.fields, T.StructField(_CORRUPT, T.StringType())])
-    lines = _open(spark, path, schema)
+    lines = _open(spark, path)
     return lines.where(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"))
 
 
@@ -42,12 +43,15 @@ def stream_audit_log(spark: SparkSession, path: str) -> DataFrame:
 
 def append_audit_log(events: DataFrame, path: str) -> None:
     """Append events; absent fields are left out of the JSON."""
-    events.write.mode("append").option("ignoreNullFields", "true").json(path)
+    events.write.mode("append").option("ignoreNullFields", "true").option(
+        "timestampFormat", TIMESTAMP_FORMAT
+    ).json(path)
 
 
 def stream_to_audit_log(events: DataFrame, path: str, checkpoint: str):
     """Streaming sink of the same format."""
     return (
         events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint)
+        .option("timestampFormat", TIMESTAMP_FORMAT)
         .outputMode("append")
     )

@@ -6,11 +6,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardlake.operators.corpus import label_tables
 from wardlake.operators.policy import Policy
-from wardlake.schemas import EVAL_SCHEMA, KDPII_SCHEMA, REQUEST_SCHEMA, TRANSCRIPT_SCHEMA
+from wardlake.schemas import EVAL_SCHEMA, KDPII_SCHEMA, PAYLOAD_SCHEMA, REQUEST_SCHEMA, TRANSCRIPT_COLUMNS
 
 
 def read_policy(path: str) -> Policy:
@@ -54,14 +53,12 @@ def parse_transcripts(lines: DataFrame, value: str = "value") -> DataFrame:
 
     `tool_response` keeps its JSON text whatever its shape.
     """
-    fields = [f for f in TRANSCRIPT_SCHEMA.fields if f.name != "tool_response"]
-    schema = T.StructType([*fields, T.StructField("_corrupt", T.StringType())])
-    payload = F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    payload = F.from_json(value, f"{PAYLOAD_SCHEMA}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     parsed = lines.select(
         payload.alias("p"), F.to_json(F.try_variant_get(F.try_parse_json(value), "$.tool_response", "variant")).alias("r")
     )
     return parsed.where(F.col("p").isNotNull() & F.col("p._corrupt").isNull()).select(
-        *[F.col("r").alias("tool_response") if n == "tool_response" else F.col(f"p.{n}") for n in TRANSCRIPT_SCHEMA.names]
+        *[F.col("r").alias("tool_response") if n == "tool_response" else F.col(f"p.{n}") for n in TRANSCRIPT_COLUMNS]
     )
 
 
