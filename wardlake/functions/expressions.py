@@ -7,8 +7,9 @@ inside the JVM and never starts a Python worker.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -41,6 +42,15 @@ def keep_when(condition: Column, row: Column) -> Column:
     return F.when(condition, F.array(row))
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is evaluated exactly once.
+
+    A generator over a one-element array stays a plan node of its own, so the value
+    is not inlined into later projections and filters that mention it several times.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lowercase only A-Z, as a case rule for hosts and identifiers needs."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,8 +71,9 @@ def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
 
 
+@cache
 def empty_array(element_type: str) -> Column:
-    """A typed empty array."""
+    """A typed empty array; an unresolved expression, so one serves every plan."""
     return F.array().cast(f"array<{element_type}>")
 
 

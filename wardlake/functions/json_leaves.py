@@ -13,12 +13,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlake.constants import DEPTH_MARKER, JSON_DEPTH_LIMIT
 from wardlake.functions.expressions import ColumnLike, as_column, empty_array, let
 from wardlake.functions.masking import redact
 
-LEAVES_TYPE = "struct<texts:array<string>,cut:boolean>"
+LEAVES_TYPE = T.StructType(
+    [T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("cut", T.BooleanType())]
+)
 
 
 def _walk(value, on_text: Callable[[str], str], on_cut: Callable[[], None], depth: int = 0):
@@ -71,7 +74,7 @@ def string_leaves(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"texts": texts, "cut": cuts})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def replace_leaves(values: pd.Series, replacements: pd.Series) -> pd.Series:
     out = []
     for raw, texts in zip(values, replacements):

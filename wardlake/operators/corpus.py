@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardlake.constants import DIFFICULTIES, EVAL_SOURCES, LANGUAGES, SPLITS, SURFACES, TIERS, VERDICTS
 from wardlake.functions import synth
-from wardlake.functions.expressions import empty_array, utf16_length
+from wardlake.functions.expressions import computed, empty_array, utf16_length
 from wardlake.functions.pii import SPAN_TYPE
 from wardlake.schemas import LABEL_MAP_SCHEMA, LABEL_SCHEMA, META_TYPE, RECORD_COLUMNS
 
@@ -25,11 +25,11 @@ def positive_records(cells: DataFrame, seed: int) -> DataFrame:
     `cells` has `n` (record number), `i` (number within its group), `label`, `surface`
     and `first_draw`; every record is a function of its own row.
     """
-    most = max(synth.DRAWS.values())
-    valued = cells.withColumn("_draws", synth.draws(seed, F.col("first_draw"), most)).withColumn(
-        "_value", synth.value_of(F.col("label"), F.col("_draws"))
-    ).withColumn("text", synth.positive_text(F.col("surface"), F.col("label"), F.col("_value")))
-    start = utf16_length(F.substring_index("text", F.col("_value"), 1))
+    valued = computed(cells, "_draws", synth.draws(seed, F.col("first_draw"), max(synth.DRAWS.values())))
+    valued = computed(valued, "_value", synth.value_of(F.col("label"), F.col("_draws")))
+    valued = computed(valued, "text", synth.positive_text(F.col("surface"), F.col("label"), F.col("_value")))
+    before = F.instr("text", F.col("_value")) - 1
+    start = utf16_length(F.substring(F.col("text"), F.lit(1), before))
     span = F.struct(
         start.alias("start"),
         (start + utf16_length(F.col("_value"))).alias("end"),
@@ -81,9 +81,8 @@ def negative_records(cells: DataFrame, seed: int) -> DataFrame:
     """
     stream = synth.draws(seed, F.col("n").cast("bigint") * synth.NEGATIVE_DRAWS + 1, synth.NEGATIVE_DRAWS)
     surface = F.get(F.lit(SURFACES), (F.col("i") % len(SURFACES)).cast("int"))
-    valued = cells.withColumns({"_draws": stream, "surface": surface}).withColumn(
-        "_value", synth.negative_of(F.col("kind"), F.col("_draws"))
-    )
+    valued = computed(cells.withColumn("surface", surface), "_draws", stream)
+    valued = computed(valued, "_value", synth.negative_of(F.col("kind"), F.col("_draws")))
     meta = F.struct(
         split_of(F.col("i")).alias("split"), F.lit("hard").alias("difficulty"), F.col("kind").alias("domain")
     )

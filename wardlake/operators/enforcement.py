@@ -15,6 +15,7 @@ from wardlake.functions.bodies import (
     redaction_skip_reason,
     scan_bytes,
 )
+from wardlake.functions.expressions import computed
 from wardlake.functions.hosts import canonical_host, request_host
 from wardlake.functions.masking import redact_json_with_spans, redact_with_spans
 from wardlake.functions.pii import detect_located, public_spans, summarize_spans
@@ -102,7 +103,8 @@ def inspected(requests: DataFrame) -> DataFrame:
         inspectable_text(
             scan_bytes(F.col("body"), F.col("decoded"), F.col("decode_status"), F.col("scannable"))
         ),
-    ).withColumn("located", detect_located("scan_text"))
+    )
+    scanned = computed(scanned, "located", detect_located("scan_text"))
     http = F.struct(
         F.col("method"), F.col("domain").alias("host"), F.col("_path").alias("path"),
         F.col("_size").alias("body_size"),
@@ -182,7 +184,7 @@ def forwarded_bodies(inspected_requests: DataFrame, pads: Column) -> DataFrame:
     rewritten = F.when(
         F.col("is_json"), redact_json_with_spans(text, F.col("located"), pads)
     ).otherwise(redact_with_spans(text, F.col("located"), pads))
-    return staged.withColumn("redaction", F.when(F.col("skip_reason").isNull(), rewritten))
+    return computed(staged, "redaction", F.when(F.col("skip_reason").isNull(), rewritten))
 
 
 def visible_spans(inspected_requests: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.constants import MAX_RETAINED_BYTES, MAX_RETAINED_MAPPINGS
+from wardlake.functions.expressions import computed
 from wardlake.functions.masking import placeholders_in, restore_text
 
 
@@ -73,7 +74,7 @@ def restore(texts: DataFrame, mapping: DataFrame, id_column: str, text: str, sal
     Placeholders are extracted and looked up by an equi join, so neither side must fit
     in memory. Texts themselves are shuffled once, and only those with placeholders.
     """
-    found = texts.withColumn("_tokens", F.array_distinct(placeholders_in(text)))
+    found = computed(texts, "_tokens", F.array_distinct(placeholders_in(text)))
     tokens = found.select(id_column, F.col(salt_id).alias("salt_id"), F.explode(F.col("_tokens")).alias("placeholder"))
     known = (
         tokens.join(mapping.select("salt_id", "placeholder", "secret"), ["salt_id", "placeholder"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.functions.expressions import let
+from wardlake.functions.expressions import computed, let
 from wardlake.functions.masking import (
     all_labels,
     placeholder,
@@ -240,9 +240,9 @@ def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.lit("main").alias("salt_id"), redact("text", salt_pads(SALT)).alias("r")
-    ).select("doc_id", "salt_id", F.col("r.text").alias("text"), F.col("r.mapping").alias("mapping"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.lit("main").alias("salt_id"), "text")
+    masked = computed(documents, "r", redact("text", salt_pads(SALT)))
+    return masked.select("doc_id", "salt_id", F.col("r.text").alias("text"), F.col("r.mapping").alias("mapping"))
 
 
 def document_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
