@@ -115,7 +115,7 @@ def redact_leaves(leaves: ColumnLike, pads: Column) -> Column:
 def leaf_table():
     """The UDTF `json_string_leaves(json)` → `(path, text, depth)`."""
 
-    @F.udtf(returnType="path string, text string, depth int")
+    @F.udtf(returnType="path string, text string, depth int", useArrow=True)
     class JsonStringLeaves:
         def eval(self, value: str):
             parsed, ok = _parse(value)

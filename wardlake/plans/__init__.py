@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.plans import audit_queries, benchmark_queries, dlp_queries, policy_queries, streaming_queries  # noqa: F401
+from wardlake.plans import audit_queries, benchmark_queries, dlp_queries, policy_queries, sql_queries, streaming_queries  # noqa: F401
 from wardlake.plans.registry import ORACLES, QUERIES, Plan
 
 _PACKAGE_PARENT = str(Path(__file__).resolve().parents[2])

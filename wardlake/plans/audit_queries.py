@@ -148,10 +148,10 @@ def approval_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT id, approval_id FROM ({_PENDING}) WHERE approval_id = 100")
+@query(f"SELECT id, approval_id FROM ({_PENDING}) WHERE approval_id = 96")
 def approval_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pending hold by id."""
-    return find_pending(audit_events(spark, sf_dir), 100).select("id", "approval_id")
+    return find_pending(audit_events(spark, sf_dir), 96).select("id", "approval_id")
 
 
 @query(f"SELECT count(*) AS pending FROM ({_PENDING})")

@@ -6,8 +6,6 @@ and returns what was written.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from wardlake.operators.policy import Policy, Rule
 from wardlake.plans import checks
 from wardlake.plans.dlp_queries import document_mapping
 from wardlake.plans.registry import query
-from wardlake.plans.tables import AUDIT_SQL, SALT, audit_events, pick, table
+from wardlake.plans.tables import AUDIT_SQL, SALT, audit_rows, pick, table
 from wardlake.runtime import shared_dir, use_state_store
 from wardlake.streaming.chunks import recut, restore_to
 from wardlake.streaming.holds import hold_events
@@ -48,18 +46,10 @@ def to_parquet(stream: DataFrame, spark: SparkSession, purpose: str) -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
 
 
-def _as_stream(spark: SparkSession, sf_dir: str, adapter: Callable[[SparkSession, str], DataFrame], name: str) -> DataFrame:
-    """Apply a table adapter to the table's stream."""
-
-    class Streaming:
-        """Stands in for the session: `read.parquet` opens a stream."""
-
-        read = property(lambda self: self)
-
-        def parquet(self, path: str) -> DataFrame:
-            return stream_table(spark, sf_dir, name)
-
-    return adapter(Streaming(), sf_dir)
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit log as a stream, with the timestamps that watermarks need."""
+    events = audit_rows(stream_table(spark, sf_dir, "events"))
+    return events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
 
 
 _STREAM_POLICY = Policy(default="allow", rules=[Rule("high", "*", "pii.max_severity >= 3", "deny"), Rule("mail", "*", "array_contains(pii.types, 'EMAIL')", "pause")])
@@ -85,7 +75,7 @@ def stream_policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT date_trunc('minute', timestamp) AS window_start, decision, count(*) AS n FROM ({AUDIT_SQL}) GROUP BY ALL")
 def audit_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions per minute, kept up to date."""
-    events = _as_stream(spark, sf_dir, audit_events, "events").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    events = stream_audit(spark, sf_dir)
     path = shared_dir(spark, "rolling")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -104,7 +94,7 @@ def audit_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT log_id, id, timestamp FROM ({AUDIT_SQL})")
 def stream_audit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log read with repeated lines, each kept once."""
-    events = _as_stream(spark, sf_dir, audit_events, "events").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    events = stream_audit(spark, sf_dir)
     repeated = events.withColumn("copy", F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     kept = to_parquet(deduplicated(repeated).select("log_id", "id", "timestamp"), spark, "dedup")
     return kept.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
@@ -172,7 +162,7 @@ def hold_requests(events: DataFrame) -> DataFrame:
     ).where(F.col("kind") != "note")
 
 
-_HOLDS = """SELECT *, epoch_ms(ts) AS ms FROM (SELECT 'gw-' || ((event_id // 4) % 5) AS gateway, ts, event_id AS seq, event_id // 4 AS request_id,
+_HOLDS = """SELECT *, epoch_us(ts) // 1000 AS ms FROM (SELECT 'gw-' || ((event_id // 4) % 5) AS gateway, ts, event_id AS seq, event_id // 4 AS request_id,
   CASE WHEN event_id % 4 = 0 THEN 'pause' ELSE CASE CAST(floor(value * 100) AS BIGINT) % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'disconnect' ELSE 'note' END END AS kind FROM events) WHERE kind <> 'note'"""
 
 

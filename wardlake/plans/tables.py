@@ -210,6 +210,10 @@ def _event_case_sql(position: int) -> str:
 
 
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_rows(table(spark, sf_dir, "events"))
+
+
+def audit_rows(events: DataFrame) -> DataFrame:
     """Events as an audit log: a hold is four neighbouring events at most."""
     user = F.col("user_id")
     domain = F.when(
@@ -219,7 +223,7 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         domain.alias("domain"), F.lit(None).cast("string").alias("endpoint"),
         *[F.lit(None).alias(c) for c in ("http", "sql", "k8s", "pii")],
     ).cast(FACTS_TYPE)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("timestamp"),
         _event_case(0).alias("decision"),

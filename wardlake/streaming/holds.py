@@ -7,9 +7,9 @@ what follows. Gateways are independent, so they are the grouping key.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardlake.constants import HOLD_TIMEOUT_SECONDS, MAX_PENDING_HOLDS
@@ -58,8 +58,8 @@ class HoldRegistry(StatefulProcessor):
         stored = self._counters.get()
         next_id = stored[0] if stored else 1
         holds = self._load()
-        for row in sorted(rows, key=lambda r: (r.ts, r.seq)):
-            now = _epoch_ms(row.ts)
+        for row in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
+            now = row.at_ms
             # Time passes with the events, so batch boundaries do not matter.
             yield from self._expire(key, holds, now - 1)
             if row.kind == "pause":
@@ -85,12 +85,6 @@ class HoldRegistry(StatefulProcessor):
         pass
 
 
-def _epoch_ms(ts: datetime) -> int:
-    """Milliseconds of a timestamp; rows carry it in the worker's local time."""
-    aware = ts.astimezone(timezone.utc)
-    return int(aware.timestamp() * 1000)
-
-
 def hold_events(
     requests: DataFrame,
     max_pending: int = MAX_PENDING_HOLDS,
@@ -100,6 +94,7 @@ def hold_events(
     """Audit events of holds from a stream of pauses and resolutions."""
     return (
         requests.withWatermark("ts", lateness)
+        .withColumn("at_ms", F.unix_millis("ts"))
         .groupBy("gateway")
         .transformWithState(
             statefulProcessor=HoldRegistry(max_pending, timeout_seconds),
