@@ -11,12 +11,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardlake.constants import DEPTH_MARKER, JSON_DEPTH_LIMIT
-from wardlake.functions.expressions import ColumnLike, as_column, empty_array, let
+from wardlake.functions.expressions import ColumnLike, as_column, computed, empty_array, let
 from wardlake.functions.masking import redact
 
 LEAVES_TYPE = T.StructType(
@@ -112,6 +112,25 @@ def redact_leaves(leaves: ColumnLike, pads: Column) -> Column:
     )
 
 
+def redact_json_column(df: DataFrame, column: str, pads: Column) -> DataFrame:
+    """Mask the string leaves of a JSON text column; keys stay as they are.
+
+    Adds `redacted_json` and `json_mapping`, both NULL where nothing changed or the
+    text is no JSON.
+    """
+    leaves = df.withColumn("_leaves", string_leaves(column))
+    # The masked leaves must be a column of their own before Python reads them.
+    masked = computed(leaves, "_masked", redact_leaves("_leaves", pads))
+    changed = F.coalesce(F.col("_masked.changed"), F.lit(False))
+    rebuilt = masked.withColumn("_rebuilt", replace_leaves(column, F.when(changed, F.col("_masked.texts"))))
+    return rebuilt.withColumns(
+        {
+            "redacted_json": F.when(changed, F.col("_rebuilt")),
+            "json_mapping": F.when(changed, F.col("_masked.mapping")),
+        }
+    ).drop("_leaves", "_masked", "_rebuilt")
+
+
 def leaf_table():
     """The UDTF `json_string_leaves(json)` → `(path, text, depth)`."""
 

@@ -203,15 +203,14 @@ def inventory(records: DataFrame) -> DataFrame:
 def span_violations(records: DataFrame, labels: DataFrame) -> DataFrame:
     """`(id, start, end, reason)` of spans that break the record contract.
 
-    Texts are compared but never shown. Spans travel as a checksum-sized piece of
-    their text, not with the whole document.
+    Texts are compared but never shown.
     """
     length = utf16_length(F.col("text"))
     spans = records.select(
         "id", length.alias("_units"), "text", F.explode("spans").alias("s")
     ).select(
         "id", "s.start", "s.end", "s.label", "s.tier", "_units",
-        (F.col("s.text") == utf16_slice(F.col("text"), F.col("s.start"), F.col("s.end"))).alias("_same"),
+        slice_equals(F.col("text"), F.col("s.start"), F.col("s.end"), F.col("s.text")).alias("_same"),
     )
     known = F.broadcast(labels.select(F.col("key").alias("label"), F.col("tier").alias("_tier")))
     reason = (
@@ -225,11 +224,13 @@ def span_violations(records: DataFrame, labels: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("id", "start", "end", "reason")
 
 
-def utf16_slice(text: Column, start: Column, end: Column) -> Column:
-    """Substring by UTF-16 offsets; NULL when an offset splits a character."""
-    encoded = F.encode(text, "UTF-16BE")
-    piece = F.substring(encoded, (start * 2 + 1).cast("int"), ((end - start) * 2).cast("int"))
-    return F.when((start >= 0) & (end >= start), F.decode(piece, "UTF-16BE"))
+def slice_equals(text: Column, start: Column, end: Column, expected: Column) -> Column:
+    """Whether the text between two UTF-16 offsets is `expected`.
+
+    Compared as encoded bytes, so offsets inside a character simply do not match.
+    """
+    piece = F.substring(F.encode(text, "UTF-16BE"), (start * 2 + 1).cast("int"), ((end - start) * 2).cast("int"))
+    return F.coalesce((start >= 0) & (end >= start) & (piece == F.encode(expected, "UTF-16BE")), F.lit(False))
 
 
 def record_violations(records: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.constants import BLOCKING_SEVERITY, FILE_TOOLS, OUTPUT_TOOLS
-from wardlake.functions.expressions import computed, let
-from wardlake.functions.json_leaves import redact_leaves, replace_leaves, string_leaves
+from wardlake.functions.expressions import let
+from wardlake.functions.json_leaves import redact_json_column
 from wardlake.functions.masking import session_pads
 from wardlake.functions.paths import is_sensitive_path
 from wardlake.functions.pii import detect_spans, severity_of
@@ -69,16 +69,8 @@ def redact_tool_output(transcripts: DataFrame, pads: Column) -> DataFrame:
     """
     eligible = (F.col("hook_event_name") == "PostToolUse") & F.col("tool_name").isin(OUTPUT_TOOLS)
     staged = transcripts.withColumn("_raw", F.when(eligible, F.col("tool_response")))
-    staged = staged.withColumn("_leaves", string_leaves("_raw"))
-    staged = computed(staged, "_redacted", redact_leaves("_leaves", pads))
-    changed = F.coalesce(F.col("_redacted.changed"), F.lit(False))
-    staged = staged.withColumn("_rebuilt", replace_leaves("_raw", F.when(changed, F.col("_redacted.texts"))))
-    return staged.withColumns(
-        {
-            "updated_output": F.when(changed, F.col("_rebuilt")),
-            "mapping": F.when(changed, F.col("_redacted.mapping")),
-        }
-    ).drop("_raw", "_leaves", "_redacted", "_rebuilt")
+    masked = redact_json_column(staged, "_raw", pads).drop("_raw")
+    return masked.withColumnsRenamed({"redacted_json": "updated_output", "json_mapping": "mapping"})
 
 
 def session_context(flag: str | None = None, environment: str | None = None) -> Column:

@@ -26,14 +26,15 @@ def _open(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events of a log; blank and malformed lines are skipped."""
-    return _open(spark, path).where(F.col(_CORRUPT).isNull()).drop(_CORRUPT)
+    """Events of a log; blank and malformed lines are skipped, and so are empty objects."""
+    is_event = F.coalesce(F.col("id").cast("string"), F.col("timestamp").cast("string"), F.col("decision")).isNotNull()
+    return _open(spark, path).where(F.col(_CORRUPT).isNull() & is_event).drop(_CORRUPT)
 
 
 def read_rejected_lines(spark: SparkSession, path: str) -> DataFrame:
     """Malformed lines of a log, for inspection."""
-    lines = _open(spark, path)
-    return lines.where(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"))
+    # The reader needs a data column next to the text; the id is useful for a cut line.
+    return _open(spark, path).where(F.col(_CORRUPT).isNotNull()).select(F.col(_CORRUPT).alias("line"), "id")
 
 
 def stream_audit_log(spark: SparkSession, path: str) -> DataFrame:
