@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.constants import (
@@ -13,6 +13,7 @@ from wardlake.constants import (
     DEFAULT_AUDIT_LIMIT,
     LIVE_AUDIT_LIMIT,
 )
+from wardlake.operators.sizing import top_per_group
 from wardlake.operators.timeline import row_numbers
 
 
@@ -97,9 +98,8 @@ def overview(events: DataFrame, pending: DataFrame) -> DataFrame:
         F.count_if(decision.isin("denied", "rejected")).alias("denied"),
         F.count("*").alias("events"),
     )
-    held = pending.agg(F.count("*").alias("pending"))
-    # Two one-row tables side by side.
-    return held.join(totals, F.lit(True)).select("pending", "allowed", "denied", "events")
+    held = pending.agg(F.count("*"))
+    return totals.select(held.scalar().alias("pending"), "allowed", "denied", "events")
 
 
 def number_events(
@@ -112,13 +112,12 @@ def number_events(
 def ring(events: DataFrame, log: Sequence[str] = (), capacity: int = AUDIT_RING_CAPACITY) -> DataFrame:
     """The newest `capacity` events of each log.
 
-    The rank limit is applied in every input partition before the shuffle, so a log
-    sends at most `capacity` rows from each.
+    A log is cut down in hashed parts before its final ranking, so a very large log
+    does not pass through one task.
     """
     if not log:
         return events.orderBy(F.col("id").desc()).limit(capacity)
-    w = Window.partitionBy(*log).orderBy(F.col("id").desc())
-    return events.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= capacity).drop("_rank")
+    return top_per_group(events, log, [F.col("id").desc()], capacity, ["id"], "_rank").drop("_rank")
 
 
 def events_held(events: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from wardlake.constants import DIFFICULTIES, EVAL_SOURCES, LANGUAGES, SPLITS, SU
 from wardlake.functions import synth
 from wardlake.functions.expressions import computed, empty_array, utf16_length
 from wardlake.functions.pii import SPAN_TYPE
+from wardlake.operators.sizing import small_side
 from wardlake.schemas import LABEL_MAP_SCHEMA, LABEL_SCHEMA, META_TYPE, RECORD_COLUMNS
 
 
@@ -58,11 +59,16 @@ def positives(spark: SparkSession, per_cell: int = 35, seed: int = 42) -> DataFr
     for order, (label, used) in enumerate(synth.DRAWS.items()):
         labels.append((order, label, used, first))
         first += used * per_cell * len(SURFACES)
-    label_dim = spark.createDataFrame(labels, "label_no int, label string, used int, base bigint")
-    surface_dim = spark.createDataFrame(list(enumerate(SURFACES)), "surface_no int, surface string")
-    # Two fixed dimensions of six rows each; the range carries the size.
-    grid = spark.range(per_cell).withColumnRenamed("id", "i").join(F.broadcast(label_dim), F.lit(True)).join(
-        F.broadcast(surface_dim), F.lit(True)
+    # Six labels and six surfaces per number; the range carries the size.
+    label_cells = [
+        F.struct(*[F.lit(v).alias(k) for k, v in zip(("label_no", "label", "used", "base"), row)]) for row in labels
+    ]
+    surface_cells = [F.struct(F.lit(n).alias("surface_no"), F.lit(s).alias("surface")) for n, s in enumerate(SURFACES)]
+    grid = (
+        spark.range(per_cell)
+        .select(F.col("id").alias("i"), F.explode(F.array(*label_cells)).alias("l"))
+        .select("i", "l.*", F.explode(F.array(*surface_cells)).alias("s"))
+        .select("*", "s.*")
     )
     within = F.col("surface_no") * per_cell + F.col("i")
     cells = grid.withColumns(
@@ -100,8 +106,8 @@ def negative_records(cells: DataFrame, seed: int) -> DataFrame:
 
 def negatives(spark: SparkSession, per_kind: int = 250, seed: int = 7) -> DataFrame:
     """The standard hard-negative set."""
-    kinds = spark.createDataFrame(list(enumerate(synth.NEGATIVES)), "kind_no int, kind string")
-    cells = spark.range(per_kind).withColumnRenamed("id", "i").join(F.broadcast(kinds), F.lit(True))
+    kinds = F.array(*[F.struct(F.lit(n).alias("kind_no"), F.lit(k).alias("kind")) for n, k in enumerate(synth.NEGATIVES)])
+    cells = spark.range(per_kind).select(F.col("id").alias("i"), F.explode(kinds).alias("k")).select("i", "k.*")
     return negative_records(cells.withColumn("n", F.col("kind_no") * per_kind + F.col("i")), seed)
 
 
@@ -138,10 +144,10 @@ def label_tables(spark: SparkSession, labels: Mapping[str, Mapping]) -> tuple[Da
 def map_labels(codes: DataFrame, label_map: DataFrame, source: str) -> DataFrame:
     """Add the canonical `key` of each source `code`, NULL when unmapped.
 
-    The label configuration has a few dozen rows, so it is broadcast.
+    The label configuration has a few dozen rows; it is broadcast if that holds.
     """
     known = label_map.where(F.col("source") == source).select("code", "key")
-    return codes.join(F.broadcast(known), "code", "left")
+    return codes.join(small_side(known), "code", "left")
 
 
 def normalize_kdpii(raw: DataFrame, labels: DataFrame, label_map: DataFrame, split: str) -> DataFrame:
@@ -152,16 +158,14 @@ def normalize_kdpii(raw: DataFrame, labels: DataFrame, label_map: DataFrame, spl
     """
     if split not in ("test", "valid"):
         raise ValueError(f"unsupported corpus split: {split!r}")
-    known = (
+    codes = (
         label_map.where(F.col("source") == "kdpii")
-        .join(F.broadcast(labels.select("key", "tier")), "key")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("code", F.struct("key", F.col("tier").cast("bigint").alias("tier"))))
-            ).alias("_known")
-        )
+        .join(labels.select("key", "tier"), "key")
+        .select("code", F.struct("key", F.col("tier").cast("bigint").alias("tier")).alias("label"))
     )
-    joined = raw.join(F.broadcast(known), F.lit(True), "left")
+    # Configuration of a few dozen codes; the map is a scalar of the query.
+    known = codes.agg(F.map_from_entries(F.collect_list(F.struct("code", "label"))))
+    joined = raw.withColumn("_known", known.scalar())
     source_spans = F.coalesce(F.col("PII_set"), F.array().cast(raw.schema["PII_set"].dataType))
     mapped = F.filter(source_spans, lambda p: F.map_contains_key("_known", p["label"]))
     span = lambda p: F.struct(
@@ -212,7 +216,7 @@ def span_violations(records: DataFrame, labels: DataFrame) -> DataFrame:
         "id", "s.start", "s.end", "s.label", "s.tier", "_units",
         slice_equals(F.col("text"), F.col("s.start"), F.col("s.end"), F.col("s.text")).alias("_same"),
     )
-    known = F.broadcast(labels.select(F.col("key").alias("label"), F.col("tier").alias("_tier")))
+    known = small_side(labels.select(F.col("key").alias("label"), F.col("tier").alias("_tier")))
     reason = (
         F.when(~((F.col("start") >= 0) & (F.col("end") > F.col("start"))), "offsets")
         .when(F.col("end") > F.col("_units"), "past_end")

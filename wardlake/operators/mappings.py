@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from wardlake.constants import MAX_RETAINED_BYTES, MAX_RETAINED_MAPPINGS
 from wardlake.functions.expressions import computed
 from wardlake.functions.masking import placeholders_in, restore_text
+from wardlake.operators.sizing import top_per_group
 
 
 def mapping_rows(redactions: DataFrame, mapping: str, seq: str, salt_id: str) -> DataFrame:
@@ -53,8 +54,9 @@ def retained(
     """
     if max_entries <= 0 or max_bytes <= 0:
         raise ValueError("a mapping store must be able to hold something")
-    newest = Window.partitionBy(*store).orderBy(F.col("last_seq").desc(), F.col("placeholder"))
-    ranked = merge(mapping).withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= max_entries)
+    order = [F.col("last_seq").desc(), F.col("placeholder")]
+    ranked = top_per_group(merge(mapping), store, order, max_entries, ["placeholder"], "_rank")
+    newest = Window.partitionBy(*store).orderBy(*order)
     total = F.sum(F.octet_length("secret")).over(newest.rowsBetween(Window.unboundedPreceding, 0))
     # Bytes only grow along the run, so the kept rows are a prefix.
     return ranked.withColumn("_bytes", total).where(F.col("_bytes") <= max_bytes).drop("_rank", "_bytes")

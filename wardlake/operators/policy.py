@@ -18,11 +18,9 @@ from pyspark.sql import functions as F
 from wardlake.constants import VERDICTS
 from wardlake.functions.expressions import ascii_lower, empty_array
 from wardlake.functions.hosts import domain_suffixes, in_domain_list
+from wardlake.operators.sizing import small_side
 from wardlake.schemas import EGRESS_SCHEMA, FACT_COLUMNS, PII_TYPE, RULE_SCHEMA
 
-# Pattern lists up to this many rows are broadcast; a row is one short domain.
-BROADCAST_PATTERN_LIMIT = 200_000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -211,10 +209,7 @@ def host_verdicts(hosts: DataFrame, egress: DataFrame, default: str = "deny") ->
     that holds a large share of the traffic costs one row here. The pattern side is
     broadcast only while its counted size is small.
     """
-    patterns = pattern_table(egress)
-    # limit() stops counting just above the bound.
-    if egress.limit(BROADCAST_PATTERN_LIMIT + 1).count() <= BROADCAST_PATTERN_LIMIT:
-        patterns = F.broadcast(patterns)
+    patterns = small_side(pattern_table(egress))
     keys = hosts.select("host").where(F.col("host").isNotNull()).distinct().select(
         "host", F.posexplode(domain_suffixes("host")).alias("depth", "suffix")
     )

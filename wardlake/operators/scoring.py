@@ -15,6 +15,7 @@ from wardlake.constants import (
 )
 from wardlake.functions.expressions import empty_array
 from wardlake.functions.pii import SPAN_TYPE, detect_spans
+from wardlake.operators.sizing import small_side
 
 
 def forms_overlap(a: Column, b: Column) -> Column:
@@ -132,7 +133,7 @@ def best_first(scores: DataFrame) -> DataFrame:
 def breakdown(gold: DataFrame, predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores per tier, per surface, per label, and in total."""
     counts = document_counts(gold, predicted, extra=("surface",))
-    tiers = F.broadcast(labels.select(F.col("key").alias("label"), "tier"))
+    tiers = small_side(labels.select(F.col("key").alias("label"), "tier"))
     joined = counts.join(tiers, "label", "left")
     grouped = joined.groupingSets(
         [[F.col("tier")], [F.col("surface")], [F.col("label")], []],
@@ -143,9 +144,9 @@ def breakdown(gold: DataFrame, predicted: DataFrame, labels: DataFrame) -> DataF
 
 def false_positive_rate(counts: DataFrame, records: DataFrame) -> DataFrame:
     """Share of negative documents with a false positive."""
-    documents = records.agg(F.count("*").alias("docs"))
-    flagged = counts.where(F.col("fp") > 0).agg(F.count_distinct("id").alias("flagged"))
-    return documents.join(flagged, F.lit(True)).withColumn("rate", _ratio(F.col("flagged"), F.col("docs")))
+    flagged = counts.where(F.col("fp") > 0).agg(F.count_distinct("id"))
+    totals = records.agg(F.count("*").alias("docs")).select("docs", flagged.scalar().alias("flagged"))
+    return totals.withColumn("rate", _ratio(F.col("flagged"), F.col("docs")))
 
 
 def gated_scores(spark: SparkSession, scores: DataFrame) -> DataFrame:

@@ -51,10 +51,8 @@ def record_batch(
         F.count("*").alias("entries"),
         F.coalesce(F.sum(F.octet_length("secret")), F.lit(0)).alias("bytes"),
     )
-    before = offered.agg(F.count("*").alias("offered"))
-    kept.join(before, F.lit(True)).select(
-        "entries", "bytes", (F.col("offered") - F.col("entries")).alias("evicted")
-    ).write.mode("overwrite").parquet(f"{path}/metrics/version={version}")
+    before = offered.agg(F.count("*"))
+    kept.select("entries", "bytes", (before.scalar() - F.col("entries")).alias("evicted")).write.mode("overwrite").parquet(f"{path}/metrics/version={version}")
 
 
 def store_to(mappings: DataFrame, path: str, checkpoint: str, **caps: int):
