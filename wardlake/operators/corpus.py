@@ -20,6 +20,12 @@ def split_of(i: Column) -> Column:
     return F.when(i % 5 == 0, "dev").otherwise("test")
 
 
+def record_number(n: Column) -> Column:
+    """A number with at least five digits; longer ones are kept whole."""
+    digits = n.cast("string")
+    return F.lpad(digits, F.greatest(F.length(digits), F.lit(5)), F.lit("0"))
+
+
 def positive_records(cells: DataFrame, seed: int) -> DataFrame:
     """Records with one embedded value each.
 
@@ -44,7 +50,7 @@ def positive_records(cells: DataFrame, seed: int) -> DataFrame:
     )
     return valued.withColumns(
         {
-            "id": F.concat(F.lit("synthetic-"), F.lpad(F.col("n").cast("string"), 5, "0")),
+            "id": F.concat(F.lit("synthetic-"), record_number(F.col("n"))),
             "source": F.lit("synthetic"),
             "lang": F.lit("ko"),
             "spans": F.array(span).cast(f"array<{SPAN_TYPE}>"),
@@ -94,7 +100,7 @@ def negative_records(cells: DataFrame, seed: int) -> DataFrame:
     )
     return valued.withColumns(
         {
-            "id": F.concat(F.lit("hard-negative-"), F.lpad(F.col("n").cast("string"), 5, "0")),
+            "id": F.concat(F.lit("hard-negative-"), record_number(F.col("n"))),
             "source": F.lit("hard-negative"),
             "lang": F.lit("ko"),
             "text": synth.negative_text(F.col("surface"), F.col("_value")),
@@ -180,7 +186,7 @@ def normalize_kdpii(raw: DataFrame, labels: DataFrame, label_map: DataFrame, spl
         F.lit(None).cast("string").alias("difficulty"), F.lit("chat").alias("domain"),
     )
     return joined.select(
-        F.concat(F.lit(f"kdpii-{split}-"), F.lpad("sent_idx", 5, "0")).alias("id"),
+        F.concat(F.lit(f"kdpii-{split}-"), record_number(F.col("sent_idx"))).alias("id"),
         F.lit("kdpii").alias("source"),
         F.lit("prose").alias("surface"),
         F.lit("ko").alias("lang"),

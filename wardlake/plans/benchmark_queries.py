@@ -15,7 +15,7 @@ from wardlake.operators import corpus, scoring
 from wardlake.operators.corpus import label_tables
 from wardlake.plans import checks
 from wardlake.plans.registry import query
-from wardlake.plans.tables import pick, pick_sql, table
+from wardlake.plans.tables import pick, pick_sql, table, text_table
 from wardlake.schemas import META_TYPE
 
 _SEED = 42
@@ -26,7 +26,7 @@ _STRIDE = 16
 def order_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One positive record per order: label and surface follow from the key."""
     key = F.col("o_orderkey")
-    cells = table(spark, sf_dir, "orders").select(
+    cells = text_table(spark, sf_dir, "orders").select(
         key.alias("n"),
         F.floor(key / 36).alias("i"),
         pick(_LABELS, key % 6).alias("label"),
@@ -39,7 +39,7 @@ def order_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CELLS_SQL = f"""SELECT o_orderkey AS n, {pick_sql(_LABELS, 'o_orderkey % 6')} AS label, {pick_sql(SURFACES, '(o_orderkey // 6) % 6')} AS surface,
   {checks.draws(_SEED, f'o_orderkey * {_STRIDE} + 1', 14)} AS u, o_orderkey // 36 AS i FROM orders"""
 _VALUES_SQL = f"SELECT *, {checks.synthetic_value('label', 'u')} AS value FROM ({_CELLS_SQL})"
-_POSITIVES_SQL = f"""SELECT n, 'synthetic-' || CASE WHEN length(CAST(n AS VARCHAR)) > 5 THEN substr(CAST(n AS VARCHAR), 1, 5) ELSE lpad(CAST(n AS VARCHAR), 5, '0') END AS id,
+_POSITIVES_SQL = f"""SELECT n, 'synthetic-' || lpad(CAST(n AS VARCHAR), greatest(length(CAST(n AS VARCHAR)), 5)::INT, '0') AS id,
   label, surface, value, i, {checks.positive_text('surface', 'label', 'value')} AS text FROM ({_VALUES_SQL})"""
 
 
@@ -57,13 +57,13 @@ def synth_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT o_orderkey, CAST(u AS BIGINT) AS draw FROM (SELECT o_orderkey, {checks.draw(7, 'o_orderkey * 3 + 1')} AS u FROM orders)")
 def synth_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded generator's stream."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", synth.draw(7, F.col("o_orderkey") * 3 + 1).alias("draw"))
+    return text_table(spark, sf_dir, "orders").select("o_orderkey", synth.draw(7, F.col("o_orderkey") * 3 + 1).alias("draw"))
 
 
 def part_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hard negative per part."""
     key = F.col("p_partkey")
-    cells = table(spark, sf_dir, "part").select(
+    cells = text_table(spark, sf_dir, "part").select(
         key.alias("n"), F.floor(key / 8).alias("i"), pick(list(synth.NEGATIVES), key % 8).alias("kind")
     )
     return corpus.negative_records(cells, 7)
@@ -333,7 +333,7 @@ _TIER_CASE = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _TIERS.
 
 
 @query(
-    f"""SELECT 'kdpii-valid-' || CASE WHEN k > 99999 THEN substr(CAST(k AS VARCHAR), 1, 5) ELSE lpad(CAST(k AS VARCHAR), 5, '0') END AS id, 'dev' AS split, label, CAST({_TIER_CASE} AS BIGINT) AS tier,
+    f"""SELECT 'kdpii-valid-' || lpad(CAST(k AS VARCHAR), greatest(length(CAST(k AS VARCHAR)), 5)::INT, '0') AS id, 'dev' AS split, label, CAST({_TIER_CASE} AS BIGINT) AS tier,
   CAST(i * 3 AS BIGINT) AS start, CAST(i * 3 + 2 AS BIGINT) AS "end", substr(text, i * 3 + 1, 2) AS text FROM ({_MARKS_SQL}) WHERE label IS NOT NULL"""
 )
 def corpus_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -376,7 +376,7 @@ def scan_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     Each run scans the whole table. The clock is on the driver, so a run's time is
     that of the whole job on all of its cores.
     """
-    scan = table(spark, sf_dir, "documents").agg(F.count("*"), F.sum(F.size(detect_spans("text"))))
+    scan = text_table(spark, sf_dir, "documents").agg(F.count("*"), F.sum(F.size(detect_spans("text"))))
     runs = []
     for _ in range(3):
         start = time.perf_counter()

@@ -59,6 +59,7 @@ from wardlake.plans.tables import (
     pick,
     pick_sql,
     table,
+    text_table,
 )
 
 
@@ -410,7 +411,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as captured requests."""
     key = F.col("doc_id")
     headers = F.create_map(F.lit("host"), F.lit("Upload.Example.com:8080"), F.lit("content-type"), F.lit("text/plain"))
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents").select(
         "doc_id",
         F.lit(None).cast("timestamp").alias("ts"),
         pick(["POST", "PUT", "POST"], key % 3).alias("method"),

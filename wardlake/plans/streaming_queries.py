@@ -31,6 +31,11 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+def spread_stream(stream: DataFrame) -> DataFrame:
+    """The same for a stream: its micro-batches hold one small file here."""
+    return stream.repartition(2 * stream.sparkSession.sparkContext.defaultParallelism)
+
+
 def finish(writer) -> None:
     """Run a stream over all available input and wait for it."""
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -62,7 +67,7 @@ _DOC_SPANS = checks.spans("SELECT doc_id AS key, text FROM documents")
 )
 def stream_policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live verdicts over a request stream."""
-    requests = stream_table(spark, sf_dir, "documents").select(
+    requests = spread_stream(stream_table(spark, sf_dir, "documents")).select(
         F.lit(None).cast("timestamp").alias("ts"), F.lit("POST").alias("method"),
         F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("uri"),
         F.create_map(F.lit("host"), F.lit("api.test")).alias("headers"),
@@ -130,8 +135,10 @@ def stream_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _restored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     use_state_store(spark)
     path = shared_dir(spark, "chunks")
-    chunks = _chunked(stream_table(spark, sf_dir, "documents"))
-    mapping = merge(document_mapping(spark, sf_dir))
+    chunks = _chunked(spread_stream(stream_table(spark, sf_dir, "documents")))
+    # A live job reads the mapping from its store; here it is written first.
+    merge(document_mapping(spark, sf_dir)).write.parquet(f"{path}/mapping")
+    mapping = spark.read.parquet(f"{path}/mapping")
     finish(restore_to(chunks, mapping, "main", f"{path}/data", f"{path}/checkpoint"))
     # A document's chunks together are the document: bounded by its own size.
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: F.hex(x["chunk"]))
@@ -142,7 +149,7 @@ def _restored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_binary_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams that turn binary pass through: every chunk arrives, in order and unchanged."""
     use_state_store(spark)
-    source = _chunked(stream_table(spark, sf_dir, "documents")).where(F.col("stream_id").cast("bigint") % 10 == 9)
+    source = _chunked(spread_stream(stream_table(spark, sf_dir, "documents"))).where(F.col("stream_id").cast("bigint") % 10 == 9)
     out = to_parquet(recut(source), spark, "binary")
     pieces = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: F.hex(x["chunk"]))
     sent = _chunked(table(spark, sf_dir, "documents")).groupBy("stream_id").agg(F.array_join(pieces("chunk"), "").alias("sent"))
@@ -199,7 +206,7 @@ _CAPS = {"max_entries": 30, "max_bytes": 500}
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
     path = shared_dir(spark, "store")
-    masked = stream_table(spark, sf_dir, "documents").select(
+    masked = spread_stream(stream_table(spark, sf_dir, "documents")).select(
         "doc_id", F.lit("main").alias("salt_id"), redact("text", salt_pads(SALT))["mapping"].alias("mapping")
     )
     finish(store_to(mapping_rows(masked, "mapping", "doc_id", "salt_id"), path, f"{path}/checkpoint", **_CAPS))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,6 +23,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/wardlake/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input with few splits.
+
+    Scanning text costs far more than moving it, and a small table or one with a huge
+    row group would be scanned by a handful of tasks. An input with enough splits, as
+    any large table has, is left alone.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def use_state_store(spark: SparkSession) -> None:
     """Select the state store that stateful processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)

@@ -60,11 +60,13 @@ class ChunkRecutter(StatefulProcessor):
         next_seq, carry, is_text = stored if stored else (0, b"", True)
         carry = bytes(carry)
         early: dict[int, tuple[bytes, bool]] = {}
+        # Asking the state costs a round trip, so ask only when something was put there.
+        self._spilled = self._early.exists()
 
         def waiting(seq: int):
             if seq in early:
                 return early.pop(seq)
-            if self._early.exists() and self._early.containsKey((seq,)):
+            if self._spilled and self._early.containsKey((seq,)):
                 chunk, is_last = self._early.getValue((seq,))
                 self._early.removeKey((seq,))
                 return bytes(chunk), is_last
@@ -92,6 +94,7 @@ class ChunkRecutter(StatefulProcessor):
     def _keep(self, early: dict[int, tuple[bytes, bool]]) -> None:
         for seq, entry in early.items():
             self._early.updateValue((seq,), entry)
+            self._spilled = True
         early.clear()
 
     def close(self) -> None:
@@ -122,9 +125,16 @@ def restored_chunks(safe_chunks: DataFrame, mapping: DataFrame, salt_id: str) ->
 
 
 def restore_to(chunks: DataFrame, mapping: DataFrame, salt_id: str, path: str, checkpoint: str):
-    """Streaming sink of restored chunks: one folder per batch, rewritten on a retry."""
+    """Streaming sink of restored chunks: one folder per batch, rewritten on a retry.
+
+    The re-cut chunks are written before they are restored, because restoring reads
+    them twice and the stateful step must run once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        restored_chunks(batch, mapping, salt_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        staged = f"{path}-staged/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(staged)
+        safe = batch.sparkSession.read.schema(batch.schema).parquet(staged)
+        restored_chunks(safe, mapping, salt_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return recut(chunks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -31,14 +31,26 @@ class HoldRegistry(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._open = handle.getMapState("open", "request_id bigint", "approval_id bigint, deadline bigint")
-        self._counters = handle.getValueState("counters", "next_id bigint")
+        # The cap bounds the open holds, so they are read and written as one value.
+        self._state = handle.getValueState(
+            "holds", "next_id bigint, requests array<bigint>, approvals array<bigint>, deadlines array<bigint>"
+        )
 
-    def _load(self) -> dict[int, tuple[int, int]]:
-        """Open holds; the cap bounds how many there are."""
-        if not self._open.exists():
-            return {}
-        return {k[0]: (v[0], v[1]) for k, v in self._open.iterator()}
+    def _load(self) -> tuple[int, dict[int, tuple[int, int]]]:
+        """The next approval id, and open holds as request → (approval id, deadline)."""
+        stored = self._state.get()
+        if not stored:
+            return 1, {}
+        next_id, requests, approvals, deadlines = stored
+        return next_id, dict(zip(requests, zip(approvals, deadlines)))
+
+    def _save(self, next_id: int, holds: dict[int, tuple[int, int]]) -> None:
+        approvals = [a for a, _ in holds.values()]
+        deadlines = [d for _, d in holds.values()]
+        self._state.update((next_id, list(holds), approvals, deadlines))
+        if deadlines:
+            # The earliest deadline wakes the gateway, and sets the next timer then.
+            self._handle.registerTimer(min(deadlines))
 
     @staticmethod
     def _event(key, at_ms: int, request_id: int, decision: str, cause: str, approval_id: int | None) -> Row:
@@ -51,13 +63,10 @@ class HoldRegistry(StatefulProcessor):
         due = sorted((d, a, r) for r, (a, d) in holds.items() if d <= now_ms)
         for deadline, approval_id, request_id in due:
             del holds[request_id]
-            self._open.removeKey((request_id,))
             yield self._event(key, deadline, request_id, "rejected", "timeout", approval_id)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stored = self._counters.get()
-        next_id = stored[0] if stored else 1
-        holds = self._load()
+        next_id, holds = self._load()
         for row in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
             now = row.at_ms
             # Time passes with the events, so batch boundaries do not matter.
@@ -66,20 +75,18 @@ class HoldRegistry(StatefulProcessor):
                 if len(holds) >= self._max_pending:
                     yield self._event(key, now, row.request_id, "rejected", "full", None)
                     continue
-                deadline = now + self._timeout_ms
-                holds[row.request_id] = (next_id, deadline)
-                self._open.updateValue((row.request_id,), (next_id, deadline))
-                self._handle.registerTimer(deadline)
+                holds[row.request_id] = (next_id, now + self._timeout_ms)
                 yield self._event(key, now, row.request_id, "paused", "hold", next_id)
                 next_id += 1
             elif row.request_id in holds:
-                approval_id, deadline = holds.pop(row.request_id)
-                self._open.removeKey((row.request_id,))
+                approval_id, _ = holds.pop(row.request_id)
                 yield self._event(key, now, row.request_id, _DECISIONS[row.kind], row.kind, approval_id)
-        self._counters.update((next_id,))
+        self._save(next_id, holds)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._expire(key, self._load(), expiredTimerInfo.getExpiryTimeInMs())
+        next_id, holds = self._load()
+        yield from self._expire(key, holds, expiredTimerInfo.getExpiryTimeInMs())
+        self._save(next_id, holds)
 
     def close(self) -> None:
         pass

@@ -45,7 +45,10 @@ def record_batch(
 ) -> None:
     """Merge one batch of mapping rows and evict what exceeds the caps."""
     spark = batch.sparkSession
-    offered = merge(read_store(spark, path, version - 1), batch.select(*MAPPING_COLUMNS))
+    # The batch is read twice below: write it once instead of minting it again.
+    batch.select(*MAPPING_COLUMNS).write.mode("overwrite").parquet(f"{path}/offered/version={version}")
+    new = spark.read.schema(MAPPING_SCHEMA).parquet(f"{path}/offered/version={version}")
+    offered = merge(read_store(spark, path, version - 1), new)
     retained(offered, max_entries, max_bytes).write.mode("overwrite").parquet(f"{path}/store/version={version}")
     kept = read_store(spark, path, version).agg(
         F.count("*").alias("entries"),
