@@ -2,30 +2,14 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
-from functools import wraps
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-
-from wardlake.plans import audit_queries, benchmark_queries, dlp_queries, policy_queries, sql_queries, streaming_queries  # noqa: F401
-from wardlake.plans.registry import ORACLES, QUERIES, Plan
-
-_PACKAGE_PARENT = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> None:
-    """Make the package importable in Python workers started from now on."""
-    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if _PACKAGE_PARENT not in paths:
-        os.environ["PYTHONPATH"] = os.pathsep.join([_PACKAGE_PARENT, *filter(None, paths)])
-
-
-def runnable(plan: Plan) -> Callable[[SparkSession, str], DataFrame]:
-    @wraps(plan)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        prepare(spark)
-        return plan(spark, sf_dir)
-
-    return run
+from wardlake.plans import (  # noqa: F401
+    audit_queries,
+    benchmark_queries,
+    dlp_queries,
+    policy_queries,
+    sql_queries,
+    streaming_queries,
+)
+from wardlake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
