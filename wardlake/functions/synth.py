@@ -24,8 +24,8 @@ Draw = Callable[[int], Column]
 # Draws that one value of each kind takes.
 DRAWS = {"RRN": 9, "CREDIT_CARD": 14, "PHONE": 8, "EMAIL": 5, "ACCOUNT": 14, "IP": 4}
 
-# E-mail name and domain stems.
-EMAIL_NAMES = ["minsu", "jiwoo", "haeun", "noir", "lamingo", "serena"]
+# E-mail name and domain stems; invented, six and four of them.
+EMAIL_NAMES = ["minsu", "jiwoo", "haeun", "dohyun", "yuna", "sora"]
 EMAIL_DOMAINS = ["gmail.com", "naver.com", "kakao.com", "daum.net"]
 
 

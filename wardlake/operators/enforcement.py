@@ -46,11 +46,12 @@ def facts_struct() -> Column:
 
 def host_facts(requests: DataFrame, host: Column) -> DataFrame:
     """Facts of the connection gate: only the host is known."""
+    known = computed(requests, "domain", host)
     http = F.struct(
-        F.lit("").alias("method"), host.alias("host"), F.lit("").alias("path"),
+        F.lit("").alias("method"), F.col("domain").alias("host"), F.lit("").alias("path"),
         F.lit(0).cast("bigint").alias("body_size"),
     )
-    return requests.withColumns({"domain": host, "http": http})
+    return known.withColumn("http", http)
 
 
 def host_gate(requests: DataFrame, policy: Policy, host: Column) -> DataFrame:
