@@ -43,19 +43,13 @@ _CACHE_ENTRIES = 400_000
 
 
 class TokenCounter:
-    """Counts tokens in one process; the tokenizer is built at first use.
-
-    A worker keeps the broadcast instance between tasks, and with it the cache.
-    """
+    """Counts tokens in one process; the tokenizer is built at first use."""
 
     def __init__(self, definition: str, table: dict[str, int] | None = None) -> None:
         self.definition = definition
         self.table = table or {}
         self._ready = False
 
-    def __getstate__(self) -> dict:
-        return {"definition": self.definition, "table": self.table, "_ready": False}
-
     def _prepare(self) -> None:
         import regex
         from tokenizers import Tokenizer
@@ -130,9 +124,7 @@ def frequent_lengths(docs: DataFrame, definition: str, text: str = "text") -> di
     total = docs.count()
     if not total:
         return {}
-    share = min(1.0, SAMPLE_ROWS / total)
-    bound = int(share * (1 << 53))
-    sample = docs.select(text).where(F.shiftrightunsigned(F.xxhash64(text), 11) < bound).limit(2 * SAMPLE_ROWS)
+    sample = docs.select(text).sample(min(1.0, SAMPLE_ROWS / total), seed=1)
     counter = TokenCounter(definition)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +152,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     """Add n_bytes, n_tokens and over_limit (more than `limit` tokens) to every row."""
     definition = definition_of(tokenizer_path)
     shared = docs.sparkSession.sparkContext.broadcast(
-        TokenCounter(definition, frequent_lengths(docs, definition, text))
+        {"definition": definition, "table": frequent_lengths(docs, definition, text)}
     )
     added = {"n_bytes", "n_tokens", "over_limit"}
     kept = [c for c in docs.columns if c.lower() not in added or c == text]
@@ -170,7 +162,11 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = shared.value.count
+        # A worker keeps the broadcast value between tasks, and with it the cache.
+        held = shared.value
+        if "counter" not in held:
+            held["counter"] = TokenCounter(held["definition"], held["table"])
+        count = held["counter"].count
         for batch in batches:
             column = batch.column(kept.index(text))
             sizes = pa.array([count(v.as_py()) for v in column], pa.int64())
