@@ -32,7 +32,7 @@ WINDOW = 3
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Standard deviations that the vector's components are never taken below.
-FLOORS = (0.06, 0.05, 0.10, 0.10)
+FLOORS = (0.06, 0.05, 0.20, 0.20)
 P = len(FLOORS)
 # Share of the rows that the determinant is minimised over.
 CORE = 0.75
@@ -40,7 +40,7 @@ STEPS = 4
 # Groups with fewer rows share one estimate.
 LEAST_ROWS = 50
 # Squared distance beyond which a row is rejected.
-LIMIT = 64.0
+LIMIT = 30.0
 
 
 def _repeated_words(found: Column) -> Column:
