@@ -163,8 +163,9 @@ def nearest(
         return spark.createDataFrame([], result)
     total, dims = common["n"], common["dims"]
     sound = sound.where(F.size("v") == dims)
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    largest = sound.agg(F.max(squared)).first()[0]
+    # Distances are taken in units of the largest component, so that squares stay finite.
+    unit = sound.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
+    largest = sound.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(x / unit, 2.0)))).first()[0]
     share = int(min(1.0, SAMPLE_ROWS / total) * (1 << 53))
     drawn = sound.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) < F.lit(share)).select("v").limit(2 * SAMPLE_ROWS)
     sample = _matrix(drawn.toArrow()["v"])
@@ -172,10 +173,12 @@ def nearest(
         sample = _matrix(sound.select("v").limit(1).toArrow()["v"])
 
     def lifted(x: np.ndarray) -> np.ndarray:
+        x = x / unit
         rest = np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
         return np.concatenate([x, rest[:, None]], axis=1)
 
     def as_query(x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(1, keepdims=True)
         x = x * (np.sqrt(largest) / np.sqrt((x * x).sum(1)))[:, None]
         return np.concatenate([x, np.zeros((len(x), 1))], axis=1)
 
@@ -269,22 +272,30 @@ def best_pairs(query_id, q, vec_id, x, k: int) -> list[np.ndarray]:
     start = np.flatnonzero(changed)
     rank = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
     vec_id, x = vec_id[rank <= k], x[rank <= k]
+    # Only the best row of an id counts: look past as many rows as ids repeat.
+    norm = np.linalg.norm(x, axis=1).max()
+    deep = k + len(vec_id) - len(np.unique(vec_id))
     parts = []
     for at in range(0, len(q), 256):
         ids, some = query_id[at : at + 256], q[at : at + 256]
         rough = some @ x.T
         rough[ids[:, None] == vec_id[None]] = -np.inf
-        if len(x) > k:
-            least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k]
+        if len(x) > deep:
+            least = np.partition(rough, len(x) - deep, axis=1)[:, len(x) - deep]
         else:
             least = np.full(len(some), -np.inf)
-        slack = 1e-9 * np.sqrt((some * some).sum(1) * (x * x).sum(1).max())
+        slack = 1e-9 * np.linalg.norm(some, axis=1) * norm
+        slack[~np.isfinite(slack)] = np.inf
         i, j = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
         score = np.zeros(len(i))
         for dim in range(x.shape[1]):
             score += some[i, dim] * x[j, dim]
         chosen = np.lexsort((vec_id[j], -score, i))
         i, j, score = i[chosen], j[chosen], score[chosen]
+        seen = np.lexsort((np.arange(len(i)), vec_id[j], i))
+        again = np.r_[False, (np.diff(i[seen]) == 0) & (np.diff(vec_id[j[seen]]) == 0)]
+        best = np.sort(seen[~again[: len(seen)]])
+        i, j, score = i[best], j[best], score[best]
         first = np.searchsorted(i, np.arange(len(some)))
         kept = np.arange(len(i)) - first[i] < k
         parts.append((ids[i[kept]], vec_id[j[kept]], score[kept]))

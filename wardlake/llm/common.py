@@ -18,13 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and cut its lineage there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
-    The folder is the session's. Only a single-machine session without one (tests) gets
-    a temporary folder; a cluster without one is an error.
+    Only a single-machine session without one (tests) gets a temporary folder; a cluster
+    without one is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         base = context.getConf().get("spark.checkpoint.dir")
         if not base:
@@ -34,9 +34,23 @@ def durable(df: DataFrame) -> DataFrame:
 
             base = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(base)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def joinable(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A written frame of one narrow row per group: broadcast while it is small.
+
+    A larger one is joined by shuffle as any other.
+    """
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none for a null, empty or blank text."""
     inner = F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -55,15 +69,6 @@ def unit_random(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that the frame does not use yet (names clash without regard to case)."""
-    taken, name, n = {c.lower() for c in df.columns}, stem, 0
-    while name.lower() in taken:
-        n += 1
-        name = f"{stem}_{n}"
-    return name
-
-
 def rows(part: float, size: int) -> int:
     """How many parts of a given size hold so many rows; at least one."""
     return max(1, -(-int(part) // size))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.functions.expressions import let
-from wardlake.llm.common import durable, unit_random, word_count
+from wardlake.llm.common import durable, joinable, unit_random, word_count
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
@@ -29,8 +29,6 @@ MOST_COPIES = 3
 FAN_IN = 64
 # A fraction this close to a whole number is one.
 _EPSILON = 1e-9
-# With more sources than this their targets are joined by shuffle instead of broadcast.
-_BROADCAST_SOURCES = 100_000
 
 _UNIT = "struct<doc_id:bigint,size:bigint,weight:double,x:double>"
 _DONE = "array<struct<doc_id:bigint,size:bigint,extra:int>>"
@@ -116,10 +114,9 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MO
     docs = durable(docs)
     per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
     targets = durable(source_targets(per_source, weights, most))
-    n_sources, most_docs = targets.agg(F.count("*"), F.coalesce(F.max("documents"), F.lit(0))).first()
-    few = F.broadcast(targets) if n_sources <= _BROADCAST_SOURCES else targets
+    most_docs = targets.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = docs.alias("d").join(few.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
+    rated = docs.alias("d").join(joinable(targets).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
         "doc_id", "d.source", "size", "source_size", "target", "documents", rate.alias("rate"), F.floor(rate + _EPSILON).alias("base")
     )
     groups = F.ceil(F.col("documents") / FAN_IN)
@@ -159,10 +156,10 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MO
     )
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size) of every row; size is the number of words."""
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *more: str) -> DataFrame:
+    """(doc_id, source, size) of every row, and more columns; size is the number of words."""
     return docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *more
     )
 
 
@@ -171,3 +168,12 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
     return copies(sized(docs, **columns)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """Every row as often as the mix takes it, all columns as they were."""
+    key = sized(docs.select(doc_id, text, source, F.struct("*").alias("__row")), doc_id, text, source, "__row")
+    plan = copies(key.drop("__row"), **options).groupBy("doc_id", "source", "size").agg(F.first("copies").alias("copies"))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "source", "size")]
+    taken = key.alias("k").join(plan.where("copies > 0").alias("p"), same[0] & same[1] & same[2])
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

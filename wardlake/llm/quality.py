@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions.expressions import computed, let
-from wardlake.llm.common import SPACE, durable, words
+from wardlake.llm.common import SPACE, durable, joinable, words
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -198,32 +198,51 @@ def _grouped(df: DataFrame, language: str, source: str) -> DataFrame:
     return df.withColumn("grp", F.xxhash64(*parts))
 
 
-def judge(stats: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Add base_failed, d2 and kept to rows that have STATS, n_lines, lang and source."""
+def _sound_vectors(stats: DataFrame) -> DataFrame:
+    """Add the group key, base_failed and the vector x_i."""
     keyed = _grouped(stats, "lang", "source").withColumn("base_failed", base_failed())
     for i, x in enumerate(_vector(F.col)):
         keyed = keyed.withColumn(f"x_{i}", x)
-    sound = keyed.where(~F.col("base_failed")).select("grp", *(f"x_{i}" for i in range(P)))
+    return keyed
+
+
+def fit_groups(stats: DataFrame) -> DataFrame:
+    """The estimate that holds for each group key; small groups share the one of key 0."""
+    sound = _sound_vectors(stats).where(~F.col("base_failed")).select("grp", *(f"x_{i}" for i in range(P)))
     sizes = sound.groupBy("grp").agg(F.count("*").alias("n"))
     groups = durable(sizes.select("grp", F.when(F.col("n") >= LEAST_ROWS, F.col("grp")).otherwise(F.lit(0)).alias("own")))
-    # A small group's rows go to the pool 0; the rest keep their key.
-    model = fit(durable(sound.join(groups, "grp").select(F.col("own").alias("grp"), *(f"x_{i}" for i in range(P)))))
-    per_group = groups.join(model.withColumnRenamed("grp", "own"), "own").drop("own")
-    judged = keyed.join(per_group, "grp", "left").withColumn("d2", _distance([F.col(f"x_{i}") for i in range(P)]))
+    model = fit(durable(sound.join(joinable(groups), "grp").select(F.col("own").alias("grp"), *(f"x_{i}" for i in range(P)))))
+    return durable(groups.join(model.withColumnRenamed("grp", "own"), "own").drop("own"))
+
+
+def judge(stats: DataFrame, model: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """Add base_failed, d2 and kept to rows that have STATS, n_lines, lang and source."""
+    judged = _sound_vectors(stats).join(joinable(model), "grp", "left").withColumn("d2", _distance([F.col(f"x_{i}") for i in range(P)]))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= limit)).drop(
         "grp", *(f"x_{i}" for i in range(P)), *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in _PAIRS)
     )
 
 
-def statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
-    """doc_id, lang, source and the statistics of every row."""
+def _measured(docs: DataFrame, carried: Column, text: str, language: str, source: str) -> DataFrame:
+    """`carried`, lang, source and the statistics of every row."""
     named = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(language).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text")
+        carried, F.col(language).alias("lang"), F.col(source).alias("source"), F.col(text).cast("string").alias("text")
     )
-    return computed(named, "s", text_statistics(F.col("text"))).select("doc_id", "lang", "source", "s.*")
+    return computed(named, "s", text_statistics(F.col("text"))).drop("text").select("*", "s.*").drop("s")
 
 
-def quality(docs: DataFrame, limit: float = LIMIT, **columns: str) -> DataFrame:
+def quality(docs: DataFrame, limit: float = LIMIT, doc_id: str = "doc_id", text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
     """doc_id, STATS, base_failed, kept and the squared distance of every row."""
-    judged = judge(durable(statistics(docs, **columns)), limit)
-    return judged.select("doc_id", *STATS, "base_failed", "kept", "d2")
+    stats = durable(_measured(docs, F.col(doc_id).alias("doc_id"), text, language, source))
+    return judge(stats, fit_groups(stats), limit).select("doc_id", *STATS, "base_failed", "kept", "d2")
+
+
+def keep_sound(docs: DataFrame, limit: float = LIMIT, text: str = "text", language: str = "lang", source: str = "source") -> DataFrame:
+    """The rows that pass, all columns as they were.
+
+    Texts are measured once for the estimates and once more for the decision, so that they
+    need not be shuffled.
+    """
+    model = fit_groups(durable(_measured(docs, F.lit(0).alias("row"), text, language, source)))
+    whole = _measured(docs, F.struct("*").alias("row"), text, language, source)
+    return judge(whole, model, limit).where("kept").select("row.*")

@@ -55,7 +55,7 @@ _CANONICAL = r"""CASE WHEN contains({url}, '://') THEN
   || regexp_replace(regexp_replace(regexp_extract({url}, '://[^/?#]*([^?#]*)', 1), '(/index)?\.html$', ''), '/+$', '')
   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(
        string_split(regexp_extract({url}, '^[^#]*?://[^?#]*\?([^#]*)', 1), '&'),
-       p -> p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|msclkid|sessionid|sid)(=|$)'))), '&'), ''), '')
+       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|msclkid|sessionid|sid)(=|$)'))), '&'), ''), '')
 END"""
 
 _URL_SQL = f"""
@@ -183,3 +183,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_id", "url", "ts", "outcome", "refers_to", F.when(F.col("headers").isNotNull(), F.array_join(lines, "\n")).alias("headers"),
         F.md5("body").alias("body_md5"),
     )
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import durable
@@ -60,16 +60,14 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(ones * 2 > count, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row, fp as the bit pattern of a bigint."""
+def fingerprint_of(text: Column) -> Column:
+    """SimHash of a text column, as the bit pattern of a bigint."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = np.array([fingerprint(v.as_py()) for v in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+    @F.arrow_udf("bigint")
+    def hashed(column: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(v.as_py()) for v in column], np.uint64).view(np.int64))
 
-    sent = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return sent.mapInArrow(hashed, "doc_id long, fp long")
+    return hashed(text.cast("string"))
 
 
 def _signed(value: int) -> int:
@@ -238,19 +236,41 @@ def trie_links(distinct: DataFrame, bits: int = MAX_DIFFERENT_BITS, most: int =
     )
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_DIFFERENT_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row."""
-    hashed = durable(fingerprints(docs, doc_id, text))
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_DIFFERENT_BITS) -> DataFrame:
+    """(doc_id, fp, group, component_id) for every row; group is the smallest fp reachable."""
+    hashed = durable(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), fingerprint_of(F.col(text)).alias("fp")))
     distinct = durable(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    links = trie_links(distinct.select("fp"), bits)
-    labels = components(durable(links))
-    known = (
-        distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    labels = components(durable(trie_links(distinct.select("fp"), bits)))
+    known = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_id", F.coalesce("component", "fp").alias("group")
     )
-    smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    # Lone fingerprints and copies need no more than their own smallest id.
-    moved = known.join(smallest, "component").select("fp", "component_id")
-    return hashed.join(moved, "fp").select(
+    smallest = known.groupBy("group").agg(F.min("first_id").alias("component_id"))
+    return hashed.join(known.join(smallest, "group").select("fp", "group", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_DIFFERENT_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row."""
+    return groups(docs, doc_id, text, bits).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = MAX_DIFFERENT_BITS) -> DataFrame:
+    """One row of each group, all columns as they were.
+
+    It is the row with the smallest id (a null id only where there is no other), then the
+    smallest fingerprint, then the smallest text.
+    """
+    member = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "fp")
+    stays = groups(docs, doc_id, text, bits).groupBy("group").agg(F.min(member).alias("m"))
+    key = ["lost", "id", "fp"]
+    stays = stays.select(F.col("m.lost").alias("lost"), F.coalesce("m.doc_id", F.lit(0)).alias("id"), F.col("m.fp").alias("fp"))
+    number = F.col(doc_id).cast("bigint")
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.col(text).alias("text"), number.isNull().alias("lost"),
+        F.coalesce(number, F.lit(0)).alias("id"), fingerprint_of(F.col(text)).alias("fp"),
+    )
+    # The window shares the join's partitioning.
+    order = Window.partitionBy(*key).orderBy(F.col("text").isNull(), "text")
+    kept = keyed.join(stays, key, "left_semi").withColumn("nth", F.row_number().over(order))
+    return kept.where("nth = 1").select("row.*")
