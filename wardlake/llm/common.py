@@ -43,12 +43,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def joinable(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
-    """A written frame of one narrow row per group: broadcast while it is small.
+def is_small(df: DataFrame, most_rows: int = 100_000) -> bool:
+    """Whether a written frame of narrow rows may be broadcast."""
+    return df.count() <= most_rows
 
-    A larger one is joined by shuffle as any other.
-    """
-    return F.broadcast(df) if df.count() <= most_rows else df
+
+def joinable(df: DataFrame) -> DataFrame:
+    """A written frame of one narrow row per group: broadcast if small, else joined by shuffle."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def words(text: Column) -> Column:

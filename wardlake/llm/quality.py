@@ -19,12 +19,13 @@ Repeated rows count as often as they occur. An empty table gives an empty result
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions.expressions import computed, let
-from wardlake.llm.common import SPACE, durable, joinable, words
+from wardlake.llm.common import SPACE, durable, is_small, joinable, words
 
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
@@ -165,11 +166,14 @@ def _moments(rows: DataFrame, factor: float) -> DataFrame:
     return found.select("grp", *(f"m_{i}" for i in range(P)), *(floored(i, j) for i, j in _PAIRS))
 
 
-def fit(rows: DataFrame) -> DataFrame:
-    """Centre and inverse Cholesky factor per group, of rows with grp and x_i."""
+def fit(rows: DataFrame, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Centre and inverse Cholesky factor per group, of rows with grp and x_i.
+
+    `small` marks tables of one row per group for their joins with the rows.
+    """
     ranks = [F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in range(P)]
     middle = rows.groupBy("grp").agg(*ranks)
-    spread = rows.join(middle, "grp").groupBy("grp").agg(
+    spread = rows.join(small(middle), "grp").groupBy("grp").agg(
         *(F.first(f"m_{i}").alias(f"m_{i}") for i in range(P)),
         *(F.percentile_approx(F.abs(F.col(f"x_{i}") - F.col(f"m_{i}")), 0.5, 2000).alias(f"s_{i}") for i in range(P)),
     )
@@ -180,14 +184,14 @@ def fit(rows: DataFrame) -> DataFrame:
     model = durable(_whitened(spread.select("grp", *(f"m_{i}" for i in range(P)), *start)))
     vector = [F.col(f"x_{i}") for i in range(P)]
     for step in range(STEPS + 1):
-        placed = rows.join(model, "grp").select("grp", *(f"x_{i}" for i in range(P)), _distance(vector).alias("d2"))
+        placed = rows.join(small(model), "grp").select("grp", *(f"x_{i}" for i in range(P)), _distance(vector).alias("d2"))
         if step < STEPS:
             cut = placed.groupBy("grp").agg(F.percentile_approx("d2", CORE, 2000).alias("cut"))
-            core, factor = placed.join(cut, "grp").where("d2 <= cut"), _CORE_FACTOR
+            core, factor = placed.join(small(cut), "grp").where("d2 <= cut"), _CORE_FACTOR
         else:
             # The nearest row stays in even where all are far, so that no group is lost.
             cut = placed.groupBy("grp").agg(F.greatest(F.lit(_REWEIGHT_CUT), F.percentile_approx("d2", 0.5, 2000)).alias("cut"))
-            core, factor = placed.join(cut, "grp").where("d2 <= cut"), 1.0
+            core, factor = placed.join(small(cut), "grp").where("d2 <= cut"), 1.0
         model = durable(_whitened(_moments(core, factor)))
     return model
 
@@ -211,7 +215,10 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     sound = _sound_vectors(stats).where(~F.col("base_failed")).select("grp", *(f"x_{i}" for i in range(P)))
     sizes = sound.groupBy("grp").agg(F.count("*").alias("n"))
     groups = durable(sizes.select("grp", F.when(F.col("n") >= LEAST_ROWS, F.col("grp")).otherwise(F.lit(0)).alias("own")))
-    model = fit(durable(sound.join(joinable(groups), "grp").select(F.col("own").alias("grp"), *(f"x_{i}" for i in range(P)))))
+    # Medians, cuts and estimates have no more rows than `groups`, whose size is checked.
+    small = F.broadcast if is_small(groups) else lambda df: df
+    rows = durable(sound.join(small(groups), "grp").select(F.col("own").alias("grp"), *(f"x_{i}" for i in range(P))))
+    model = fit(rows, small)
     return durable(groups.join(model.withColumnRenamed("grp", "own"), "own").drop("own"))
 
 
