@@ -5,7 +5,10 @@ centroid, and vectors near a boundary go to several lists. Lists are cut into bl
 equal size, so a centroid with very many vectors is many small tasks. A query walks a
 graph that links each centroid to its nearest ones and selects every list whose centroid
 is at most `PROBE_RATIO` times as far as the nearest; no number caps the lists. Blocks of
-queries then meet blocks of lists, and the best of each meeting are merged.
+queries then meet blocks of lists, and the best of each meeting are merged. A query first
+reads the nearest lists, about the square root of all; the k-th best score found there is a
+bound, and the other lists return only what reaches it. So what is merged grows far slower
+than the number of lists, and nothing that could be among the k best is left out.
 
 One more component turns inner product into distance: vectors get sqrt(M² - |x|²) for the
 largest norm M, queries get 0.
@@ -219,46 +222,70 @@ def nearest(
                     order = np.argsort(_squared(as_query(x[q : q + 1]), graph.centroids)[0], kind="stable")
                     needed = int(np.searchsorted(np.cumsum(owned[order]), k + 1)) + 1
                     chosen[q, order[:needed]] = True
+                rank = np.argsort(np.argsort(np.where(chosen, seen, np.inf), axis=1, kind="stable"), axis=1)
                 row, at = np.nonzero(chosen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at), part.column(0).take(pa.array(row)), _vectors(x[row])], names=["list", "query_id", "v"]
+                    [pa.array(at), pa.array(rank[row, at] < near), part.column(0).take(pa.array(row)), _vectors(x[row])],
+                    names=["list", "near", "query_id", "v"],
                 )
 
-    queries = durable(sound.where(is_query).mapInArrow(probed, "list long, query_id long, v array<double>"))
+    near = int(np.ceil(np.sqrt(n_lists)))
+    queries = durable(sound.where(is_query).mapInArrow(probed, "list long, near boolean, query_id long, v array<double>"))
+    first = _ranked(_met(posting, queries.where("near").withColumn("bound", F.lit(float("-inf"))), sizes, k), k)
+    found = durable(first)
+    bounds = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    rest = queries.where("not near").join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    others = _met(posting, durable(rest), sizes, k)
+    return _ranked(found.select("query_id", "vec_id", "score").unionByName(others), k)
+
+
+def _met(posting: DataFrame, queries: DataFrame, sizes: dict[int, tuple[int, int]], k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best that each query finds in each block, at its bound or above.
+
+    Both frames are written ones; `sizes` has the rows of each list.
+    """
     asked = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    cuts = spark.createDataFrame(
-        [(i, -(-sizes[i][0] // BLOCK), -(-asked[i] // QUERY_BLOCK)) for i in sorted(sizes.keys() & asked.keys())],
-        "list long, blocks int, query_blocks int",
-    )
     # One row per list, and at most MOST_LISTS of them.
-    cuts = F.broadcast(cuts)
+    cuts = F.broadcast(
+        posting.sparkSession.createDataFrame(
+            [(i, -(-sizes[i][0] // BLOCK), -(-asked[i] // QUERY_BLOCK)) for i in sorted(sizes.keys() & asked.keys())],
+            "list long, blocks int, query_blocks int",
+        )
+    )
 
     def dealt(df: DataFrame, own: str, other: str, key: str) -> DataFrame:
         """Put each row in one of its own blocks, once for each block of the other side."""
         mine = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
         return df.join(cuts, "list").withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
+    key = ["list", "block", "query_block"]
     left = dealt(posting, "blocks", "query_blocks", "vec_id").select("list", F.col("mine").alias("block"), F.col("theirs").alias("query_block"), "vec_id", "v")
-    right = dealt(queries, "query_blocks", "blocks", "query_id").select("list", F.col("theirs").alias("block"), F.col("mine").alias("query_block"), "query_id", "v")
+    right = dealt(queries, "query_blocks", "blocks", "query_id").select(
+        "list", F.col("theirs").alias("block"), F.col("mine").alias("query_block"), "query_id", "v", "bound"
+    )
 
-    def meet(posted_: pa.Table, asked_: pa.Table) -> pa.Table:
+    def meet(posted: pa.Table, asked: pa.Table) -> pa.Table:
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if posted_.num_rows and asked_.num_rows:
+        if posted.num_rows and asked.num_rows:
             found = best_pairs(
-                asked_["query_id"].to_numpy(), _matrix(asked_["v"]), posted_["vec_id"].to_numpy(), _matrix(posted_["v"]), k
+                asked["query_id"].to_numpy(), _matrix(asked["v"]), asked["bound"].to_numpy(),
+                posted["vec_id"].to_numpy(), _matrix(posted["v"]), k,
             )
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found))))
 
-    key = ["list", "block", "query_block"]
-    met = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best vectors of each query; replicas count once."""
     # One deal by query serves both the merge of replicas and the ranking.
-    merged = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    merged = pairs.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def best_pairs(query_id, q, vec_id, x, k: int) -> list[np.ndarray]:
-    """The k best vectors of a block for each query of a block: ids and exact scores.
+def best_pairs(query_id, q, bound, vec_id, x, k: int) -> list[np.ndarray]:
+    """The k best vectors of a block, at the bound or above, for each query of a block.
 
     A fast product finds all pairs near the k-th best; their scores are then added up in
     one fixed order, so equal vectors get equal scores and smaller ids win ties.
@@ -286,6 +313,7 @@ def best_pairs(query_id, q, vec_id, x, k: int) -> list[np.ndarray]:
             least = np.full(len(some), -np.inf)
         slack = 1e-9 * np.linalg.norm(some, axis=1) * norm
         slack[~np.isfinite(slack)] = np.inf
+        least = np.maximum(least, bound[at : at + 256])
         i, j = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
         score = np.zeros(len(i))
         for dim in range(x.shape[1]):
@@ -297,6 +325,6 @@ def best_pairs(query_id, q, vec_id, x, k: int) -> list[np.ndarray]:
         best = np.sort(seen[~again[: len(seen)]])
         i, j, score = i[best], j[best], score[best]
         first = np.searchsorted(i, np.arange(len(some)))
-        kept = np.arange(len(i)) - first[i] < k
+        kept = (np.arange(len(i)) - first[i] < k) & (score >= bound[at : at + 256][i])
         parts.append((ids[i[kept]], vec_id[j[kept]], score[kept]))
     return [np.concatenate(p) for p in zip(*parts)]
