@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 from conftest import results, texts
 from pyspark.sql import functions as F
 
 from wardlake.functions import pii, secrets
 from wardlake.functions.expressions import running_totals
+from wardlake.functions.pii import detect_spans
 
 VECTORS = [
     ("670125-1230644", ["RRN"]),
@@ -132,3 +134,16 @@ SECRETS = [
 def test_secrets(spark):
     df = texts(spark, [v for v, _ in SECRETS]).select("i", secrets.detect_secrets("t").alias("s"))
     assert [[(f.label, f.text) for f in row] for row in results(df, "s")] == [want for _, want in SECRETS]
+
+
+def test_addresses_in_long_runs(spark):
+    """A run is tried once: megabytes without an address cost one pass."""
+    values = ["a." * 1_000_000 + " @", "a-" * 500_000 + "b@c.de", "a@b.com%x@y.zz", "..a@b.co", "x@y", "한a_b@c.kr한", "a@b.c1", "a@@b.co", "%@b.co", "-a@b.co,c@d.ef.gh"]
+    start = time.perf_counter()
+    rows = results(texts(spark, values).select("i", detect_spans("t").alias("s")), "s")
+    assert time.perf_counter() - start < 30
+    found = [[(s.text, s.start) for s in r if s.label == "EMAIL"] for r in rows]
+    assert found == [
+        [], [("a-" * 500_000 + "b@c.de", 0)], [("a@b.com", 0), ("%x@y.zz", 7)], [("a@b.co", 2)], [], [("a_b@c.kr", 1)], [], [], [],
+        [("a@b.co", 1), ("c@d.ef.gh", 8)],
+    ]

@@ -36,13 +36,18 @@ SUMMARY_TYPE = "struct<types:array<string>,count:bigint,max_severity:bigint>"
 # one follows the first digit, so the scanner skips non-digits without it.
 _END = r"(?![0-9A-Za-z_])"
 _DIGIT_START = r"[0-9](?<![0-9A-Za-z_][0-9])"
-_ANY_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 
 # Candidate shapes.
 PERSON_NUMBER_PATTERN = rf"{_DIGIT_START}[0-9]{{5}}-?[0-9]{{7}}{_END}"
 BUSINESS_NUMBER_PATTERN = rf"{_DIGIT_START}[0-9]{{2}}-[0-9]{{2}}-[0-9]{{5}}{_END}"
 CARD_PATTERN = rf"{_DIGIT_START}[0-9]{{3}}[- ]?[0-9]{{4}}[- ]?[0-9]{{4}}[- ]?[0-9]{{1,7}}{_END}"
-EMAIL_PATTERN = rf"{_ANY_BOUNDARY}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_END}"
+# An address is group 1. It is tried once per run of its characters, at the first word
+# character of the run or where the last address ended, so that a long run without an
+# address costs one pass.
+EMAIL_PATTERN = (
+    r"(?:(?<![A-Za-z0-9._%+-])[.%+-]*+|(?!\A)\G)"
+    rf"([A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{_END})"
+)
 IP_PATTERN = rf"{_DIGIT_START}[0-9]{{0,2}}\.(?:[0-9]{{1,3}}\.){{2}}[0-9]{{1,3}}{_END}"
 PHONE_PATTERN = rf"0(?<![0-9A-Za-z_]0)(?:[0-9]{{1,2}}-[0-9]{{3,4}}-[0-9]{{4}}|10[0-9]{{8}}){_END}"
 
@@ -148,10 +153,22 @@ def _label_if(label: str, test: Callable[[Column], Column]) -> Callable[[Column]
 
 
 def candidates(text: Column, pattern: str, label_of: Callable[[Column], Column]) -> Column:
-    """Matches of one pattern as `struct<text, label>`; the label of a rejected one is NULL."""
+    """Matches of one pattern as `struct<text, label, lead>`; the label of a rejected one is NULL.
+
+    `lead` is how many (ASCII) characters the pattern skips before the text.
+    """
     return F.transform(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda m: F.struct(m.alias("text"), label_of(m).alias("label")),
+        lambda m: F.struct(m.alias("text"), label_of(m).alias("label"), F.lit(0).alias("lead")),
+    )
+
+
+def _addresses(text: Column) -> Column:
+    """E-mail matches, in the same form."""
+    return F.zip_with(
+        F.regexp_extract_all(text, F.lit(EMAIL_PATTERN), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(EMAIL_PATTERN), F.lit(0)),
+        lambda m, whole: F.struct(m.alias("text"), F.lit("EMAIL").alias("label"), (F.length(whole) - F.length(m)).alias("lead")),
     )
 
 
@@ -160,8 +177,8 @@ def _locate(text: Column, pattern: Column, found: Column) -> Column:
 
     def widths(gaps: Column) -> Column:
         return F.array(
-            F.zip_with(gaps, found, lambda g, m: utf16_length(g) + utf16_length(m["text"])),
-            F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.length(m["text"])).cast("bigint")),
+            F.zip_with(gaps, found, lambda g, m: utf16_length(g) + m["lead"] + utf16_length(m["text"])),
+            F.zip_with(gaps, found, lambda g, m: (F.length(g) + m["lead"] + F.length(m["text"])).cast("bigint")),
             # A quote escaped by a backslash does not open or close a string.
             F.transform(
                 gaps,
@@ -183,12 +200,12 @@ def _locate(text: Column, pattern: Column, found: Column) -> Column:
             return before(kind) + F.get(F.get(arrays, F.lit(kind)), i)
 
         return F.struct(
-            (before(0) + utf16_length(gap)).alias("start"),
+            (before(0) + utf16_length(gap) + match["lead"]).alias("start"),
             through(0).alias("end"),
             match["label"].alias("label"),
             match["text"].alias("text"),
             F.lit(1).cast("bigint").alias("tier"),
-            (before(1) + F.length(gap)).alias("char_start"),
+            (before(1) + F.length(gap) + match["lead"]).alias("char_start"),
             (through(2) % 2 == 1).alias("quoted"),
         )
 
@@ -218,7 +235,7 @@ def detect_located(text: ColumnLike) -> Column:
         (PERSON_NUMBER_PATTERN, _person_label),
         (BUSINESS_NUMBER_PATTERN, _label_if("BUSINESS_REG_NO", lambda m: let(digits(m), is_brn))),
         (CARD_PATTERN, _label_if("CREDIT_CARD", lambda m: let(digits(m), is_card))),
-        (EMAIL_PATTERN, lambda _: F.lit("EMAIL")),
+        (EMAIL_PATTERN, None),
         (IP_PATTERN, _label_if("IP", is_ipv4)),
         (PHONE_PATTERN, _label_if("PHONE", is_phone)),
     ]
@@ -226,11 +243,12 @@ def detect_located(text: ColumnLike) -> Column:
     def scan(t: Column) -> Column:
         groups = []
         for pattern, label_of in detectors:
-            found = candidates(t, pattern, label_of)
             if pattern is EMAIL_PATTERN:
-                found = F.when(t.contains("@"), found).otherwise(
-                    empty_array("struct<text:string,label:string>")
+                found = F.when(t.contains("@"), _addresses(t)).otherwise(
+                    empty_array("struct<text:string,label:string,lead:int>")
                 )
+            else:
+                found = candidates(t, pattern, label_of)
             groups.append(F.struct(F.lit(pattern).alias("pattern"), found.alias("found")))
         confirmed = F.filter(F.array(*groups), lambda g: ~_rejected(g["found"]))
         return F.flatten(F.transform(confirmed, lambda g: _locate(t, g["pattern"], g["found"])))
