@@ -11,7 +11,7 @@ import pytest
 from conftest import results, texts
 from pyspark.sql import functions as F
 
-from wardlake.functions.json_leaves import redact_json_column
+from wardlake.functions.json_leaves import redact_json_column, string_tokens
 from wardlake.functions.masking import (
     EmptySaltError,
     hmac_hex,
@@ -137,10 +137,28 @@ def test_json_leaves(spark):
     assert json.loads(rows[0].redacted_json) == {"a": f"key {mint(KEY)}", KEY: [mint(RRN), 1, None, {"b": "clean"}]}
     assert rows[0].json_mapping == {mint(KEY): KEY, mint(RRN): RRN}
     assert json.loads(rows[1].redacted_json) == "x " + mint(RRN)
-    assert KEY not in rows[2].redacted_json and "nesting exceeds" in rows[2].redacted_json
+    assert rows[2].redacted_json == deep.replace(KEY, mint(KEY))
     assert [r.redacted_json for r in rows[3:]] == [None, None, None]
 
 
+def test_json_leaves_keep_all_other_bytes(spark):
+    rest = '"n" : 1e400, "big":12345678901234567890.123456789 ,"a":"x", "a" : "\\u0041\\/", "e":[ ],"o":{ }'
+    values = [f'  {{{rest}, "k":"é {KEY}\\n"}}\n', '["\\ud800", "%s"]' % KEY, f'[NaN, "{KEY}"]', f'["{KEY}"] x', f'["{KEY}",]', "[" * 100_000 + f'"{KEY}"' + "]" * 100_000]
+    rows = redact_json_column(texts(spark, values), "t", salt_pads(SALT)).orderBy("i").collect()
+    assert rows[0].redacted_json == f'  {{{rest}, "k":"é {mint(KEY)}\\n"}}\n'
+    assert [r.redacted_json for r in rows[1:5]] == [None] * 4
+    assert rows[5].redacted_json == values[5].replace(KEY, mint(KEY))
+
+
+def test_string_tokens():
+    text = '{"a.b" : ["x", {"c": "y", "d": [1, true, "z"]}], "e": "w"}'
+    found = [(text[s:e], path, depth) for s, e, path, depth in string_tokens(text, with_paths=True)]
+    assert found == [('"x"', "$.a.b[0]", 2), ('"y"', "$.a.b[1].c", 3), ('"z"', "$.a.b[1].d[2]", 4), ('"w"', "$.e", 1)]
+    for bad in ("", "[", "]", "[,1]", "{,}", '{"a"}', '{"a":}', '{1:2}', "01", "1.", "[1 2]", '"\x01"', "nul", '{"a":1,}', "[]]", "1 1", '"a', '"\\q"'):
+        assert string_tokens(bad) is None, bad
+    assert string_tokens('"a"') == [(0, 3, None, 0)] and string_tokens(" -1.5e+3 ") == []
+
+
 def sequential_store(history, max_entries, max_bytes):
     entries = {}
     for placeholder, secret in history:

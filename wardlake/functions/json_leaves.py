@@ -1,90 +1,112 @@
 """String leaves of arbitrary JSON.
 
-JSON of unknown shape has no built-in that walks it, so two small Arrow functions
-take the leaves out and put them back. Detection and masking in between stay Spark
-expressions over `array<string>`, row by row and without a shuffle.
+JSON of unknown shape has no built-in that walks it, so two small Arrow functions take
+the leaves out and put them back. Only string values whose content changes are written
+anew; every other byte of the text stays as it is. Detection and masking in between are
+Spark expressions over `array<string>`, row by row and without a shuffle.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlake.constants import DEPTH_MARKER, JSON_DEPTH_LIMIT
 from wardlake.functions.expressions import ColumnLike, as_column, computed, empty_array, let
 from wardlake.functions.masking import redact
 
-LEAVES_TYPE = T.StructType(
-    [T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("cut", T.BooleanType())]
+# The tokens of JSON.
+_TOKEN = re.compile(
+    r'[ \t\n\r]*+(?:(?P<string>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+")'
+    r"|(?P<mark>[][{},:])|(?P<plain>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?+|true|false|null))"
 )
+_BLANK = re.compile(r"[ \t\n\r]*")
 
 
-def _walk(value, on_text: Callable[[str], str], on_cut: Callable[[], None], depth: int = 0):
-    """Rebuild a value, replacing string leaves and everything below the depth limit."""
-    if depth >= JSON_DEPTH_LIMIT:
-        on_cut()
-        return DEPTH_MARKER
-    if isinstance(value, str):
-        return on_text(value)
-    if isinstance(value, list):
-        return [_walk(v, on_text, on_cut, depth + 1) for v in value]
-    if isinstance(value, dict):
-        return {k: _walk(v, on_text, on_cut, depth + 1) for k, v in value.items()}
-    return value
+def string_tokens(text: str, with_paths: bool = False) -> list[tuple[int, int, str | None, int]] | None:
+    """(start, end, path, depth) of every string value, quotes included; None if the text is no JSON.
 
-
-def _parse(text: str | None):
-    """The parsed value, or None with False when the text is no JSON.
-
-    Nesting beyond what the parser can follow is treated as beyond the scan depth.
+    Containers are kept on a stack of their own, so nesting may be of any depth. Strings
+    that hold half a surrogate pair are no JSON. Paths, which may be long, are made on request.
     """
-    if text is None:
-        return None, False
+    found: list[tuple[int, int, str | None, int]] = []
+    # Of each open container, the index or the key that the next value has in it.
+    stack: list[int | str | None] = []
+    at, state = 0, "value"
+    while state != "end":
+        token = _TOKEN.match(text, at)
+        if token is None:
+            return None
+        at = token.end()
+        mark, string = token["mark"], token["string"]
+        if string is not None and "\\u" in string and not _whole_characters(string):
+            return None
+        if state in ("key", "key or }") and string is not None:
+            stack[-1] = json.loads(string)
+            state = ":"
+        elif state == ":" and mark == ":":
+            state = "value"
+        elif state == ", or close" and mark == ",":
+            if isinstance(stack[-1], int):
+                stack[-1] += 1
+                state = "value"
+            else:
+                state = "key"
+        elif state in ("value", "value or ]") and mark in ("[", "{"):
+            stack.append(0 if mark == "[" else None)
+            state = "value or ]" if mark == "[" else "key or }"
+        elif (
+            state == ", or close" and mark == ("]" if isinstance(stack[-1], int) else "}")
+            or (state, mark) in (("key or }", "}"), ("value or ]", "]"))
+        ):
+            stack.pop()
+            state = ", or close" if stack else "end"
+        elif state in ("value", "value or ]") and mark is None:
+            if string is not None:
+                path = "$" + "".join(f"[{k}]" if isinstance(k, int) else f".{k}" for k in stack) if with_paths else None
+                found.append((*token.span("string"), path, len(stack)))
+            state = ", or close" if stack else "end"
+        else:
+            return None
+    return found if _BLANK.fullmatch(text, at) else None
+
+
+def _whole_characters(token: str) -> bool:
     try:
-        return json.loads(text), True
-    except RecursionError:
-        nested: list = []
-        for _ in range(JSON_DEPTH_LIMIT + 1):
-            nested = [nested]
-        return nested, True
-    except ValueError:
-        return None, False
-
-
-@F.pandas_udf(LEAVES_TYPE)
-def string_leaves(values: pd.Series) -> pd.DataFrame:
-    texts, cuts = [], []
-    for raw in values:
-        value, ok = _parse(raw)
-        found: list[str] = []
-        cut: list[bool] = []
+        json.loads(token).encode("utf-8")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-        def keep(text: str, found=found) -> str:
-            found.append(text)
-            return text
 
-        _walk(value, keep, lambda cut=cut: cut.append(True))
-        texts.append(found if ok else None)
-        cuts.append(bool(cut) if ok else None)
-    return pd.DataFrame({"texts": texts, "cut": cuts})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def string_leaves(values: pd.Series) -> pd.Series:
+    """Contents of the string values, in order; NULL if the text is no JSON."""
+    out = []
+    for raw in values:
+        tokens = None if raw is None else string_tokens(raw)
+        out.append(None if tokens is None else [json.loads(raw[s:e]) for s, e, _, _ in tokens])
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(T.StringType())
 def replace_leaves(values: pd.Series, replacements: pd.Series) -> pd.Series:
+    """The text with the string values that differ from their replacements written anew."""
     out = []
     for raw, texts in zip(values, replacements):
-        value, ok = _parse(raw)
-        if not ok or texts is None:
+        if raw is None or texts is None:
             out.append(raw)
             continue
-        remaining: Iterator[str] = iter(texts)
-        rebuilt = _walk(value, lambda _: next(remaining), lambda: None)
-        out.append(json.dumps(rebuilt, ensure_ascii=False, separators=(",", ":")))
+        parts, at = [], 0
+        for (start, end, _, _), text in zip(string_tokens(raw), texts):
+            if json.loads(raw[start:end]) != text:
+                parts += [raw[at:start], json.dumps(text, ensure_ascii=False)]
+                at = end
+        out.append("".join(parts) + raw[at:])
     return pd.Series(out, dtype=object)
 
 
@@ -94,22 +116,19 @@ def redact_leaves(leaves: ColumnLike, pads: Column) -> Column:
     Returns `struct<texts, changed, mapping>`; the mapping joins those of all leaves.
     """
 
-    def build(outcomes: Column, cut: Column) -> Column:
+    def build(outcomes: Column) -> Column:
         entries = F.array_distinct(
             F.flatten(F.transform(outcomes, lambda o: F.map_entries(o["mapping"])))
         )
         return F.struct(
             F.transform(outcomes, lambda o: o["text"]).alias("texts"),
-            (cut | F.exists(outcomes, lambda o: o["redacted"])).alias("changed"),
+            F.exists(outcomes, lambda o: o["redacted"]).alias("changed"),
             F.map_from_entries(entries).alias("mapping"),
         )
 
     leaves = as_column(leaves)
-    texts = F.coalesce(leaves["texts"], empty_array("string"))
-    return F.when(
-        leaves["texts"].isNotNull(),
-        let(F.transform(texts, lambda t: redact(t, pads)), lambda o: build(o, leaves["cut"])),
-    )
+    texts = F.coalesce(leaves, empty_array("string"))
+    return F.when(leaves.isNotNull(), let(F.transform(texts, lambda t: redact(t, pads)), build))
 
 
 def redact_json_column(df: DataFrame, column: str, pads: Column) -> DataFrame:
@@ -137,20 +156,7 @@ def leaf_table():
     @F.udtf(returnType="path string, text string, depth int", useArrow=True)
     class JsonStringLeaves:
         def eval(self, value: str):
-            parsed, ok = _parse(value)
-            if ok:
-                yield from self._leaves(parsed, "$", 0)
-
-        def _leaves(self, value, path: str, depth: int):
-            if depth >= JSON_DEPTH_LIMIT:
-                yield path, DEPTH_MARKER, depth
-            elif isinstance(value, str):
-                yield path, value, depth
-            elif isinstance(value, list):
-                for i, item in enumerate(value):
-                    yield from self._leaves(item, f"{path}[{i}]", depth + 1)
-            elif isinstance(value, dict):
-                for key, item in value.items():
-                    yield from self._leaves(item, f"{path}.{key}", depth + 1)
+            for start, end, path, depth in (string_tokens(value, with_paths=True) if value is not None else None) or ():
+                yield path, json.loads(value[start:end]), depth
 
     return JsonStringLeaves

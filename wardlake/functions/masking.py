@@ -26,7 +26,6 @@ from wardlake.functions.expressions import (
     let,
     regex_quote,
     running_totals,
-    utf16_length,
 )
 from wardlake.functions.pii import detect_located, severity_of
 from wardlake.functions.secrets import detect_secrets
@@ -250,21 +249,53 @@ def _candidate(start: Column, surface: Column, rank: Column) -> Column:
     )
 
 
+# Candidates that are chosen from in one pass; a pass copies what it keeps.
+_FOLD_BLOCK = 128
+
+
 def _first_non_overlapping(candidates: Column) -> Column:
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("last_end"),
-        empty_array("struct<start:bigint,neg_width:bigint,rank:bigint,text:string>").alias("kept"),
-    )
-    return F.aggregate(
+    """Leftmost, then longest candidates that do not overlap.
+
+    Appending to an array copies it, so candidates are folded in blocks: the outer pass
+    carries only the end of the last one kept and a list of blocks.
+    """
+    kept_type = "array<struct<start:bigint,neg_width:bigint,rank:bigint,text:string>>"
+
+    def choose(block: Column, last_end: Column) -> Column:
+        start = F.struct(last_end.alias("last_end"), F.array().cast(kept_type).alias("kept"))
+        return F.aggregate(
+            block,
+            start,
+            lambda acc, c: F.when(c["start"] < acc["last_end"], acc).otherwise(
+                F.struct(
+                    (c["start"] - c["neg_width"]).alias("last_end"),
+                    F.concat(acc["kept"], F.array(c)).alias("kept"),
+                )
+            ),
+        )
+
+    def over_blocks(ordered: Column) -> Column:
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / _FOLD_BLOCK).cast("int")),
+            lambda b: F.slice(ordered, b * _FOLD_BLOCK + 1, F.lit(_FOLD_BLOCK)),
+        )
+        start = F.struct(F.lit(0).cast("bigint").alias("last_end"), F.array().cast(f"array<{kept_type}>").alias("parts"))
+        folded = F.aggregate(
+            blocks,
+            start,
+            lambda acc, block: let(
+                choose(block, acc["last_end"]),
+                lambda done: F.struct(
+                    done["last_end"].alias("last_end"), F.concat(acc["parts"], F.array(done["kept"])).alias("parts")
+                ),
+            ),
+        )
+        return F.flatten(folded["parts"])
+
+    return let(
         F.array_sort(candidates),
-        start,
-        lambda acc, c: F.when(c["start"] < acc["last_end"], acc).otherwise(
-            F.struct(
-                (c["start"] - c["neg_width"]).alias("last_end"),
-                F.concat(acc["kept"], F.array(c)).alias("kept"),
-            )
-        ),
-    )["kept"]
+        lambda ordered: F.when(F.size(ordered) <= _FOLD_BLOCK, choose(ordered, F.lit(0).cast("bigint"))["kept"]).otherwise(over_blocks(ordered)),
+    )
 
 
 def redact_json_with_spans(
@@ -330,8 +361,3 @@ def redact_json(text: ColumnLike, pads: Column, floor: int = REDACTION_SEVERITY_
 def unquoted_findings(located: ColumnLike) -> Column:
     """How many findings a JSON body keeps because they are not in a string."""
     return F.size(F.filter(as_column(located), lambda s: ~s["quoted"]))
-
-
-def utf16_units(text: ColumnLike) -> Column:
-    """UTF-16 length, the unit of span offsets."""
-    return utf16_length(as_column(text))
