@@ -88,7 +88,7 @@ def test_out_of_order_chunks_over_several_batches(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(CHUNK_SCHEMA).parquet(source)
-        chunks.restore_to(stream, mapping, "salt", out, checkpoint).trigger(availableNow=True).start().awaitTermination()
+        chunks.restore_to(stream, lambda: mapping, "salt", out, checkpoint).trigger(availableNow=True).start().awaitTermination()
 
     run()
     spark.createDataFrame([r for r in rows if r[1] % 3 != 2], CHUNK_SCHEMA).coalesce(1).write.mode("append").parquet(source)
@@ -101,53 +101,57 @@ def test_out_of_order_chunks_over_several_batches(spark, tmp_path):
 
 def simulate(rows, cap, timeout_ms, end_ms):
     """The approval queue as a loop over one gateway."""
-    out, open_holds, next_id = [], {}, 1
+    out, open_holds = [], {}
 
     def expire(now):
-        for request, (approval, deadline) in sorted(open_holds.items(), key=lambda x: x[1][1]):
+        for approval, (request, deadline) in sorted(open_holds.items(), key=lambda x: x[1][1]):
             if deadline <= now:
-                del open_holds[request]
+                del open_holds[approval]
                 out.append((deadline, request, "rejected", "timeout", approval))
 
-    for ms, _, kind, request in sorted(rows):
+    for ms, seq, kind, request in sorted(rows):
         expire(ms - 1)
         if kind == "pause":
-            if len(open_holds) >= cap:
+            if cap is not None and len(open_holds) >= cap:
                 out.append((ms, request, "rejected", "full", None))
             else:
-                open_holds[request] = (next_id, ms + timeout_ms)
-                out.append((ms, request, "paused", "hold", next_id))
-                next_id += 1
-        elif request in open_holds:
-            approval, _ = open_holds.pop(request)
+                open_holds[seq] = (request, ms + timeout_ms)
+                out.append((ms, request, "paused", "hold", seq))
+            continue
+        for approval in [a for a, (r, _) in open_holds.items() if r == request]:
+            del open_holds[approval]
             out.append((ms, request, {"approve": "approved"}.get(kind, "rejected"), kind, approval))
     expire(end_ms)
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("cap", [1, 3, 100])
-def test_holds_against_a_loop(spark, tmp_path, cap):
+@pytest.mark.parametrize("late", [False, True])
+@pytest.mark.parametrize("cap", [1, 3, None])
+def test_holds_against_a_loop(spark, tmp_path, cap, late):
     import random
 
     use_state_store(spark)
-    rng = random.Random(cap)
+    rng = random.Random(cap or 0)
     base = datetime(2026, 1, 1)
     rows = []
     for i in range(150):
         kind = rng.choice(["pause", "pause", "approve", "reject", "disconnect"])
-        request = i if kind == "pause" else rng.randrange(max(0, i - 8), i + 1)
+        # Some requests pause again; some are resolved before they pause.
+        request = i - i % 3 if kind == "pause" else rng.randrange(max(0, i - 8), i + 3)
         rows.append((f"g{i % 2}", base + timedelta(seconds=20 * i), i, kind, request))
     source = str(tmp_path / "in")
     schema = holds.HOLD_INPUT_SCHEMA
-    for part in (rows[:70], rows[70:]):
+    # Within the lateness, a resolution may be read batches before its pause.
+    parts = (rows[2:70:3], rows[1:70:3] + rows[0:70:3], rows[70:]) if late else (rows[:70], rows[70:])
+    for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    drain(holds.hold_events(stream, max_pending=cap, timeout_seconds=300, lateness="0 seconds"), "out", tmp_path)
+    drain(holds.hold_events(stream, max_pending=cap, timeout_seconds=300, lateness="30 minutes" if late else "0 seconds"), "out", tmp_path)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     epoch = int(base.timestamp()) * 1000
-    end = max(epoch + 20000 * r[2] for r in rows)
+    end = max(epoch + 20000 * r[2] for r in rows) - (1_800_000 if late else 0)
     for gateway in ("g0", "g1"):
-        mine = [(epoch + 20000 * seq, seq, kind, request) for g, _, seq, kind, request in rows if g == gateway]
+        mine = [(epoch + 20000 * seq, seq, kind, request) for g, _, seq, kind, request in rows if g == gateway and epoch + 20000 * seq <= end]
         want = simulate(mine, cap, 300_000, end)
         assert sorted([(r.at_ms, r.request_id, r.decision, r.cause, r.approval_id) for r in got if r.gateway == gateway], key=str) == want
 
@@ -155,13 +159,15 @@ def test_holds_against_a_loop(spark, tmp_path, cap):
 def test_mapping_store_batches(spark, tmp_path):
     path = str(tmp_path)
     batches = [[("a", "11", 0), ("b", "22", 1)], [("c", "33", 2), ("a", "11", 3)], [("d", "4" * 100, 4)], [("e", "55", 5)]]
+    kept = []
     for version, batch in enumerate(batches):
         df = spark.createDataFrame([("s", *row) for row in batch], MAPPING_SCHEMA)
         mapping_store.record_batch(df, version, path, max_entries=2, max_bytes=50)
         # A retried batch changes nothing.
         mapping_store.record_batch(df, version, path, max_entries=2, max_bytes=50)
-    kept = [{r.placeholder for r in mapping_store.read_store(spark, path, v).collect()} for v in range(4)]
+        kept.append({r.placeholder for r in mapping_store.read_store(spark, path, version).collect()})
     assert kept == [{"a", "b"}, {"a", "c"}, set(), {"e"}]
+    assert len(list((tmp_path / "store").iterdir())) == 2
     metrics = {r.version: (r.entries, r.evicted) for r in mapping_store.read_metrics(spark, path).collect()}
     assert metrics == {0: (2, 0), 1: (2, 1), 2: (0, 3), 3: (1, 0)}
     assert [r.placeholder for r in mapping_store.latest_store(spark, path).collect()] == ["e"]

@@ -31,11 +31,6 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
-def spread_stream(stream: DataFrame) -> DataFrame:
-    """The same for a stream: its micro-batches hold one small file here."""
-    return stream.repartition(2 * stream.sparkSession.sparkContext.defaultParallelism)
-
-
 def finish(writer) -> None:
     """Run a stream over all available input and wait for it."""
     writer.trigger(availableNow=True).start().awaitTermination()
@@ -67,7 +62,7 @@ _DOC_SPANS = checks.spans("SELECT doc_id AS key, text FROM documents")
 )
 def stream_policy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live verdicts over a request stream."""
-    requests = spread_stream(stream_table(spark, sf_dir, "documents")).select(
+    requests = stream_table(spark, sf_dir, "documents").select(
         F.lit(None).cast("timestamp").alias("ts"), F.lit("POST").alias("method"),
         F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("uri"),
         F.create_map(F.lit("host"), F.lit("api.test")).alias("headers"),
@@ -110,67 +105,69 @@ def _chunked(documents: DataFrame) -> DataFrame:
     size = 17 + F.col("doc_id") % 240
     masked = documents.select("doc_id", F.encode(redact("text", salt_pads(SALT))["text"], "UTF-8").alias("body"))
     count = F.greatest(F.ceil(F.octet_length("body") / size), F.lit(1)).cast("int")
-    broken = (F.col("doc_id") % 10 == 9)
+    binary = (F.col("doc_id") % 10 == 9) & (F.col("c") == 0)
     chunk = F.substring(F.col("body"), (F.col("c") * size + 1).cast("int"), size.cast("int"))
     return masked.withColumn("n", count).select(
         "doc_id", "body", "n", F.explode(F.reverse(F.sequence(F.lit(0), F.col("n") - 1))).alias("c")
     ).select(
         F.col("doc_id").cast("string").alias("stream_id"),
         F.col("c").cast("bigint").alias("seq"),
-        # Every tenth stream turns binary at its second chunk.
-        F.when(broken & (F.col("c") == 1), F.concat(F.unhex(F.lit("FF")), chunk)).otherwise(chunk).alias("chunk"),
+        # Every tenth stream is binary from its first chunk on.
+        F.when(binary, F.concat(F.unhex(F.lit("FF")), chunk)).otherwise(chunk).alias("chunk"),
         (F.col("c") == F.col("n") - 1).alias("is_last"),
     )
 
 
+def _bodies(chunks: DataFrame) -> DataFrame:
+    """`(stream_id, body)`: a document's chunks together are the document, bounded by its own size."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: F.hex(x["chunk"]))
+    return chunks.groupBy("stream_id").agg(F.unhex(F.array_join(ordered, "")).alias("body"))
+
+
 @query(
-    """SELECT CAST(doc_id AS VARCHAR) AS stream_id, sha256(text) AS text_hash FROM documents WHERE doc_id % 10 <> 9"""
+    """SELECT CAST(doc_id AS VARCHAR) AS stream_id, CASE WHEN doc_id % 10 <> 9 THEN sha256(text) END AS text_hash, TRUE AS intact FROM documents"""
 )
 def stream_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunked responses restored: text streams equal the original texts."""
-    joined = _restored_streams(spark, sf_dir).where(F.col("stream_id").cast("bigint") % 10 != 9)
-    return joined.select("stream_id", F.sha2("body", 256).alias("text_hash"))
-
-
-def _restored_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunked responses restored: text streams equal the original texts, binary ones what was sent."""
     use_state_store(spark)
     path = shared_dir(spark, "chunks")
-    chunks = _chunked(spread_stream(stream_table(spark, sf_dir, "documents")))
-    # A live job reads the mapping from its store; here it is written first.
+    chunks = _chunked(stream_table(spark, sf_dir, "documents"))
     merge(document_mapping(spark, sf_dir)).write.parquet(f"{path}/mapping")
-    mapping = spark.read.parquet(f"{path}/mapping")
-    finish(restore_to(chunks, mapping, "main", f"{path}/data", f"{path}/checkpoint"))
-    # A document's chunks together are the document: bounded by its own size.
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: F.hex(x["chunk"]))
-    return spark.read.parquet(f"{path}/data").groupBy("stream_id").agg(F.unhex(F.array_join(ordered, "")).alias("body"))
+    finish(restore_to(chunks, lambda: spark.read.parquet(f"{path}/mapping"), "main", f"{path}/data", f"{path}/checkpoint"))
+    got = _bodies(spark.read.parquet(f"{path}/data")).select("stream_id", "body")
+    sent = _bodies(_chunked(table(spark, sf_dir, "documents"))).select("stream_id", F.col("body").alias("sent"))
+    binary = F.col("stream_id").cast("bigint") % 10 == 9
+    return got.join(sent, "stream_id", "full_outer").select(
+        "stream_id", F.when(~binary, F.sha2("body", 256)).alias("text_hash"),
+        F.when(binary, F.col("body") == F.col("sent")).otherwise(F.col("body").isNotNull()).alias("intact"),
+    )
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS stream_id FROM documents WHERE doc_id % 10 = 9")
+@query("SELECT CAST(doc_id AS VARCHAR) AS stream_id, doc_id % 10 = 9 AS is_binary, TRUE AS intact FROM documents")
 def stream_binary_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Streams that turn binary pass through: every chunk arrives, in order and unchanged."""
+    """Re-cut streams: every byte arrives in order, and only binary ones pass unchecked."""
     use_state_store(spark)
-    source = _chunked(spread_stream(stream_table(spark, sf_dir, "documents"))).where(F.col("stream_id").cast("bigint") % 10 == 9)
-    out = to_parquet(recut(source), spark, "binary")
-    pieces = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: F.hex(x["chunk"]))
-    sent = _chunked(table(spark, sf_dir, "documents")).groupBy("stream_id").agg(F.array_join(pieces("chunk"), "").alias("sent"))
-    got = out.groupBy("stream_id").agg(F.array_join(pieces("chunk"), "").alias("got"))
-    return sent.join(got, "stream_id").where(F.col("sent") == F.col("got")).select("stream_id")
+    out = to_parquet(recut(_chunked(stream_table(spark, sf_dir, "documents"))), spark, "binary")
+    sent = _bodies(_chunked(table(spark, sf_dir, "documents"))).select("stream_id", F.col("body").alias("sent"))
+    kinds = out.groupBy("stream_id").agg((~F.bool_and("restorable")).alias("is_binary"))
+    got = _bodies(out).join(kinds, "stream_id")
+    return sent.join(got, "stream_id", "full_outer").select("stream_id", "is_binary", (F.col("sent") == F.col("body")).alias("intact"))
 
 
 def hold_requests(events: DataFrame) -> DataFrame:
     """Events as pauses and resolutions of five gateways: four neighbouring events share a request."""
     kind = F.when(F.col("event_id") % 4 == 0, "pause").otherwise(
-        pick(["approve", "reject", "disconnect", "note", "note"], F.floor(F.col("value") * 100).cast("bigint") % 5)
+        pick(["approve", "reject", "disconnect"], F.floor(F.col("value") * 100).cast("bigint") % 3)
     )
     return events.select(
         F.concat(F.lit("gw-"), (F.floor(F.col("event_id") / 4) % 5).cast("string")).alias("gateway"),
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), kind.alias("kind"),
         F.floor(F.col("event_id") / 4).alias("request_id"),
-    ).where(F.col("kind") != "note")
+    )
 
 
 _HOLDS = """SELECT *, epoch_us(ts) // 1000 AS ms FROM (SELECT 'gw-' || ((event_id // 4) % 5) AS gateway, ts, event_id AS seq, event_id // 4 AS request_id,
-  CASE WHEN event_id % 4 = 0 THEN 'pause' ELSE CASE CAST(floor(value * 100) AS BIGINT) % 5 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'disconnect' ELSE 'note' END END AS kind FROM events) WHERE kind <> 'note'"""
+  CASE WHEN event_id % 4 = 0 THEN 'pause' ELSE CASE CAST(floor(value * 100) AS BIGINT) % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'disconnect' END END AS kind FROM events)"""
 
 
 @query(
@@ -186,7 +183,7 @@ def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live holds: approved, rejected, abandoned, or timed out after five minutes."""
     use_state_store(spark)
     requests = hold_requests(stream_table(spark, sf_dir, "events"))
-    out = to_parquet(hold_events(requests), spark, "holds")
+    out = to_parquet(hold_events(requests, "0 seconds"), spark, "holds")
     return out.select("gateway", "request_id", "at_ms", "decision", "cause")
 
 
@@ -195,7 +192,7 @@ def stream_approvals_full_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live holds with room for one per gateway: what a full queue refuses."""
     use_state_store(spark)
     requests = hold_requests(stream_table(spark, sf_dir, "events"))
-    out = to_parquet(hold_events(requests, max_pending=1, timeout_seconds=3600), spark, "holds")
+    out = to_parquet(hold_events(requests, "0 seconds", max_pending=1, timeout_seconds=3600), spark, "holds")
     return out.groupBy("gateway", "decision", "cause").agg(F.count("*").alias("n"))
 
 
@@ -206,7 +203,7 @@ _CAPS = {"max_entries": 30, "max_bytes": 500}
 
 def _store(spark: SparkSession, sf_dir: str) -> str:
     path = shared_dir(spark, "store")
-    masked = spread_stream(stream_table(spark, sf_dir, "documents")).select(
+    masked = stream_table(spark, sf_dir, "documents").select(
         "doc_id", F.lit("main").alias("salt_id"), redact("text", salt_pads(SALT))["mapping"].alias("mapping")
     )
     finish(store_to(mapping_rows(masked, "mapping", "doc_id", "salt_id"), path, f"{path}/checkpoint", **_CAPS))

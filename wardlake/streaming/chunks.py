@@ -8,7 +8,7 @@ re-cut chunks are then restored like any other text, by a join with the mapping.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -23,6 +23,8 @@ _OPEN_END = re.compile(rb"<(?:<(?:h(?:s(?::(?:[0-9a-f]{0,31}|[0-9a-f]{32}>?))?)?
 _PLACEHOLDER_BYTES = 39
 # Chunks that arrive early are kept in memory up to this many, then in state.
 _EARLY_IN_MEMORY = 1024
+# Next chunk of a stream whose last one was emitted.
+_FINISHED = -1
 
 
 def cut(carry: bytes, chunk: bytes, is_last: bool) -> tuple[bytes, bytes, bool]:
@@ -48,16 +50,25 @@ def cut(carry: bytes, chunk: bytes, is_last: bool) -> tuple[bytes, bytes, bool]:
 
 
 class ChunkRecutter(StatefulProcessor):
-    """Per stream: puts chunks in order and moves their boundaries."""
+    """Per stream: puts chunks in order and moves their boundaries.
+
+    A finished stream keeps only a marker, so that repeated chunks stay without effect.
+    With a time to live, the marker and whatever an unfinished stream left go after it.
+    """
+
+    def __init__(self, ttl_seconds: int | None) -> None:
+        self._ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._position = handle.getValueState("position", "next_seq bigint, carry binary, is_text boolean")
-        self._early = handle.getMapState("early", "seq bigint", "chunk binary, is_last boolean")
+        self._position = handle.getValueState("position", "next_seq bigint, carry binary, is_text boolean", self._ttl_ms)
+        self._early = handle.getMapState("early", "seq bigint", "chunk binary, is_last boolean", self._ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         stream_id = key[0]
         stored = self._position.get()
         next_seq, carry, is_text = stored if stored else (0, b"", True)
+        if next_seq == _FINISHED:
+            return
         carry = bytes(carry)
         early: dict[int, tuple[bytes, bool]] = {}
         # Asking the state costs a round trip, so ask only when something was put there.
@@ -74,7 +85,7 @@ class ChunkRecutter(StatefulProcessor):
 
         finished = False
         for row in rows:
-            if row.seq < next_seq:
+            if finished or row.seq < next_seq:
                 continue
             early[row.seq] = (bytes(row.chunk), bool(row.is_last))
             while not finished and (entry := waiting(next_seq)) is not None:
@@ -88,8 +99,13 @@ class ChunkRecutter(StatefulProcessor):
                 finished = is_last
             if len(early) > _EARLY_IN_MEMORY:
                 self._keep(early)
-        self._keep(early)
-        self._position.update((next_seq, carry, is_text))
+        if finished:
+            if self._spilled:
+                self._early.clear()
+            self._position.update((_FINISHED, b"", is_text))
+        else:
+            self._keep(early)
+            self._position.update((next_seq, carry, is_text))
 
     def _keep(self, early: dict[int, tuple[bytes, bool]]) -> None:
         for seq, entry in early.items():
@@ -101,13 +117,18 @@ class ChunkRecutter(StatefulProcessor):
         pass
 
 
-def recut(chunks: DataFrame) -> DataFrame:
-    """Chunks `(stream_id, seq, chunk, is_last)` with boundaries that are safe to restore at."""
+def recut(chunks: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
+    """Chunks `(stream_id, seq, chunk, is_last)` with boundaries that are safe to restore at.
+
+    A live job should state `ttl_seconds`: a stream that stays without a chunk for so long
+    is forgotten. A run over available input has to leave it out, because a job with
+    processing-time state never runs out of batches.
+    """
     return chunks.groupBy("stream_id").transformWithState(
-        statefulProcessor=ChunkRecutter(),
+        statefulProcessor=ChunkRecutter(ttl_seconds),
         outputStructType=RECUT_SCHEMA,
         outputMode="append",
-        timeMode="none",
+        timeMode="none" if ttl_seconds is None else "processingTime",
     )
 
 
@@ -124,10 +145,12 @@ def restored_chunks(safe_chunks: DataFrame, mapping: DataFrame, salt_id: str) ->
     return done.select("stream_id", "seq", F.coalesce(F.col("_text").cast("binary"), F.col("chunk")).alias("chunk"))
 
 
-def restore_to(chunks: DataFrame, mapping: DataFrame, salt_id: str, path: str, checkpoint: str):
+def restore_to(
+    chunks: DataFrame, mapping: Callable[[], DataFrame], salt_id: str, path: str, checkpoint: str, ttl_seconds: int | None = None
+):
     """Streaming sink of restored chunks: one folder per batch, rewritten on a retry.
 
-    The re-cut chunks are written before they are restored, because restoring reads
+    `mapping` is called for each batch, so placeholders minted meanwhile are known. The re-cut chunks are written before they are restored, because restoring reads
     them twice and the stateful step must run once.
     """
 
@@ -135,6 +158,6 @@ def restore_to(chunks: DataFrame, mapping: DataFrame, salt_id: str, path: str, c
         staged = f"{path}-staged/batch={batch_id}"
         batch.write.mode("overwrite").parquet(staged)
         safe = batch.sparkSession.read.schema(batch.schema).parquet(staged)
-        restored_chunks(safe, mapping, salt_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        restored_chunks(safe, mapping(), salt_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return recut(chunks).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return recut(chunks, ttl_seconds).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

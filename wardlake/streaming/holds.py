@@ -1,7 +1,14 @@
 """Live holds: pause → approved, rejected, timed out, abandoned, or refused when full.
 
-Admission under a cap is sequential within a gateway, since every refusal changes
-what follows. Gateways are independent, so they are the grouping key.
+Events wait in state until the watermark has passed them and are then handled in time
+order, so neither batch boundaries nor early resolutions change the outcome. Without a
+cap, requests are independent and each is a group of its own. A cap makes admission
+sequential within a gateway, since every refusal changes what follows; only then is the
+gateway the group.
+
+A hold's approval id is the `seq` of its pause. A resolution ends every open hold of its
+request. Events later than the stated lateness are dropped by Spark, which reports their
+number as `numRowsDroppedByWatermark` in the query's progress.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from wardlake.constants import HOLD_TIMEOUT_SECONDS, MAX_PENDING_HOLDS
+from wardlake.constants import HOLD_TIMEOUT_SECONDS
 
 # kind: pause, approve, reject, disconnect
 HOLD_INPUT_SCHEMA = "gateway string, ts timestamp, seq bigint, kind string, request_id bigint"
@@ -23,34 +30,71 @@ _DECISIONS = {"approve": "approved", "reject": "rejected", "disconnect": "reject
 
 
 class HoldRegistry(StatefulProcessor):
-    """Open holds of one gateway."""
+    """Waiting events and open holds of one group."""
 
-    def __init__(self, max_pending: int, timeout_seconds: int):
+    def __init__(self, max_pending: int | None, timeout_seconds: int):
         self._max_pending = max_pending
         self._timeout_ms = timeout_seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        # The cap bounds the open holds, so they are read and written as one value.
-        self._state = handle.getValueState(
-            "holds", "next_id bigint, requests array<bigint>, approvals array<bigint>, deadlines array<bigint>"
-        )
+        self._waiting = handle.getMapState("waiting", "at_ms bigint, seq bigint", "kind string, request_id bigint")
+        # The watermark up to which everything was handled.
+        self._handled = handle.getValueState("handled", "at_ms bigint")
+        # Open holds as approval id → request and deadline.
+        self._open = handle.getMapState("open", "approval_id bigint", "request_id bigint, deadline bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        times = set()
+        for row in rows:
+            self._waiting.updateValue((row.at_ms, row.seq), (row.kind, row.request_id))
+            times.add(row.at_ms)
+        # One timer per time of this batch; each handles what is due by then.
+        for at_ms in times:
+            self._handle.registerTimer(at_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """Everything that the watermark has passed, in time order, at the first of its timers."""
+        handled = self._handled.get()
+        if handled and expiredTimerInfo.getExpiryTimeInMs() <= handled[0]:
+            return
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [(tuple(k), tuple(v)) for k, v in self._waiting.iterator()]
+        due = sorted(w for w in waiting if w[0][0] <= now)
+        holds = {k[0]: (v[0], v[1]) for k, v in self._open.iterator()}
+        before = dict(holds)
+        for (at_ms, seq), (kind, request_id) in due:
+            self._waiting.removeKey((at_ms, seq))
+            # A deadline at the very time of an event comes after it.
+            yield from self._expire(key, holds, at_ms - 1)
+            if kind == "pause":
+                if self._max_pending is not None and len(holds) >= self._max_pending:
+                    yield self._event(key, at_ms, request_id, "rejected", "full", None)
+                    continue
+                holds[seq] = (request_id, at_ms + self._timeout_ms)
+                if at_ms + self._timeout_ms > now:
+                    self._handle.registerTimer(at_ms + self._timeout_ms)
+                yield self._event(key, at_ms, request_id, "paused", "hold", seq)
+            else:
+                for approval_id in sorted(a for a, (r, _) in holds.items() if r == request_id):
+                    del holds[approval_id]
+                    yield self._event(key, at_ms, request_id, _DECISIONS[kind], kind, approval_id)
+        yield from self._expire(key, holds, now)
+        for approval_id in before.keys() - holds.keys():
+            self._open.removeKey((approval_id,))
+        for approval_id in holds.keys() - before.keys():
+            self._open.updateValue((approval_id,), holds[approval_id])
+        if holds or len(due) < len(waiting):
+            self._handled.update((now,))
+        else:
+            self._handled.clear()
 
-    def _load(self) -> tuple[int, dict[int, tuple[int, int]]]:
-        """The next approval id, and open holds as request → (approval id, deadline)."""
-        stored = self._state.get()
-        if not stored:
-            return 1, {}
-        next_id, requests, approvals, deadlines = stored
-        return next_id, dict(zip(requests, zip(approvals, deadlines)))
-
-    def _save(self, next_id: int, holds: dict[int, tuple[int, int]]) -> None:
-        approvals = [a for a, _ in holds.values()]
-        deadlines = [d for _, d in holds.values()]
-        self._state.update((next_id, list(holds), approvals, deadlines))
-        if deadlines:
-            # The earliest deadline wakes the gateway, and sets the next timer then.
-            self._handle.registerTimer(min(deadlines))
+    def _expire(self, key, holds: dict, now_ms: int) -> Iterator[Row]:
+        due = sorted((d, a, r) for a, (r, d) in holds.items() if d <= now_ms)
+        for deadline, approval_id, request_id in due:
+            del holds[approval_id]
+            yield self._event(key, deadline, request_id, "rejected", "timeout", approval_id)
 
     @staticmethod
     def _event(key, at_ms: int, request_id: int, decision: str, cause: str, approval_id: int | None) -> Row:
@@ -59,50 +103,25 @@ class HoldRegistry(StatefulProcessor):
             approval_id=approval_id,
         )
 
-    def _expire(self, key, holds: dict, now_ms: int) -> Iterator[Row]:
-        due = sorted((d, a, r) for r, (a, d) in holds.items() if d <= now_ms)
-        for deadline, approval_id, request_id in due:
-            del holds[request_id]
-            yield self._event(key, deadline, request_id, "rejected", "timeout", approval_id)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        next_id, holds = self._load()
-        for row in sorted(rows, key=lambda r: (r.at_ms, r.seq)):
-            now = row.at_ms
-            # Time passes with the events, so batch boundaries do not matter.
-            yield from self._expire(key, holds, now - 1)
-            if row.kind == "pause":
-                if len(holds) >= self._max_pending:
-                    yield self._event(key, now, row.request_id, "rejected", "full", None)
-                    continue
-                holds[row.request_id] = (next_id, now + self._timeout_ms)
-                yield self._event(key, now, row.request_id, "paused", "hold", next_id)
-                next_id += 1
-            elif row.request_id in holds:
-                approval_id, _ = holds.pop(row.request_id)
-                yield self._event(key, now, row.request_id, _DECISIONS[row.kind], row.kind, approval_id)
-        self._save(next_id, holds)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        next_id, holds = self._load()
-        yield from self._expire(key, holds, expiredTimerInfo.getExpiryTimeInMs())
-        self._save(next_id, holds)
-
     def close(self) -> None:
         pass
 
 
 def hold_events(
     requests: DataFrame,
-    max_pending: int = MAX_PENDING_HOLDS,
+    lateness: str,
+    max_pending: int | None = None,
     timeout_seconds: int = HOLD_TIMEOUT_SECONDS,
-    lateness: str = "0 seconds",
 ) -> DataFrame:
-    """Audit events of holds from a stream of pauses and resolutions."""
+    """Audit events of holds from a stream of pauses and resolutions.
+
+    `seq` must be unique within a gateway.
+    """
+    group = ["gateway"] if max_pending is not None else ["gateway", "request_id"]
     return (
         requests.withWatermark("ts", lateness)
         .withColumn("at_ms", F.unix_millis("ts"))
-        .groupBy("gateway")
+        .groupBy(*group)
         .transformWithState(
             statefulProcessor=HoldRegistry(max_pending, timeout_seconds),
             outputStructType=HOLD_OUTPUT_SCHEMA,
