@@ -176,9 +176,3 @@ def test_slices_are_utf16(spark):
 def test_record_numbers_are_never_cut(spark):
     df = spark.range(1).select(*[corpus.record_number(F.lit(n)).alias(f"n{n}") for n in (7, 99999, 1234567)])
     assert tuple(df.first()) == ("00007", "99999", "1234567")
-
-
-def test_latency(spark):
-    runs = spark.createDataFrame([(10, 20.0), (10, 40.0)], "docs bigint, millis double")
-    row = scoring.latency(runs).first()
-    assert (row.mean_ms, row.p99_ms) == (3.0, 4.0) and round(row.docs_per_second) == 333

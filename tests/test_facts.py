@@ -110,12 +110,14 @@ def test_inspectable_text_against_decoder(spark):
 
 
 def test_body_limits(spark):
-    limit = bodies.INSPECT_LIMIT_BYTES
-    rows = [(0, 10, None), (1, 10, 10), (2, 10, limit + 1), (3, limit + 1, None), (4, limit, limit)]
+    limit = 1_000
+    rows = [(0, 10, None), (1, 10, 10), (2, 10, limit + 1), (3, limit + 1, None), (4, limit, limit), (5, limit + 1, 7), (6, None, limit + 1)]
     df = spark.createDataFrame(rows, "i int, size int, declared bigint").withColumn("body", F.repeat(F.lit("x"), F.col("size")).cast("binary"))
-    df = df.select("i", bodies.body_size("body", "declared").alias("s"), bodies.is_scannable("body", "declared").alias("ok"))
-    assert results(df, "s") == [10, 10, limit + 1, -1, limit]
-    assert results(df, "ok") == [True, True, False, False, True]
+    df = df.select("i", *(f("body", "declared", n).alias(c) for c, f, n in (
+        ("s", bodies.body_size, limit), ("ok", bodies.is_scannable, limit), ("all", bodies.body_size, None), ("any", bodies.is_scannable, None))))
+    assert results(df, "s") == [10, 10, 10, -1, limit, 7, limit + 1]
+    assert results(df, "ok") == [True, True, True, False, True, False, False]
+    assert results(df, "all") == [10, 10, 10, limit + 1, limit, limit + 1, limit + 1] and all(results(df, "any"))
 
 
 PATHS = {

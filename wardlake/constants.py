@@ -7,15 +7,9 @@ VERDICTS = ["allow", "deny", "pause"]
 DECISIONS = ["allowed", "denied", "paused", "approved", "rejected"]
 
 # Limits.
-INSPECT_LIMIT_BYTES = 2 * 1024 * 1024
 HOLD_TIMEOUT_SECONDS = 300
-MAX_PENDING_HOLDS = 1024
 AUDIT_RING_CAPACITY = 1024
-MAX_RETAINED_MAPPINGS = 8192
-MAX_RETAINED_BYTES = 8 * 1024 * 1024
-JSON_DEPTH_LIMIT = 64
 DEFAULT_AUDIT_LIMIT = 200
-LIVE_AUDIT_LIMIT = 1000
 REDACTION_SEVERITY_FLOOR = 2
 BLOCKING_SEVERITY = 3
 PERSON_MIN_LENGTH = 3
@@ -80,6 +74,3 @@ NEGATIVE_FP_BUDGET = 5
 
 # Record sources of the evaluation sets; the generated ones carry our own names.
 EVAL_SOURCES = ["kdpii", "ko-pii-synth", "synthetic", "hard-negative"]
-
-# Text that replaces a JSON subtree deeper than the scan depth.
-DEPTH_MARKER = "[redacted: nesting exceeds scan depth]"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardlake.constants import INSPECT_LIMIT_BYTES
 from wardlake.functions.expressions import ColumnLike, as_column, ascii_lower, let
 
 # Hex of an incomplete but so far legal UTF-8 sequence at the end of a body:
@@ -25,22 +24,24 @@ def is_json_type(content_type: ColumnLike) -> Column:
     return F.coalesce((mime == "application/json") | mime.endswith("+json"), F.lit(False))
 
 
-def body_size(body: ColumnLike, content_length: ColumnLike) -> Column:
-    """Size a policy sees: actual when read, declared when over the limit, else -1."""
+def body_size(body: ColumnLike, content_length: ColumnLike, limit: int | None = None) -> Column:
+    """Size a policy sees: the real one of a body that is there, else the declared one.
+
+    Under a limit, a longer body counts as not read: the declared size, else -1.
+    """
     actual = F.octet_length(as_column(body)).cast("bigint")
     declared = as_column(content_length).cast("bigint")
-    return (
-        F.when(declared > INSPECT_LIMIT_BYTES, declared)
-        .when(declared.isNull() & (actual > INSPECT_LIMIT_BYTES), F.lit(-1).cast("bigint"))
-        .otherwise(actual)
-    )
+    size = F.coalesce(actual, declared)
+    if limit is None:
+        return size
+    return F.when(actual > limit, F.coalesce(declared, F.lit(-1).cast("bigint"))).otherwise(size)
 
 
-def is_scannable(body: ColumnLike, content_length: ColumnLike) -> Column:
-    """Whether a body is small enough to be read for scanning."""
-    actual = F.octet_length(as_column(body)).cast("bigint")
-    declared = as_column(content_length).cast("bigint")
-    return F.coalesce(declared, actual) <= INSPECT_LIMIT_BYTES
+def is_scannable(body: ColumnLike, content_length: ColumnLike, limit: int | None = None) -> Column:
+    """Whether a body may be read for scanning: always, unless a limit in bytes is given."""
+    if limit is None:
+        return F.lit(True)
+    return F.coalesce(F.octet_length(as_column(body)).cast("bigint"), as_column(content_length).cast("bigint")) <= limit
 
 
 def inspectable_text(body: ColumnLike) -> Column:

@@ -33,15 +33,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def keep_when(condition: Column, row: Column) -> Column:
-    """Generator input that yields `row` once when `condition` holds, else nothing.
-
-    `select(explode(keep_when(...)))` filters on a computed value without the
-    optimizer copying that value into a second, pushed-down filter.
-    """
-    return F.when(condition, F.array(row))
-
-
 def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a column that is evaluated exactly once.
 

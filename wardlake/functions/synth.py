@@ -127,12 +127,6 @@ def mobile(u: Draw) -> Column:
     return F.concat(F.lit("010-"), _digits(u, 1, 4), F.lit("-"), _digits(u, 5, 4))
 
 
-def landline(u: Draw) -> Column:
-    return F.concat(
-        F.lit("0"), (below(u(1), 6) + 2).cast("string"), F.lit("-"), _digits(u, 2, 3), F.lit("-"), _digits(u, 5, 4)
-    )
-
-
 def account(u: Draw) -> Column:
     return F.concat(_digits(u, 1, 6), F.lit("-"), _digits(u, 7, 2), F.lit("-"), _digits(u, 9, 6))
 

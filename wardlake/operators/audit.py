@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.constants import (
-    AUDIT_RING_CAPACITY,
     DECISIONS,
     DEFAULT_AUDIT_LIMIT,
-    LIVE_AUDIT_LIMIT,
 )
 from wardlake.operators.sizing import top_per_group
 from wardlake.operators.timeline import row_numbers
@@ -38,15 +36,15 @@ def filter_audit(
     return events
 
 
-def newest_first(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """The newest events; a missing or non-positive limit is the default one."""
-    n = limit if limit and limit > 0 else DEFAULT_AUDIT_LIMIT
-    return events.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc()).limit(n)
+def newest_first(events: DataFrame, limit: int | None = DEFAULT_AUDIT_LIMIT) -> DataFrame:
+    """Events, newest first: all for None, a page of default size for a limit of 0 or less."""
+    ordered = events.orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc())
+    return ordered if limit is None else ordered.limit(limit if limit > 0 else DEFAULT_AUDIT_LIMIT)
 
 
 def query_audit(
     events: DataFrame,
-    limit: int | None = None,
+    limit: int | None = DEFAULT_AUDIT_LIMIT,
     decision: str | None = None,
     since: str | None = None,
     domain: str | None = None,
@@ -61,9 +59,10 @@ def query_from_params(params: Mapping[str, str]) -> dict:
     limit = params.get("limit")
     if limit:
         try:
-            query["limit"] = int(float(limit))
+            wanted = int(float(limit))
         except (ValueError, OverflowError):
-            query["limit"] = None
+            wanted = 0
+        query["limit"] = wanted
     if params.get("decision") in DECISIONS:
         query["decision"] = params["decision"]
     for name in ("since", "domain"):
@@ -73,8 +72,8 @@ def query_from_params(params: Mapping[str, str]) -> dict:
 
 
 def live_recent(events: DataFrame, limit: int = DEFAULT_AUDIT_LIMIT) -> DataFrame:
-    """Newest events of one log by id, at most a fixed number."""
-    return events.orderBy(F.col("id").desc()).limit(max(0, min(limit, LIVE_AUDIT_LIMIT)))
+    """Newest events of one log by id, as many as asked for."""
+    return events.orderBy(F.col("id").desc()).limit(max(0, limit))
 
 
 def decision_dimension(spark: SparkSession) -> DataFrame:
@@ -109,7 +108,7 @@ def number_events(
     return row_numbers(events, log, ts, tie, "id")
 
 
-def ring(events: DataFrame, log: Sequence[str] = (), capacity: int = AUDIT_RING_CAPACITY) -> DataFrame:
+def ring(events: DataFrame, capacity: int, log: Sequence[str] = ()) -> DataFrame:
     """The newest `capacity` events of each log.
 
     A log is cut down in hashed parts before its final ranking, so a very large log

@@ -11,7 +11,6 @@ from wardlake.constants import DIFFICULTIES, EVAL_SOURCES, LANGUAGES, SPLITS, SU
 from wardlake.functions import synth
 from wardlake.functions.expressions import computed, empty_array, utf16_length
 from wardlake.functions.pii import SPAN_TYPE
-from wardlake.operators.sizing import small_side
 from wardlake.schemas import LABEL_MAP_SCHEMA, LABEL_SCHEMA, META_TYPE, RECORD_COLUMNS
 
 
@@ -153,7 +152,7 @@ def map_labels(codes: DataFrame, label_map: DataFrame, source: str) -> DataFrame
     The label configuration has a few dozen rows; it is broadcast if that holds.
     """
     known = label_map.where(F.col("source") == source).select("code", "key")
-    return codes.join(small_side(known), "code", "left")
+    return codes.join(known, "code", "left")
 
 
 def normalize_kdpii(raw: DataFrame, labels: DataFrame, label_map: DataFrame, split: str) -> DataFrame:
@@ -222,7 +221,7 @@ def span_violations(records: DataFrame, labels: DataFrame) -> DataFrame:
         "id", "s.start", "s.end", "s.label", "s.tier", "_units",
         slice_equals(F.col("text"), F.col("s.start"), F.col("s.end"), F.col("s.text")).alias("_same"),
     )
-    known = small_side(labels.select(F.col("key").alias("label"), F.col("tier").alias("_tier")))
+    known = labels.select(F.col("key").alias("label"), F.col("tier").alias("_tier"))
     reason = (
         F.when(~((F.col("start") >= 0) & (F.col("end") > F.col("start"))), "offsets")
         .when(F.col("end") > F.col("_units"), "past_end")

@@ -15,10 +15,10 @@ from wardlake.functions.bodies import (
     redaction_skip_reason,
     scan_bytes,
 )
-from wardlake.functions.expressions import computed
+from wardlake.functions.expressions import ascii_lower, computed
 from wardlake.functions.hosts import canonical_host, request_host
 from wardlake.functions.masking import redact_json_with_spans, redact_with_spans
-from wardlake.functions.pii import detect_located, public_spans, summarize_spans
+from wardlake.functions.pii import detect_located, summarize_spans
 from wardlake.functions.summaries import body_hold_summary, host_hold_summary
 from wardlake.operators.policy import Policy, decide
 from wardlake.schemas import FACT_COLUMNS, FACTS_TYPE
@@ -77,13 +77,14 @@ def connect_host(uri: Column) -> Column:
     return canonical_host(uri)
 
 
-def inspected(requests: DataFrame) -> DataFrame:
+def inspected(requests: DataFrame, limit: int | None = None) -> DataFrame:
     """Scan request bodies once and assemble the facts.
 
     Input is the request schema, optionally with `decoded` (binary) and
     `decode_status` (`decoded`, `unavailable`, `overflow`). Adds the fact columns,
     `is_json`, `scannable`, `scan_text` and `located` (internal spans). No row is
-    dropped: a body that cannot be read still has its request metadata.
+    dropped: a body that cannot be read still has its request metadata. Bodies of any
+    size are read, unless `limit` (bytes) says otherwise.
     """
     if "decode_status" not in requests.columns:
         requests = requests.withColumns({"decode_status": F.lit("decoded"), "decoded": F.col("body")})
@@ -92,8 +93,8 @@ def inspected(requests: DataFrame) -> DataFrame:
         {
             "domain": request_host("uri", "headers"),
             "is_json": is_json_type(header("content-type")),
-            "scannable": is_scannable("body", length),
-            "_size": body_size("body", length),
+            "scannable": is_scannable("body", length, limit),
+            "_size": body_size("body", length, limit),
             "_path": F.regexp_extract(
                 F.col("uri"), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1
             ),
@@ -156,12 +157,13 @@ def intercepted(requests: DataFrame, hosts: str | Sequence[str] | DataFrame) ->
     """CONNECT targets to open: `"none"`, `"all"`, a short host list or a host table."""
     host = connect_host(F.col("uri"))
     if isinstance(hosts, DataFrame):
-        return requests.withColumn("host", host).join(hosts.select("host"), "host", "left_semi")
+        wanted = hosts.select(ascii_lower(F.col("host")).alias("_host"))
+        return requests.withColumn("_host", host).join(wanted, "_host", "left_semi").drop("_host")
     if hosts == "none":
         return requests.where(F.lit(False))
     if hosts == "all":
         return requests
-    return requests.where(host.isin(list(hosts)))
+    return requests.where(host.isin([h.lower() for h in hosts]))
 
 
 def forwarded_bodies(inspected_requests: DataFrame, pads: Column) -> DataFrame:
@@ -186,8 +188,3 @@ def forwarded_bodies(inspected_requests: DataFrame, pads: Column) -> DataFrame:
         F.col("is_json"), redact_json_with_spans(text, F.col("located"), pads)
     ).otherwise(redact_with_spans(text, F.col("located"), pads))
     return computed(staged, "redaction", F.when(F.col("skip_reason").isNull(), rewritten))
-
-
-def visible_spans(inspected_requests: DataFrame) -> DataFrame:
-    """Replace the internal spans by the public ones."""
-    return inspected_requests.withColumn("spans", public_spans(F.col("located"))).drop("located")

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from wardlake.constants import VERDICTS
 from wardlake.functions.expressions import ascii_lower, empty_array
 from wardlake.functions.hosts import domain_suffixes, in_domain_list
-from wardlake.operators.sizing import small_side
 from wardlake.schemas import EGRESS_SCHEMA, FACT_COLUMNS, PII_TYPE, RULE_SCHEMA
 
 
@@ -98,14 +97,29 @@ def _empty_pii() -> Column:
     ).cast(PII_TYPE)
 
 
-def condition_column(condition: str, facts: DataFrame) -> Column:
-    """A condition that never errors into a match: NULL and invalid ones are false."""
-    expression = F.expr(sql_condition(condition)) if condition.strip() else F.lit(False)
+def condition_fault(condition: str, facts: DataFrame) -> str | None:
+    """Why a condition can never match: `empty`, `invalid` or `not boolean`; NULL if it can."""
+    if not condition.strip():
+        return "empty"
     try:
-        kind = facts.select(expression.alias("c")).schema["c"].dataType.simpleString()
+        kind = facts.select(F.expr(sql_condition(condition)).alias("c")).schema["c"].dataType.simpleString()
     except (AnalysisException, ParseException):
+        return "invalid"
+    return None if kind == "boolean" else "not boolean"
+
+
+def condition_column(condition: str, facts: DataFrame) -> Column:
+    """A condition that never errors into a match: NULL and invalid ones are false."""
+    if condition_fault(condition, facts):
         return F.lit(False)
-    return F.coalesce(expression, F.lit(False)) if kind == "boolean" else F.lit(False)
+    return F.coalesce(F.expr(sql_condition(condition)), F.lit(False))
+
+
+def unusable_rules(policy: Policy, requests: DataFrame) -> list[tuple[int, str, str]]:
+    """(position, name, fault) of the rules that never match, so that none goes unnoticed."""
+    facts = _bound(requests)
+    faults = [(i, r.name, condition_fault(r.condition, facts)) for i, r in enumerate(policy.rules)]
+    return [f for f in faults if f[2]]
 
 
 def endpoint_matches(pattern: str, endpoint: Column) -> Column:
@@ -131,15 +145,16 @@ def _hits(policy: Policy, facts: DataFrame) -> list[tuple[Column, Rule]]:
 
 def _outcome(policy: Policy, facts: DataFrame) -> Column:
     """`struct<verdict, rule>` of the first matching rule, else of the egress lists."""
-    verdict, name = None, None
+
+    def decided(verdict: Column, rule: Column) -> Column:
+        return F.struct(verdict.alias("verdict"), rule.alias("rule"))
+
+    egress = decided(egress_verdict(policy, F.col("domain")), F.lit(None).cast("string"))
+    chain = None
     for hit, rule in _hits(policy, facts):
-        verdict = F.when(hit, rule.verdict) if verdict is None else verdict.when(hit, rule.verdict)
-        name = F.when(hit, rule.name) if name is None else name.when(hit, rule.name)
-    egress = egress_verdict(policy, F.col("domain"))
-    return F.struct(
-        (egress if verdict is None else verdict.otherwise(egress)).alias("verdict"),
-        (F.lit(None).cast("string") if name is None else name).alias("rule"),
-    )
+        outcome = decided(F.lit(rule.verdict), F.lit(rule.name))
+        chain = F.when(hit, outcome) if chain is None else chain.when(hit, outcome)
+    return egress if chain is None else chain.otherwise(egress)
 
 
 def _bound(requests: DataFrame) -> DataFrame:
@@ -206,10 +221,10 @@ def host_verdicts(hosts: DataFrame, egress: DataFrame, default: str = "deny") ->
 
     The suffix rule is an equi join: a host is looked up by each of its suffixes,
     the whole host in exact and wildcard form. Work is per distinct host, so a host
-    that holds a large share of the traffic costs one row here. The pattern side is
-    broadcast only while its counted size is small.
+    that holds a large share of the traffic costs one row here. Whether the pattern
+    side is broadcast is left to the planner and its byte threshold.
     """
-    patterns = small_side(pattern_table(egress))
+    patterns = pattern_table(egress)
     keys = hosts.select("host").where(F.col("host").isNotNull()).distinct().select(
         "host", F.posexplode(domain_suffixes("host")).alias("depth", "suffix")
     )

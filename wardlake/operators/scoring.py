@@ -15,7 +15,6 @@ from wardlake.constants import (
 )
 from wardlake.functions.expressions import empty_array
 from wardlake.functions.pii import SPAN_TYPE, detect_spans
-from wardlake.operators.sizing import small_side
 
 
 def forms_overlap(a: Column, b: Column) -> Column:
@@ -49,21 +48,6 @@ def predict(records: DataFrame) -> DataFrame:
     return records.withColumn("spans", detect_spans("text"))
 
 
-def unique_by_id(records: DataFrame, what: str) -> DataFrame:
-    """`(id, spans, …)` with one row per id; a duplicate id fails the job.
-
-    The check rides on the grouping by id that the join needs anyway.
-    """
-    carried = [c for c in records.columns if c != "id"]
-    grouped = records.groupBy("id").agg(
-        F.count("*").alias("_n"), *[F.first(c).alias(c) for c in carried]
-    )
-    duplicate = F.raise_error(F.concat(F.lit(f"duplicate {what} id: "), F.col("id")))
-    return grouped.withColumn(
-        "spans", F.when(F.col("_n") > 1, duplicate.cast(f"array<{SPAN_TYPE}>")).otherwise(F.col("spans"))
-    ).drop("_n")
-
-
 def duplicate_ids(records: DataFrame) -> DataFrame:
     """Ids that occur more than once."""
     return records.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > 1)
@@ -72,14 +56,29 @@ def duplicate_ids(records: DataFrame) -> DataFrame:
 def document_counts(gold: DataFrame, predicted: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """`(id, label, tp, fp, fn)` per document and label.
 
-    One join by id. Matching happens inside the joined row, so no group of spans is
-    collected. A prediction without gold is all false positives, and the reverse.
-    `extra` names gold columns to carry along.
+    Gold and predictions are united and meet in one grouping by id; a duplicate id fails
+    the job there. Matching happens inside the row, so no group of spans is collected. A
+    prediction without gold is all false positives, and the reverse. `extra` names gold
+    columns to carry along.
     """
-    g = unique_by_id(gold.select("id", "spans", *extra), "gold").withColumnRenamed("spans", "_gold")
-    p = unique_by_id(predicted.select("id", "spans"), "prediction").withColumnRenamed("spans", "_predicted")
-    spans = lambda c: scored_spans(F.coalesce(F.col(c), empty_array(SPAN_TYPE)))
-    joined = g.join(p, "id", "full_outer").select("id", *extra, spans("_gold").alias("g"), spans("_predicted").alias("p"))
+    kind = f"array<{SPAN_TYPE}>"
+    sides = gold.select("id", F.lit("gold").alias("_side"), F.col("spans").cast(kind).alias("spans"), *extra).unionByName(
+        predicted.select("id", F.lit("prediction").alias("_side"), F.col("spans").cast(kind).alias("spans")), allowMissingColumns=True
+    )
+
+    def of(side: str, column: str) -> Column:
+        return F.first(F.when(F.col("_side") == side, F.col(column)), ignorenulls=True)
+
+    grouped = sides.groupBy("id").agg(
+        *(F.count_if(F.col("_side") == side).alias(f"_n_{side}") for side in ("gold", "prediction")),
+        of("gold", "spans").alias("_gold"), of("prediction", "spans").alias("_predicted"), *(of("gold", c).alias(c) for c in extra),
+    )
+
+    def spans(side: str, column: str) -> Column:
+        duplicate = F.raise_error(F.concat(F.lit(f"duplicate {side} id: "), F.col("id"))).cast(kind)
+        return F.when(F.col(f"_n_{side}") > 1, duplicate).otherwise(scored_spans(F.coalesce(F.col(column), empty_array(SPAN_TYPE))))
+
+    joined = grouped.select("id", *extra, spans("gold", "_gold").alias("g"), spans("prediction", "_predicted").alias("p"))
     label_of = lambda s: s["label"]
     labels = F.array_union(F.transform("g", label_of), F.transform("p", label_of))
     per_label = joined.select("id", *extra, "g", "p", F.explode(labels).alias("label"))
@@ -112,14 +111,6 @@ def _sums() -> list[Column]:
     return [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn")]
 
 
-def per_label(counts: DataFrame) -> DataFrame:
-    return with_rates(counts.groupBy("label").agg(*_sums()))
-
-
-def micro(counts: DataFrame) -> DataFrame:
-    return with_rates(counts.agg(*_sums()))
-
-
 def score(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Per-label rows and the micro total (label NULL), best F1 first when ordered."""
     counts = document_counts(gold, predicted)
@@ -133,7 +124,7 @@ def best_first(scores: DataFrame) -> DataFrame:
 def breakdown(gold: DataFrame, predicted: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores per tier, per surface, per label, and in total."""
     counts = document_counts(gold, predicted, extra=("surface",))
-    tiers = small_side(labels.select(F.col("key").alias("label"), "tier"))
+    tiers = labels.select(F.col("key").alias("label"), "tier")
     joined = counts.join(tiers, "label", "left")
     grouped = joined.groupingSets(
         [[F.col("tier")], [F.col("surface")], [F.col("label")], []],
@@ -187,16 +178,3 @@ def markdown_rows(scores: DataFrame) -> DataFrame:
     return scores.select(
         "label", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("row")
     )
-
-
-def latency(runs: DataFrame) -> DataFrame:
-    """Mean and p99 milliseconds per document, and documents per second.
-
-    `runs` has one row per measured batch: `docs`, `millis`.
-    """
-    per_doc = F.col("millis") / F.col("docs")
-    return runs.agg(
-        F.avg(per_doc).alias("mean_ms"),
-        F.percentile_approx(per_doc, 0.99).alias("p99_ms"),
-        (F.sum("docs") / (F.sum("millis") / 1000)).alias("docs_per_second"),
-    )

@@ -1,4 +1,4 @@
-"""Joins whose small side is checked, and ranks that survive a hot group."""
+"""Ranks that survive a hot group."""
 
 from __future__ import annotations
 
@@ -7,20 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of short configuration-like tables that may be broadcast.
-BROADCAST_ROWS = 200_000
 # Parts a group is split into before its final ranking.
 RANK_PARTS = 64
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it has at most `max_rows` rows, else leave the join to the planner.
-
-    Counting stops just above the bound, so the check is cheap on a large table too.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def top_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, spread_by: Sequence[str], rank: str
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlake.constants import AUDIT_RING_CAPACITY
 from wardlake.operators.approvals import concurrency, find_pending, holds_pending, lifecycle, oldest_first, pending
 from wardlake.operators.audit import (
     audit_stats,
@@ -32,17 +33,17 @@ def _shown(events: DataFrame) -> DataFrame:
 
 @query(
     f"""SELECT d.decision, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (VALUES ('allowed'), ('denied'), ('paused'), ('approved'), ('rejected')) d(decision)
-LEFT JOIN (SELECT decision, count(*) AS n FROM ({AUDIT_SQL}) WHERE domain LIKE '%.example.com' GROUP BY 1) USING (decision)"""
+LEFT JOIN (SELECT decision, count(*) AS n FROM ({AUDIT_SQL}) GROUP BY 1) USING (decision)"""
 )
 def audit_decision_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per decision, zeros included."""
-    return audit_stats(filter_audit(audit_events(spark, sf_dir), domain=".EXAMPLE.com"))
+    return audit_stats(audit_events(spark, sf_dir))
 
 
 @query(f"SELECT id, timestamp, decision, domain FROM ({AUDIT_SQL}) ORDER BY timestamp DESC NULLS LAST, id DESC LIMIT 200")
 def audit_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest events, default limit."""
-    return _shown(query_audit(audit_events(spark, sf_dir), limit=-1))
+    """The newest events; a page of default size, as the limit is unusable."""
+    return _shown(query_audit(audit_events(spark, sf_dir), **query_from_params({"limit": "-1"})))
 
 
 @query(
@@ -75,9 +76,9 @@ def audit_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overview(events, pending(events))
 
 
-@query(f"SELECT id, timestamp, decision, domain FROM ({AUDIT_SQL}) ORDER BY id DESC LIMIT 1000")
+@query(f"SELECT id, timestamp, decision, domain FROM ({AUDIT_SQL}) ORDER BY id DESC LIMIT 5000")
 def audit_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest events by id; a larger limit is cut to 1000."""
+    """The newest 5,000 events by id."""
     return _shown(live_recent(audit_events(spark, sf_dir), limit=5000))
 
 
@@ -99,13 +100,13 @@ def audit_event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def audit_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest 64 events of each log."""
-    return ring(audit_events(spark, sf_dir), ["log_id"], 64).select("log_id", "id")
+    return ring(audit_events(spark, sf_dir), 64, ["log_id"]).select("log_id", "id")
 
 
 @query(f"SELECT least(count(*), 1024) AS events FROM ({AUDIT_SQL})")
 def audit_ring_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many events a full ring holds."""
-    return events_held(ring(audit_events(spark, sf_dir)))
+    return events_held(ring(audit_events(spark, sf_dir), AUDIT_RING_CAPACITY))
 
 
 @query(f"SELECT id, timestamp, decision, verdict, rule, domain, approval_id FROM ({AUDIT_SQL})")

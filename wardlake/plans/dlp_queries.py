@@ -25,7 +25,8 @@ from wardlake.operators.mappings import mapping_rows, merge, restore, retained,
 from wardlake.plans import checks
 from wardlake.plans.policy_queries import PATHS, uploads
 from wardlake.plans.registry import query
-from wardlake.plans.tables import MACHINE_SECRET, SALT, pick, pick_sql, text_table
+from wardlake.plans.tables import MACHINE_SECRET, SALT, pick, pick_sql, table
+from wardlake.runtime import shared_dir
 
 _DOCS = "SELECT doc_id AS key, text FROM documents"
 _SPANS = checks.spans(_DOCS)
@@ -34,7 +35,7 @@ _SPANS = checks.spans(_DOCS)
 @query(f'SELECT key AS doc_id, label, start, "end", text, 1 AS tier FROM ({_SPANS})')
 def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding with its UTF-16 offsets."""
-    return text_table(spark, sf_dir, "documents").select("doc_id", F.explode(detect_spans("text")).alias("s")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(detect_spans("text")).alias("s")).select(
         "doc_id", "s.label", "s.start", "s.end", "s.text", "s.tier"
     )
 
@@ -45,7 +46,7 @@ SELECT key, string_agg(DISTINCT label, ',' ORDER BY label) AS types, count(*) AS
 )
 def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, count and severity per document; NULL where nothing was found."""
-    return text_table(spark, sf_dir, "documents").select("doc_id", detect_pii("text").alias("p")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", detect_pii("text").alias("p")).select(
         "doc_id", F.array_join("p.types", ",").alias("types"), "p.count", "p.max_severity"
     )
 
@@ -55,7 +56,7 @@ def pii_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def pii_label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings per label over the whole corpus, counted per document first."""
-    per_doc = text_table(spark, sf_dir, "documents").select("doc_id", F.explode(detect_spans("text")).alias("s")).groupBy(
+    per_doc = table(spark, sf_dir, "documents").select("doc_id", F.explode(detect_spans("text")).alias("s")).groupBy(
         "doc_id", "s.label"
     ).agg(F.count("*").alias("n"))
     return per_doc.groupBy("label").agg(
@@ -69,7 +70,7 @@ def pii_label_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in raw pages."""
-    return text_table(spark, sf_dir, "pages").select("page_id", F.explode(detect_spans("html")).alias("s")).groupBy(
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(detect_spans("html")).alias("s")).groupBy(
         "page_id", "s.label"
     ).agg(F.count("*").alias("n"))
 
@@ -102,7 +103,7 @@ def id_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = pick(_ID_TEXTS, F.floor(key / 3) % len(_ID_TEXTS))
     for mark, value in parts.items():
         text = F.replace(text, F.lit(mark), value)
-    return text_table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
 
 
 def _id_texts_sql() -> str:
@@ -138,7 +139,7 @@ def pii_kr_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT key AS doc_id, label, text FROM ({checks.secrets(_DOCS)}) WHERE label = 'GENERIC_SECRET'")
 def secrets_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-anchored credentials."""
-    return text_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.lit("GENERIC_SECRET").alias("label"), F.explode(generic_secrets("text")).alias("text")
     )
 
@@ -159,7 +160,7 @@ def secret_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = pick(_SECRET_TEXTS, key % len(_SECRET_TEXTS))
     for mark, value in parts.items():
         text = F.replace(text, F.lit(mark), value)
-    return text_table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
 
 
 def _secret_texts_sql() -> str:
@@ -201,7 +202,7 @@ _REDACTION_SQL = (
 @query(f"SELECT key AS doc_id, {_REDACTION_SQL} FROM ({_REDACTED})")
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask every document: what fired, and the masked text's hash."""
-    return text_table(spark, sf_dir, "documents").select("doc_id", redact("text", salt_pads(SALT)).alias("r")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", redact("text", salt_pads(SALT)).alias("r")).select(
         "doc_id", *_redaction_columns()
     )
 
@@ -232,7 +233,7 @@ def placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, TRUE AS restored, sha256(text) AS text_hash FROM documents")
 def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mask, then restore row by row: the original text again."""
-    masked = text_table(spark, sf_dir, "documents").select("doc_id", "text", redact("text", salt_pads(SALT)).alias("r"))
+    masked = table(spark, sf_dir, "documents").select("doc_id", "text", redact("text", salt_pads(SALT)).alias("r"))
     back = masked.select("doc_id", "text", restore_text("r.text", F.col("r.mapping")).alias("back"))
     return back.select(
         "doc_id", (F.col("back") == F.col("text")).alias("restored"), F.sha2(F.col("back").cast("binary"), 256).alias("text_hash")
@@ -240,7 +241,7 @@ def detokenize_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = text_table(spark, sf_dir, "documents").select("doc_id", F.lit("main").alias("salt_id"), "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.lit("main").alias("salt_id"), "text")
     masked = computed(documents, "r", redact("text", salt_pads(SALT)))
     return masked.select("doc_id", "salt_id", F.col("r.text").alias("text"), F.col("r.mapping").alias("mapping"))
 
@@ -254,10 +255,14 @@ def document_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def restore_by_mapping_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restore from the mapping table; forged and cut placeholders stay."""
-    masked = masked_documents(spark, sf_dir).drop("mapping")
+    # Texts and mapping come from one pass: masking again for each would cost as much.
+    path = shared_dir(spark, "masked")
+    masked_documents(spark, sf_dir).write.parquet(path)
+    masked = spark.read.parquet(path)
     forged = F.concat("text", F.lit(" <<hs:00000000000000000000000000000000>> <<hs:12"))
     texts = masked.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(forged))
-    restored = restore(texts, merge(document_mapping(spark, sf_dir)), "doc_id", "text", "salt_id")
+    mapping = mapping_rows(masked, "mapping", "doc_id", "salt_id")
+    restored = restore(texts.drop("mapping"), merge(mapping), "doc_id", "text", "salt_id")
     return restored.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"))
 
 
@@ -291,7 +296,7 @@ def mapping_retention_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sessions: conversations whose every turn repeats the session's credential.
 def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     secret = F.sha2(F.concat(F.lit("c"), F.col("conv_id").cast("string")).cast("binary"), 256)
-    return text_table(spark, sf_dir, "conversations").select(
+    return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), "conv_id", "turn", "role",
         F.concat(F.col("text"), F.lit("\nsecret: "), secret).alias("text"),
     )
@@ -329,7 +334,7 @@ def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"note":'), note, F.lit(',"bare":'), F.when(card == "", "0").otherwise(card), F.lit(',"again":"'), card,
         F.lit('","k":"say \\"hi\\" '), card, F.lit('"}'),
     )
-    return text_table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("text"))
 
 
 _WRAPPED_SQL = """SELECT doc_id AS key, '{"note":"' || replace(clean, chr(10), '\\n') || '","bare":' || CASE WHEN card = '' THEN '0' ELSE card END || ',"again":"' || card || '","k":"say \\"hi\\" ' || card || '"}' AS text
@@ -385,8 +390,8 @@ _PROMPTS = "SELECT 'd' || doc_id AS key, text FROM documents UNION ALL SELECT 'c
 @query(_BLOCKED.format(secrets=checks.secrets(_PROMPTS), spans=checks.spans(_PROMPTS)))
 def hook_prompt_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts that must not be sent, with the reason."""
-    documents = text_table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("key"), "text")
-    turns = text_table(spark, sf_dir, "conversations").where("role = 'user'").select(
+    documents = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("key"), "text")
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(
         F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn")).alias("key"), "text"
     )
     judged = F.struct(F.col("key"), prompt_block_reason(F.col("text")).alias("reason"))
@@ -405,7 +410,7 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.replace(pick(PATHS, key % len(PATHS)), F.lit("{k}"), key.cast("string"))
     notebook = key % 2 == 1
     response = F.to_json(F.struct(F.array(F.struct(F.col("text").alias("body"), key.alias("n"))).alias("items"), F.lit("done").alias("status")))
-    return text_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.concat(F.lit("s"), (key % 9).cast("string")).alias("session_id"),
         pick(_EVENTS, F.floor(key / 8) % 4).alias("hook_event_name"),
@@ -476,13 +481,13 @@ def fired_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         redact("text", salt_pads(SALT)),
         lambda r: F.when(r["redacted"], F.array(F.struct(F.col("doc_id"), F.array_join(all_labels(r), ",").alias("labels")))),
     )
-    return text_table(spark, sf_dir, "documents").select(F.explode(outcome).alias("x")).select("x.*")
+    return table(spark, sf_dir, "documents").select(F.explode(outcome).alias("x")).select("x.*")
 
 
 @query(f'SELECT key AS doc_id, label, start, "end" FROM ({_SPANS}) WHERE {checks.severity("label")} >= 2')
 def spans_above_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings at or above the masking floor."""
     spans = F.filter(public_spans(detect_located("text")), lambda s: severity_of(s["label"]) >= 2)
-    return text_table(spark, sf_dir, "documents").select("doc_id", F.explode(spans).alias("s")).select(
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(spans).alias("s")).select(
         "doc_id", "s.label", "s.start", "s.end"
     )

@@ -59,7 +59,6 @@ from wardlake.plans.tables import (
     pick,
     pick_sql,
     table,
-    text_table,
 )
 
 
@@ -257,36 +256,38 @@ def k8s_request_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Bodies: documents as request bodies with declared lengths and types.
 _TYPES = ["application/json", "APPLICATION/JSON; charset=utf-8", "application/problem+json", "text/plain", None, "application/json+x"]
 _OVER = 3_000_000
+_LIMIT = 5_000
+# Every hundredth body is larger than 2 MiB.
+_PADDING = 600_000
 
 
 @query(
-    f"""SELECT doc_id, doc_id % 6 IN (0, 1, 2) AS is_json,
-  CASE WHEN doc_id % 4 = 0 THEN {_OVER} ELSE CAST(strlen(text) AS BIGINT) END AS body_size, doc_id % 4 <> 0 AS scannable,
-  CASE WHEN doc_id % 4 <> 0 AND NOT (doc_id % 5 = 1 AND strlen(text) > 1) THEN length(text) - (doc_id % 5 = 2 AND text <> '')::INT END AS text_chars FROM (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 2 THEN text || 'é' ELSE text END AS text FROM documents)""".replace(
-        "CAST(strlen(text) AS BIGINT)", "CAST(strlen(text) - (doc_id % 5 = 2)::INT + (doc_id % 5 = 1)::INT AS BIGINT)"
-    ).replace("NOT (doc_id % 5 = 1 AND strlen(text) > 1)", "doc_id % 5 <> 1")
+    f"""SELECT doc_id, doc_id % 6 IN (0, 1, 2) AS is_json, size AS body_size,
+  CASE WHEN size > {_LIMIT} THEN CASE WHEN doc_id % 4 = 0 THEN {_OVER} WHEN doc_id % 4 = 1 THEN size ELSE -1 END ELSE size END AS limited_size,
+  size <= {_LIMIT} AS within_limit, CASE WHEN doc_id % 5 <> 1 THEN length(text) END AS text_chars FROM (
+  SELECT doc_id, text, CAST(strlen(text) + (doc_id % 5 IN (1, 2))::INT AS BIGINT) AS size FROM (
+  SELECT doc_id, CASE WHEN doc_id % 100 = 7 THEN repeat('a b ', {_PADDING}) || text ELSE text END AS text FROM documents))"""
 )
 def body_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Type, size and text of bodies: intact, cut inside a character, broken, or too large."""
+    """Type, size and text of bodies: intact, cut inside a character, broken, of any size."""
     key = F.col("doc_id")
-    body = F.encode("text", "UTF-8")
+    padded = F.when(key % 100 == 7, F.concat(F.repeat(F.lit("a b "), F.lit(_PADDING)), F.col("text"))).otherwise(F.col("text"))
+    body = F.encode(padded, "UTF-8")
     cut = F.concat(body, F.unhex(F.lit("C3")))
     broken = F.concat(F.unhex(F.lit("FF")), body)
     staged = table(spark, sf_dir, "documents").select(
         "doc_id",
         pick(_TYPES, key % 6).alias("content_type"),
-        F.when(key % 4 == 0, _OVER).when(key % 4 == 1, F.octet_length("text")).cast("bigint").alias("content_length"),
         F.when(key % 5 == 1, broken).when(key % 5 == 2, cut).otherwise(body).alias("body"),
-    )
-    scannable = is_scannable("body", "content_length")
-    # A declared length below the limit is read whole, so the actual size counts.
+    ).withColumn("content_length", F.when(key % 4 == 0, _OVER).when(key % 4 == 1, F.octet_length("body")).cast("bigint"))
+    # A wrong declared length does not matter where the body is there.
     return staged.select(
         "doc_id",
         is_json_type("content_type").alias("is_json"),
         body_size("body", "content_length").alias("body_size"),
-        scannable.alias("scannable"),
-        let(F.when(scannable, F.col("body")), lambda b: F.length(inspectable_text(b))).alias("text_chars"),
+        body_size("body", "content_length", _LIMIT).alias("limited_size"),
+        is_scannable("body", "content_length", _LIMIT).alias("within_limit"),
+        let(F.col("body"), lambda b: F.length(inspectable_text(b))).alias("text_chars"),
     )
 
 
@@ -411,7 +412,7 @@ def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as captured requests."""
     key = F.col("doc_id")
     headers = F.create_map(F.lit("host"), F.lit("Upload.Example.com:8080"), F.lit("content-type"), F.lit("text/plain"))
-    return text_table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.lit(None).cast("timestamp").alias("ts"),
         pick(["POST", "PUT", "POST"], key % 3).alias("method"),

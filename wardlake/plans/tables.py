@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.operators.policy import Policy, Rule
-from wardlake.runtime import spread
 from wardlake.schemas import FACTS_TYPE
 
 
@@ -18,11 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows are costly to work on, spread over all cores."""
-    return spread(table(spark, sf_dir, name))
-
-
 def pick(options: list[str | None], index: Column) -> Column:
     """An option by position."""
     result = F.when(index == 0, F.lit(options[0]))

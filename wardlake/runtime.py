@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -13,27 +13,19 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared one that the session names.
 
-    Only where the session names none (single-machine tests) is a local one made.
+    A cluster without one is an error; only a single-machine session gets a local one.
+    What is written there may hold live secrets: keep the folder restricted.
     """
     base = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/wardlake/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input with few splits.
-
-    Scanning text costs far more than moving it, and a small table or one with a huge
-    row group would be scanned by a handful of tasks. An input with enough splits, as
-    any large table has, is left alone.
-    """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 def use_state_store(spark: SparkSession) -> None:
     """Select the state store that stateful processors need."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
