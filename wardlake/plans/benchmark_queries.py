@@ -209,7 +209,17 @@ def negatives_fp_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Greedy matching with several forms per document: words of a document as both sides.
-@query()
+_FREE_GOLD = """list_filter(range(1, len(gold) + 1), lambda i: NOT list_contains(used, CAST(i AS VARCHAR))
+  AND (contains(lower(form[1]), lower(gold[i])) OR contains(lower(gold[i]), lower(form[1]))))"""
+
+
+@query(
+    f"""SELECT conv_id, turn, CAST(len(list_reduce(list_transform(predicted, lambda w: [w]),
+  lambda used, form: list_concat(used, list_transform(({_FREE_GOLD})[1:1], lambda i: CAST(i AS VARCHAR))), CAST([] AS VARCHAR[]))) AS BIGINT) AS tp
+FROM (SELECT conv_id, turn, list_filter(words, lambda w, i: (i - 1) % 3 = 0 AND w <> '') AS gold,
+    list_filter(words, lambda w, i: (i - 1) % 2 = 0 AND w <> '') AS predicted
+  FROM (SELECT conv_id, turn, string_split_regex(text, '[^\\pL]+') AS words FROM conversations))"""
+)
 def greedy_form_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many predicted forms find a free gold form, on conversation texts."""
     words = lambda step: F.filter(

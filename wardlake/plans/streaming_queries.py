@@ -187,7 +187,26 @@ def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("gateway", "request_id", "at_ms", "decision", "cause")
 
 
-@query()
+# One hold at most, as a fold over each gateway's events in time order. The state is
+# [open request or -1, deadline, paused, full, approved, rejected, disconnected, timed out].
+_ONE_HOLD = """list_reduce(list([ms, kind_code, request_id] ORDER BY ms, seq), lambda s, e: [
+  CASE WHEN e[2] = 0 AND (s[1] < 0 OR s[2] < e[1]) THEN e[3] WHEN e[2] > 0 AND s[1] = e[3] OR s[2] < e[1] THEN -1 ELSE s[1] END,
+  CASE WHEN e[2] = 0 AND (s[1] < 0 OR s[2] < e[1]) THEN e[1] + 3600000 ELSE s[2] END,
+  s[3] + (e[2] = 0 AND (s[1] < 0 OR s[2] < e[1]))::BIGINT, s[4] + (e[2] = 0 AND s[1] >= 0 AND s[2] >= e[1])::BIGINT,
+  s[5] + (e[2] = 1 AND s[1] = e[3] AND s[2] >= e[1])::BIGINT, s[6] + (e[2] = 2 AND s[1] = e[3] AND s[2] >= e[1])::BIGINT,
+  s[7] + (e[2] = 3 AND s[1] = e[3] AND s[2] >= e[1])::BIGINT, s[8] + (s[1] >= 0 AND s[2] < e[1])::BIGINT],
+  CAST([-1, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]))"""
+
+
+@query(
+    f"""SELECT gateway, o.decision, o.cause, o.n FROM (
+SELECT gateway, unnest([{{'decision': 'paused', 'cause': 'hold', 'n': s[3]}}, {{'decision': 'rejected', 'cause': 'full', 'n': s[4]}},
+  {{'decision': 'approved', 'cause': 'approve', 'n': s[5]}}, {{'decision': 'rejected', 'cause': 'reject', 'n': s[6]}},
+  {{'decision': 'rejected', 'cause': 'disconnect', 'n': s[7]}},
+  {{'decision': 'rejected', 'cause': 'timeout', 'n': s[8] + (s[1] >= 0 AND s[2] <= (SELECT max(epoch_us(ts) // 1000) FROM events))::BIGINT}}]) AS o
+FROM (SELECT gateway, {_ONE_HOLD} AS s
+  FROM (SELECT *, CASE kind WHEN 'pause' THEN 0 WHEN 'approve' THEN 1 WHEN 'reject' THEN 2 ELSE 3 END AS kind_code FROM ({_HOLDS})) GROUP BY gateway)) WHERE o.n > 0"""
+)
 def stream_approvals_full_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live holds with room for one per gateway: what a full queue refuses."""
     use_state_store(spark)
