@@ -7,6 +7,7 @@ from wardlake.plans import (  # noqa: F401
     benchmark_queries,
     dlp_queries,
     policy_queries,
+    source_queries,
     sql_queries,
     streaming_queries,
 )
