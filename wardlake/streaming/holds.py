@@ -2,7 +2,7 @@
 
 Events wait in state until the watermark has passed them and are then handled in time
 order, so neither batch boundaries nor early resolutions change the outcome. Without a
-cap, requests are independent and each is a group of its own. A cap makes admission
+cap, requests are independent and are dealt to many groups. A cap makes admission
 sequential within a gateway, since every refusal changes what follows; only then is the
 gateway the group.
 
@@ -26,6 +26,8 @@ HOLD_INPUT_SCHEMA = "gateway string, ts timestamp, seq bigint, kind string, requ
 HOLD_OUTPUT_SCHEMA = (
     "gateway string, at_ms bigint, request_id bigint, decision string, cause string, approval_id bigint"
 )
+# Parts that a gateway's independent requests are dealt to; a state call per request costs more.
+_PARTS = 64
 _DECISIONS = {"approve": "approved", "reject": "rejected", "disconnect": "rejected"}
 
 
@@ -49,9 +51,8 @@ class HoldRegistry(StatefulProcessor):
         for row in rows:
             self._waiting.updateValue((row.at_ms, row.seq), (row.kind, row.request_id))
             times.add(row.at_ms)
-        # One timer per time of this batch; each handles what is due by then.
-        for at_ms in times:
-            self._handle.registerTimer(at_ms)
+        # The first timer that the watermark passes handles all that is due by then.
+        self._handle.registerTimer(min(times))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -73,8 +74,6 @@ class HoldRegistry(StatefulProcessor):
                     yield self._event(key, at_ms, request_id, "rejected", "full", None)
                     continue
                 holds[seq] = (request_id, at_ms + self._timeout_ms)
-                if at_ms + self._timeout_ms > now:
-                    self._handle.registerTimer(at_ms + self._timeout_ms)
                 yield self._event(key, at_ms, request_id, "paused", "hold", seq)
             else:
                 for approval_id in sorted(a for a, (r, _) in holds.items() if r == request_id):
@@ -85,7 +84,9 @@ class HoldRegistry(StatefulProcessor):
             self._open.removeKey((approval_id,))
         for approval_id in holds.keys() - before.keys():
             self._open.updateValue((approval_id,), holds[approval_id])
-        if holds or len(due) < len(waiting):
+        later = [k[0] for k, _ in waiting if k[0] > now] + [d for _, d in holds.values()]
+        if later:
+            self._handle.registerTimer(min(later))
             self._handled.update((now,))
         else:
             self._handled.clear()
@@ -117,9 +118,10 @@ def hold_events(
 
     `seq` must be unique within a gateway.
     """
-    group = ["gateway"] if max_pending is not None else ["gateway", "request_id"]
+    group = ["gateway"] if max_pending is not None else ["gateway", "part"]
     return (
-        requests.withWatermark("ts", lateness)
+        requests.withColumn("part", F.pmod(F.xxhash64("request_id"), F.lit(_PARTS)))
+        .withWatermark("ts", lateness)
         .withColumn("at_ms", F.unix_millis("ts"))
         .groupBy(*group)
         .transformWithState(
