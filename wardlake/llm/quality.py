@@ -32,15 +32,18 @@ MOST_REPEATED_PERCENT = 50
 WINDOW = 3
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-# Standard deviations that the vector's components are never taken below.
-FLOORS = (0.06, 0.05, 0.20, 0.20)
+# Standard deviations that the vector's components are never taken below. With the limit
+# they let each share reject alone: about half of the lines repeated, or two fifths of the
+# words in repeated windows (shares are squares of components).
+FLOORS = (0.06, 0.05, 0.13, 0.115)
 P = len(FLOORS)
 # Share of the rows that the determinant is minimised over.
 CORE = 0.75
 STEPS = 4
 # Groups with fewer rows share one estimate.
 LEAST_ROWS = 50
-# Squared distance beyond which a row is rejected.
+# Squared distance beyond which a row is rejected: chi-square with four degrees of freedom
+# exceeds it with a chance of 5 in a million.
 LIMIT = 30.0
 
 
