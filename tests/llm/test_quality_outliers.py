@@ -45,3 +45,21 @@ def test_repeated_windows_alone_reject(spark):
     got = judged(spark, rows)
     assert all(got[i].kept for i in range(200))
     assert not any(got[i].base_failed or got[i].kept for i in range(200, 204))
+
+
+@pytest.mark.parametrize("kind", ["long words", "symbols", "one copied text"])
+def test_much_junk_in_one_source(spark, kind):
+    rng = random.Random(3)
+    rows = [(i, clean(rng), "en", "a") for i in range(180)]
+    copied = " ".join("".join(rng.choice("abcdefghij") for _ in range(15)) for _ in range(100))
+    for i in range(180, 300):
+        if kind == "long words":
+            text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(10, 18))) for _ in range(120))
+        elif kind == "symbols":
+            text = " ".join(w + "#" * rng.randrange(1, 4) for w in clean(rng).split())
+        else:
+            text = copied
+        rows.append((i, text, "en", "a"))
+    got = judged(spark, rows)
+    assert all(got[i].kept for i in range(180))
+    assert not any(got[i].kept for i in range(180, 300))

@@ -2,11 +2,13 @@
 
 Per text, built-in expressions count words, symbols, repeated lines and repeated word
 windows. Four transformed statistics form a vector. For each language and source, the
-minimum covariance determinant is estimated by concentration steps: start from medians
-and median deviations, keep the three quarters of the rows that are nearest, take their
-mean and covariance, repeat; then reweight once. Every step is an aggregation over all
-rows with partial sums, so a source with most of the rows is no burden. A row whose
-squared Mahalanobis distance exceeds the limit is rejected.
+minimum covariance determinant is estimated by concentration steps: keep the half of the
+rows that is nearest, take its mean and covariance, repeat until the determinant stays;
+then reweight once. One start is medians and median deviations, the others are a few
+distinct rows drawn by hash; the one that ends with the least determinant is taken. With
+a core of half of the rows, up to nearly half of a group may be junk. Every step is an
+aggregation over all rows with partial sums, so a source with most of the rows is no
+burden. A row whose squared Mahalanobis distance exceeds the limit is rejected.
 
 A variance is never taken below a floor: in clean text some statistics are constant, and
 an exact fit would reject every row that differs at all. Groups with few rows are pooled.
@@ -38,8 +40,13 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FLOORS = (0.06, 0.05, 0.13, 0.115)
 P = len(FLOORS)
 # Share of the rows that the determinant is minimised over.
-CORE = 0.75
-STEPS = 4
+CORE = 0.5
+# Concentration steps end when no log determinant changes by more than _STAYS, or here.
+STEPS = 30
+_STAYS = 1e-7
+# Starts besides the medians, and distinct rows in each.
+STARTS = 4
+START_ROWS = P + 1
 # Groups with fewer rows share one estimate.
 LEAST_ROWS = 50
 # Squared distance beyond which a row is rejected: chi-square with four degrees of freedom
@@ -146,7 +153,12 @@ def _whitened(centres: DataFrame) -> DataFrame:
             else:
                 value = -sum((F.col(f"l_{i}_{k}") * F.col(f"w_{k}_{j}") for k in range(j, i)), F.lit(0.0)) / F.col(f"l_{i}_{i}")
             df = df.withColumn(f"w_{i}_{j}", value)
-    return df.select("grp", *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in _PAIRS))
+    return df.select("grp", "start", *(f"m_{i}" for i in range(P)), *(f"w_{i}_{j}" for i, j in _PAIRS))
+
+
+def _log_determinant() -> Column:
+    """Of the covariance whose inverse Cholesky factor is w_i_j."""
+    return -2 * sum((F.log(f"w_{i}_{i}") for i in range(P)), F.lit(0.0))
 
 
 def _distance(vector: list[Column]) -> Column:
@@ -157,23 +169,20 @@ def _distance(vector: list[Column]) -> Column:
 
 
 def _moments(rows: DataFrame, factor: float) -> DataFrame:
-    """Mean and floored covariance per group of rows with x_i."""
+    """Mean and floored covariance per group and start of rows with x_i."""
     sums = [F.avg(f"x_{i}").alias(f"m_{i}") for i in range(P)]
     products = [F.covar_pop(f"x_{i}", f"x_{j}").alias(f"v_{i}_{j}") for i, j in _PAIRS]
-    found = rows.groupBy("grp").agg(*sums, *products)
+    found = rows.groupBy("grp", "start").agg(*sums, *products)
 
     def floored(i: int, j: int) -> Column:
         value = factor * F.col(f"v_{i}_{j}")
         return (value + FLOORS[i] ** 2 if i == j else value).alias(f"c_{i}_{j}")
 
-    return found.select("grp", *(f"m_{i}" for i in range(P)), *(floored(i, j) for i, j in _PAIRS))
-
+    return found.select("grp", "start", *(f"m_{i}" for i in range(P)), *(floored(i, j) for i, j in _PAIRS))
 
-def fit(rows: DataFrame, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Centre and inverse Cholesky factor per group, of rows with grp and x_i.
 
-    `small` marks tables of one row per group for their joins with the rows.
-    """
+def _starts(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A first model per group and start; start 0 is medians and median deviations."""
     ranks = [F.percentile_approx(f"x_{i}", 0.5, 2000).alias(f"m_{i}") for i in range(P)]
     middle = rows.groupBy("grp").agg(*ranks)
     spread = rows.join(small(middle), "grp").groupBy("grp").agg(
@@ -184,19 +193,48 @@ def fit(rows: DataFrame, small: Callable[[DataFrame], DataFrame] = lambda df: df
     start = [
         (F.pow(1.4826 * F.col(f"s_{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in _PAIRS
     ]
-    model = durable(_whitened(spread.select("grp", *(f"m_{i}" for i in range(P)), *start)))
+    medians = spread.select("grp", F.lit(0).alias("start"), *(f"m_{i}" for i in range(P)), *start)
+    # Equal rows have equal hashes, so copies of one text count once in a draw.
+    x = [F.col(f"x_{i}") for i in range(P)]
+    drawn = [F.min(F.struct(F.xxhash64(*x, F.lit(k)).alias("h"), *x)) for k in range(STARTS * START_ROWS)]
+    listed = rows.groupBy("grp").agg(F.array(*drawn).alias("drawn")).select("grp", F.posexplode("drawn").alias("k", "row"))
+    few = listed.select("grp", (F.floor(F.col("k") / START_ROWS) + 1).cast("int").alias("start"), "row.*")
+    return _whitened(medians.unionByName(_moments(few, 1.0)))
+
+
+def fit(rows: DataFrame, small: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Centre and inverse Cholesky factor per group, of rows with grp and x_i.
+
+    `small` marks tables of a few rows per group for their joins with the rows.
+    """
     vector = [F.col(f"x_{i}") for i in range(P)]
-    for step in range(STEPS + 1):
-        placed = rows.join(small(model), "grp").select("grp", *(f"x_{i}" for i in range(P)), _distance(vector).alias("d2"))
-        if step < STEPS:
-            cut = placed.groupBy("grp").agg(F.percentile_approx("d2", CORE, 2000).alias("cut"))
-            core, factor = placed.join(small(cut), "grp").where("d2 <= cut"), _CORE_FACTOR
-        else:
-            # The nearest row stays in even where all are far, so that no group is lost.
-            cut = placed.groupBy("grp").agg(F.greatest(F.lit(_REWEIGHT_CUT), F.percentile_approx("d2", 0.5, 2000)).alias("cut"))
-            core, factor = placed.join(small(cut), "grp").where("d2 <= cut"), 1.0
-        model = durable(_whitened(_moments(core, factor)))
-    return model
+    key = ["grp", "start"]
+
+    def placed(model: DataFrame) -> DataFrame:
+        return rows.join(small(model), "grp").select(*key, *(f"x_{i}" for i in range(P)), _distance(vector).alias("d2"))
+
+    model, done = durable(_starts(rows, small)), None
+    for _ in range(STEPS):
+        near = placed(model)
+        cut = near.groupBy(*key).agg(F.percentile_approx("d2", CORE, 2000).alias("cut"))
+        core = near.join(small(cut), key).where("d2 <= cut")
+        was = model.select(*key, _log_determinant().alias("was"))
+        after = _whitened(_moments(core, _CORE_FACTOR)).join(small(was), key)
+        after = durable(after.withColumn("stays", F.abs(_log_determinant() - F.col("was")) <= _STAYS).drop("was"))
+        ended = after.where("stays").drop("stays")
+        done = ended if done is None else done.unionByName(ended)
+        model = after.where("not stays").drop("stays")
+        if model.isEmpty():
+            break
+    # Determinants that are equal up to rounding leave the earlier start.
+    every = done.unionByName(model)
+    best = F.min_by(F.struct(*every.columns), F.struct(F.round(_log_determinant(), 5), "start")).alias("best")
+    model = durable(every.groupBy("grp").agg(best).select("best.*"))
+    near = placed(model)
+    # The nearest row stays in even where all are far, so that no group is lost.
+    cut = near.groupBy(*key).agg(F.greatest(F.lit(_REWEIGHT_CUT), F.percentile_approx("d2", 0.5, 2000)).alias("cut"))
+    core = near.join(small(cut), key).where("d2 <= cut")
+    return durable(_whitened(_moments(core, 1.0)).drop("start"))
 
 
 def _grouped(df: DataFrame, language: str, source: str) -> DataFrame:
