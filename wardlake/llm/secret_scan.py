@@ -4,8 +4,9 @@ Base patterns find assignments to secret-like names, access key ids and long hex
 The method adds strings that no pattern names: in a sensitive context (a word such as
 `password` or `credential` shortly before), each candidate string is priced by the bytes
 it adds to the compressed text around it, with a compressor primed by a dictionary of
-identifiers. Words, names and repeated values cost little; a string that stays near one
-byte per character is reported.
+identifiers. Words and names cost little; a string that stays near one byte per character
+is reported. Other occurrences of the same string are taken out of the text around, so a
+secret that stands twice is found twice.
 
 Spans are code points, end exclusive. Defined results: null and empty texts have no
 spans; whole texts are read, however long; repeated rows each get their spans.
@@ -88,8 +89,9 @@ class Novelty:
         ).compress
 
     def added(self, before: str, value: str, after: str) -> int:
-        """Compressed bytes with the value less those without it."""
+        """Compressed bytes with the value less those without it; its other occurrences around do not count."""
         before, value, after = (x.encode("utf-8", "surrogatepass") for x in (before, value, after))
+        before, after = before.replace(value, b""), after.replace(value, b"")
         return len(self._compress(before + value + after)) - len(self._compress(before + after))
 
     def spans(self, text: str, base: list[Span], least: float = LEAST_NOVELTY) -> list[Span]:
