@@ -2,7 +2,8 @@
 
 Base patterns find assignments to secret-like names, access key ids and long hex runs.
 The method adds strings that no pattern names: in a sensitive context (a word such as
-`password` or `credential` shortly before), each candidate string is priced by the bytes
+`password` or `credential` near on either side or on the same line, or another secret
+shortly before), each candidate string is priced by the bytes
 it adds to the compressed text around it, with a compressor primed by a dictionary of
 identifiers. Words and names cost little; a string that stays near one byte per character
 is reported. Other occurrences of the same string are taken out of the text around, so a
@@ -15,7 +16,8 @@ spans; whole texts are read, however long; repeated rows each get their spans.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,14 +35,18 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE = 8
 LEAST_ACCESS = 16
 
-# A candidate starts within this many code points after a sensitive word.
+# A candidate is within this many code points of a sensitive word, on its line, or within
+# this many after another secret.
 NEAR = 64
 SENSITIVE = re.compile(
     r"(?ai:password|passwd|passphrase|secret|token|api[_-]?key|credential|private|bearer|authorization|signature|access[_-]?key)"
 )
 # One of these is in any text in which SENSITIVE matches.
 _SENSITIVE_PARTS = ("passw", "passphrase", "secret", "token", "key", "credential", "private", "bearer", "authorization", "signature")
+LEAST_LENGTH = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# The short last line of an encoded block whose line before is a secret.
+TAIL = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_=]{1,15})(?=\r?\n[\x20\t]*-----END)")
 # Text on either side that a candidate is compressed with.
 AROUND = 1024
 # Added bytes per character from which a string counts as incompressible.
@@ -100,24 +106,52 @@ class Novelty:
         lowered = text.lower()
         if not any(part in lowered for part in _SENSITIVE_PARTS):
             return found
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        if not words:
+            return found
+        firsts = [s for s, _ in words]
+        breaks = [m.start() for m in re.finditer("\n", text)]
         covered = _merged(base)
         starts = [s for s, _ in covered]
-        reached = 0
-        for word in SENSITIVE.finditer(text):
-            near = word.end() + NEAR
-            at = max(word.end(), reached)
-            while at <= near and (m := CANDIDATE.search(text, at)) and m.start() <= near:
-                at = reached = m.end()
-                start, end = m.span()
-                before = bisect_right(starts, end - 1) - 1  # the last base span that starts before the end
-                if before >= 0 and covered[before][1] > start or not _mixed(m.group()):
-                    continue
-                cost = self.added(text[max(0, start - AROUND) : start], m.group(), text[end : end + AROUND])
-                if cost >= least * (end - start):
-                    found.append((start, end, "novel"))
+        ran_on = -1  # up to here the context runs on from the last secret
+        for start, end in _candidates(text, words, firsts):
+            before = bisect_right(starts, end - 1) - 1  # the last base span that starts before the end
+            if before >= 0 and covered[before][1] > start:
+                ran_on = end + NEAR
+                continue
+            if start > ran_on and not _near_word(start, end, words, firsts, breaks):
+                continue
+            # Other long strings around, such as the lines of a key block, tell nothing about this one.
+            around = (CANDIDATE.sub("", text[max(0, start - AROUND) : start]), CANDIDATE.sub("", text[end : end + AROUND]))
+            cost = self.added(around[0], text[start:end], around[1])
+            if cost >= least * (end - start):
+                found.append((start, end, "novel"))
+                ran_on = end + NEAR
+                if tail := TAIL.match(text, end):
+                    found.append((*tail.span(1), "novel"))
         return found
 
 
+def _candidates(text: str, words: list[tuple[int, int]], firsts: list[int]) -> Iterator[tuple[int, int]]:
+    """Spans of long strings, in order; sensitive words in a string cut it."""
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        for k in range(bisect_left(firsts, at), bisect_left(firsts, m.end())):
+            if words[k][0] - at >= LEAST_LENGTH:
+                yield at, words[k][0]
+            at = words[k][1]
+        if m.end() - at >= LEAST_LENGTH:
+            yield at, m.end()
+
+
+def _near_word(start: int, end: int, words: list[tuple[int, int]], firsts: list[int], breaks: list[int]) -> bool:
+    """Whether a sensitive word is near on either side or on the same line."""
+    k = bisect_right(firsts, start)
+    if k and (start - words[k - 1][1] <= NEAR or bisect_left(breaks, words[k - 1][1]) == bisect_left(breaks, start)):
+        return True
+    return k < len(words) and (words[k][0] - end <= NEAR or bisect_left(breaks, words[k][0]) == bisect_left(breaks, end))
+
+
 def _merged(spans: list[Span]) -> list[tuple[int, int]]:
     """Disjoint intervals, in order, that cover the same positions."""
     out: list[tuple[int, int]] = []
@@ -129,11 +163,6 @@ def _merged(spans: list[Span]) -> list[tuple[int, int]]:
     return out
 
 
-def _mixed(value: str) -> bool:
-    """Two of lower case, upper case and digits at least; words have one."""
-    return sum((any(map(str.islower, value)), any(map(str.isupper, value[1:])), any(map(str.isdigit, value)))) > 1
-
-
 def all_spans(text: str | None, novelty: Novelty) -> list[Span]:
     """Base and added spans of a whole text, in order."""
     if not text:
