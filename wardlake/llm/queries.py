@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import ann, mixing, packing, quality, secret_scan, sharding, simhash, tokens, urls, warc, whitening
+from wardlake.llm import ann, mixing, packing, quality, secret_scan, sharding, simhash, tokens, urls, warc, wavelet, whitening
 from wardlake.llm.common import table, word_count
 from wardlake.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -185,6 +185,14 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, tokens and checksum of every document, read back from shard files."""
+    import public_tokenizers
+
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query()
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leading whitened components of every vector."""
