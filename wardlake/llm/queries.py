@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import ann, mixing, packing, quality, secret_scan, sharding, simhash, tokens, urls, warc, wavelet, whitening
+from wardlake.llm import ann, lexical, mixing, packing, quality, secret_scan, sharding, simhash, tokens, urls, warc, wavelet, whitening
 from wardlake.llm.common import table, word_count
 from wardlake.llm.registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -185,6 +185,12 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, tokens and checksum of every document, read back from shard files."""
