@@ -77,6 +77,8 @@ def test_words_make_whole_texts():
     parts = ["a", "Ä", "Å", "́", "İ", "ΟΔΟΣ", "Σ", "ﬁ", "가", "ᄀ", "ᅡ", "漢字", "😀", "'s", "'LL", "don't", "12", "½", "<|endoftext|>", "<|endof", "text|>"]
     parts += [" ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", " ", "​", " ", "\x00", "-", "_", ".", "</w>", "x" * 70]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(3_000)]
+    texts += ["".join(chr(rng.randrange(0x270)) for _ in range(rng.randrange(40))) for _ in range(2_000)]
+    texts += [a + chr(c) + b for c in range(0x251) for a in ("", "a", "'") for b in ("", "s", "'S")]
     encoder.prepare()
     assert encoder.by_words
     want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
@@ -84,6 +86,14 @@ def test_words_make_whole_texts():
     assert encoder.encode([None, ""]) == [b"", b""]
 
 
+def test_full_caches(monkeypatch):
+    monkeypatch.setattr(wavelet, "_CACHE_PIECES", 10)
+    encoder, library, rng = wavelet.WordEncoder(open(PATH).read()), Tokenizer.from_file(PATH), random.Random(6)
+    for _ in range(20):
+        texts = [" ".join(f"w{rng.randrange(60)}, É{rng.choice(['', 'é漢'])}{rng.randrange(9)}" + "z" * rng.choice([1, 60]) for _ in range(9)) for _ in range(3)]
+        assert encoder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder, library = wavelet.WordEncoder(open(path).read()), Tokenizer.from_file(path)

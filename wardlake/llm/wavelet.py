@@ -24,8 +24,11 @@ gives an empty result.
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,26 +46,33 @@ SHARD_TOKENS = 1 << 22
 _MAGIC = b"WAVELET1"
 _BLOCK_BITS = 1 << 18
 _LEVEL = 3
-# Words whose ids a worker remembers, and the longest of them in bytes.
-_CACHE_WORDS = 400_000
+# Pieces, and words, whose ids a worker remembers, and the longest of them.
+_CACHE_PIECES = 600_000
 _LONGEST_KEPT = 48
+# Plain characters lie below; they are their own normal form, and so are their small letters.
+_PLAIN_END = 0x180
+# White space below that, as tokenizers' patterns have it.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 # Rows of the manifest that are added up in one window.
 _SUM_ROWS = 4_096
 
 
 class WordEncoder:
-    """Ids of a text, word by word.
+    """Ids of a text, piece by piece.
 
     If the tokenizer drops white space and nothing in it looks across, the ids of a text are
-    those of its words in a row. Words are split at the six ASCII white-space characters
-    only, which every such tokenizer treats as white space, and remembered. Any other
-    tokenizer encodes whole texts.
+    those of its pieces in a row, and ids of pieces are remembered. A text of plain Latin
+    characters, which no normal form changes, is cut into lower-case pieces by the
+    tokenizer's own pattern. Any other text is cut into words, at the six ASCII white-space
+    characters only, which every such tokenizer treats as white space. Any other tokenizer
+    encodes whole texts.
     """
 
     def __init__(self, definition: str) -> None:
         self.definition = definition
         self.tokenizer = None
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[str | bytes, bytes] = {}
+        self.pieces: dict[str | bytes, bytes] = {}
 
     def prepare(self) -> None:
         from tokenizers import Tokenizer
@@ -71,17 +81,38 @@ class WordEncoder:
         parsed = json.loads(self.definition)
         self.by_words = self._drops_space(parsed) and not parsed.get("truncation") and not parsed.get("padding")
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        if not self.by_words:
+            return
+        steps = self._steps(parsed)
+        self.lowers = {"type": "Lowercase"} in steps
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in parsed["added_tokens"]) or "(?!)").search
+        kinds = {k: "".join(re.escape(chr(c)) for c in range(_PLAIN_END) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
+        pattern = parsed["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # Only the last part begins like others, so the frequent ones may be tried first.
+        *parts, last = pattern.split("|")
+        pattern = "|".join([*sorted(parts, key=lambda p: p[0] == "'"), last])
+        for part, text in (("\\p{L}", kinds["L"]), ("\\p{N}", kinds["N"]), ("\\s", _SPACES)):
+            pattern = pattern.replace(part, text)
+        self.cut = re.compile(pattern).findall
+        # The longest run of plain characters; a capital whose small form is two is not plain.
+        self.plain = re.compile(f"[^\u0130{chr(_PLAIN_END)}-\U0010ffff]*").fullmatch if {"type": "NFD"} not in steps else lambda word: None
+        bare = parsed | {"normalizer": None, "pre_tokenizer": parsed["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []}
+        self.of_pieces = Tokenizer.from_str(json.dumps(bare))
 
     @staticmethod
-    def _drops_space(parsed: dict) -> bool:
+    def _steps(parsed: dict) -> list[dict]:
         normal = parsed.get("normalizer") or {"type": "Sequence", "normalizers": []}
-        steps = normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+        return normal["normalizers"] if normal["type"] == "Sequence" else [normal]
+
+    @classmethod
+    def _drops_space(cls, parsed: dict) -> bool:
         folds = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
-        if any(s["type"] not in ("NFC", "NFD", "Lowercase") and s != folds for s in steps):
+        if any(s["type"] not in ("NFC", "NFD", "Lowercase") and s != folds for s in cls._steps(parsed)):
+            return False
+        cuts = (parsed.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        if len(cuts) != 2:
             return False
-        pre = parsed.get("pre_tokenizer") or {}
-        cuts = pre.get("pretokenizers") or [pre]
-        first = cuts[0] if cuts else {}
+        first, last = cuts
         # Only runs that the pattern matches are kept, and its class of other characters excludes white space.
         pattern = (first.get("pattern") or {}).get("Regex", "")
         dropped = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
@@ -89,37 +120,47 @@ class WordEncoder:
             part in ("[\\p{L}]+", "[\\p{N}]", "[^\\s\\p{L}\\p{N}]+") or (part.isascii() and part[:1] == "'" and part[1:].isalpha())
             for part in pattern.split("|")
         )
-        rest = all(c["type"] == "ByteLevel" and not c.get("add_prefix_space") and not c.get("use_regex", True) for c in cuts[1:])
+        rest = last["type"] == "ByteLevel" and not last.get("add_prefix_space") and not last.get("use_regex", True)
         added = all(
-            not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and not t["content"].isspace() and len(t["content"].split()) == 1
+            not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) and len(t["content"].encode().split()) == 1
             for t in parsed["added_tokens"]
         )
         return bool(dropped and apart and rest and added)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, self.kind).tobytes() for f in found]
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, f.ids).tobytes() for f in found]
+
+    def _joined(self, known: dict, split: list[list], tokenizer, text_of) -> list[bytes]:
+        """Ids of split texts; those of new parts are remembered."""
+        missing = set().union(*split).difference(known)
+        if len(known) + len(missing) > _CACHE_PIECES:
+            known.clear()
+            missing = set().union(*split)
+        order = list(missing)
+        known.update(zip(order, self._ids(tokenizer, [text_of(p) for p in order])))
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for part in order:
+            if len(part) > _LONGEST_KEPT:
+                del known[part]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Packed ids of each text."""
         if self.tokenizer is None:
             self.prepare()
+        texts = [t or "" for t in texts]
         if not self.by_words:
-            return self._ids([t or "" for t in texts])
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if len(self.known) + len(missing) > _CACHE_WORDS:
-            self.known, missing = {}, set().union(*split)
-        order = list(missing)
-        fresh = dict(zip(order, self._ids([w.decode("utf-8", "surrogatepass") for w in order])))
-        known = self.known
-        known.update(fresh)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in order:
-            if len(word) > _LONGEST_KEPT:
-                del known[word]
-        if len(known) > _CACHE_WORDS:
-            self.known = {}
+            return self._ids(self.tokenizer, texts)
+        out: list[bytes] = [b""] * len(texts)
+        plain = [bool(self.plain(t)) and not self.special(t) for t in texts]
+        cut = [self.cut(t.lower() if self.lowers else t) for t, p in zip(texts, plain) if p]
+        split = [t.encode("utf-8", "surrogatepass").split() for t, p in zip(texts, plain) if not p]
+        pieces = iter(self._joined(self.pieces, cut, self.of_pieces, str))
+        words = iter(self._joined(self.words, split, self.tokenizer, lambda w: w.decode("utf-8", "surrogatepass")))
+        for at, p in enumerate(plain):
+            out[at] = next(pieces if p else words)
         return out
 
 
@@ -132,7 +173,7 @@ def build(ids: np.ndarray, documents: list[tuple[int | None, int]]) -> bytes:
     packer = zstandard.ZstdCompressor(level=_LEVEL)
     zeros, offsets, before, blocks, at = [], [], [], [], 0
     for plane in range(planes - 1, -1, -1):
-        bits = (ids >> plane & 1).astype(bool)
+        bits = (ids & ids.dtype.type(1 << plane)) != 0
         packed = np.packbits(bits)
         starts, ones, seen = [], [], 0
         for first in range(0, n, _BLOCK_BITS):
@@ -248,13 +289,14 @@ class WaveletFile:
     def ids(self) -> np.ndarray:
         """All ids in order."""
         n = self.tokens
-        low = np.zeros(n, np.uint32)
+        kind = np.uint16 if len(self.zeros) <= 16 else np.uint32
+        low = np.zeros(n, kind)
         for plane in range(len(self.zeros) - 1, -1, -1):
             parts = [self._block(plane, b)[0] for b in range(-(-n // _BLOCK_BITS))]
             bits = np.unpackbits(np.concatenate(parts), count=n).astype(bool) if parts else np.zeros(0, bool)
-            merged, zeros = np.empty(n, np.uint32), self.zeros[plane]
+            merged, zeros = np.empty(n, kind), self.zeros[plane]
             merged[~bits] = low[:zeros]
-            merged[bits] = low[zeros:] | np.uint32(1 << len(self.zeros) - 1 - plane)
+            merged[bits] = low[zeros:] | kind(1 << len(self.zeros) - 1 - plane)
             low = merged
         return low
 
