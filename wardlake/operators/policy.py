@@ -117,7 +117,7 @@ def condition_column(condition: str, facts: DataFrame) -> Column:
 
 def unusable_rules(policy: Policy, requests: DataFrame) -> list[tuple[int, str, str]]:
     """(position, name, fault) of the rules that never match, so that none goes unnoticed."""
-    facts = _bound(requests)
+    facts = bound_facts(requests)
     faults = [(i, r.name, condition_fault(r.condition, facts)) for i, r in enumerate(policy.rules)]
     return [f for f in faults if f[2]]
 
@@ -157,7 +157,7 @@ def _outcome(policy: Policy, facts: DataFrame) -> Column:
     return egress if chain is None else chain.otherwise(egress)
 
 
-def _bound(requests: DataFrame) -> DataFrame:
+def bound_facts(requests: DataFrame) -> DataFrame:
     """Facts as conditions see them: `pii` is always there, empty when nothing was found."""
     facts = with_fact_columns(requests)
     return facts.withColumns({"_found_pii": F.col("pii"), "pii": F.coalesce(F.col("pii"), _empty_pii())})
@@ -172,13 +172,13 @@ def decide(requests: DataFrame, policy: Policy) -> DataFrame:
 
     A narrow projection: one CASE chain per policy, no shuffle.
     """
-    facts = _bound(requests)
+    facts = bound_facts(requests)
     return _unbound(facts.withColumn("outcome", _outcome(policy, facts)))
 
 
 def decide_all(requests: DataFrame, policies: Mapping[str, Policy]) -> DataFrame:
     """One row per request and policy, with the first matching rule by position."""
-    facts = _bound(requests)
+    facts = bound_facts(requests)
     per_policy = []
     for name, policy in policies.items():
         hits = F.array(
@@ -200,44 +200,45 @@ def decide_all(requests: DataFrame, policies: Mapping[str, Policy]) -> DataFrame
     return _unbound(facts).select("*", "_decided.*").drop("_decided")
 
 
-def pattern_table(egress: DataFrame) -> DataFrame:
-    """Egress patterns as lookup keys: `(suffix, wildcard, deny, allow)`, one row per key."""
+def pattern_table(egress: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Egress patterns as lookup keys: `(by..., suffix, wildcard, deny, allow)`, one row per key."""
     pattern = ascii_lower(F.col("pattern"))
     wildcard = pattern.startswith("*.")
     return (
         egress.select(
+            *by,
             F.when(wildcard, F.substring(pattern, 3, 2147483647)).otherwise(pattern).alias("suffix"),
             wildcard.alias("wildcard"),
             (F.col("kind") == "deny").alias("deny"),
             (F.col("kind") == "allow").alias("allow"),
         )
-        .groupBy("suffix", "wildcard")
+        .groupBy(*by, "suffix", "wildcard")
         .agg(F.max("deny").alias("deny"), F.max("allow").alias("allow"))
     )
 
 
-def host_verdicts(hosts: DataFrame, egress: DataFrame, default: str = "deny") -> DataFrame:
-    """Verdict of every distinct `host` against a large pattern table.
+def host_verdicts(hosts: DataFrame, egress: DataFrame, default: str | None = "deny", by: Sequence[str] = ()) -> DataFrame:
+    """Verdict of every distinct `host` against a large pattern table, within each `by`.
 
     The suffix rule is an equi join: a host is looked up by each of its suffixes,
     the whole host in exact and wildcard form. Work is per distinct host, so a host
     that holds a large share of the traffic costs one row here. Whether the pattern
     side is broadcast is left to the planner and its byte threshold.
     """
-    patterns = pattern_table(egress)
-    keys = hosts.select("host").where(F.col("host").isNotNull()).distinct().select(
-        "host", F.posexplode(domain_suffixes("host")).alias("depth", "suffix")
+    patterns = pattern_table(egress, by)
+    keys = hosts.select(*by, "host").where(F.col("host").isNotNull()).distinct().select(
+        *by, "host", F.posexplode(domain_suffixes("host")).alias("depth", "suffix")
     )
     hits = (
-        keys.join(patterns, "suffix", "left")
-        .groupBy("host")
+        keys.join(patterns, [*by, "suffix"], "left")
+        .groupBy(*by, "host")
         .agg(
             F.max(F.col("deny") & (F.col("wildcard") | (F.col("depth") == 0))).alias("denied"),
             F.max(F.col("allow") & (F.col("wildcard") | (F.col("depth") == 0))).alias("allowed"),
         )
     )
     verdict = F.when(F.col("denied"), "deny").when(F.col("allowed"), "allow").otherwise(default)
-    return hits.select("host", verdict.alias("verdict"))
+    return hits.select(*by, "host", verdict.alias("verdict"))
 
 
 def verdict_counts(requests: DataFrame, verdicts: DataFrame, default: str = "deny") -> DataFrame:

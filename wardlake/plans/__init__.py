@@ -10,6 +10,7 @@ from wardlake.plans import (  # noqa: F401
     source_queries,
     sql_queries,
     streaming_queries,
+    tenant_queries,
 )
 from wardlake.plans.registry import ORACLES, QUERIES
 

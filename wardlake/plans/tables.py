@@ -97,8 +97,8 @@ RULE_VERDICT_SQL = (
 )
 
 
-def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as requests with facts: every fifth Kubernetes, every fifth SQL, the rest HTTP."""
+def order_facts(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """Orders as requests with facts: every fifth Kubernetes, every fifth SQL, the rest HTTP; and more columns."""
     key = F.col("o_orderkey")
     kind = key % 5
     k8s = F.struct(
@@ -121,6 +121,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == 0, k8s).alias("k8s"),
         F.when(kind.isin(1, 4), sql).alias("sql"),
         F.when(kind.isin(2, 3), http).alias("http"),
+        *more,
     )
 
 
