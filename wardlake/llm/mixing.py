@@ -11,8 +11,9 @@ a tree with a fan-in of `FAN_IN`, so no task ever holds a source.
 
 Only built-in expressions are used. Randomness is a hash of the documents' keys: reruns
 agree. Defined results: a null text has size 0 and is taken 0 times; a null source is a
-source of its own and comes last; rows with equal id, source and size are rounded
-together and each taken equally often; an empty table gives an empty result.
+source of its own and comes last; an empty table gives an empty result. Of n rows with
+equal id, source and text, the whole part of their n fractions is taken surely, and what is
+left is one document's fraction; which of them get a copy more is left open.
 """
 
 from __future__ import annotations
@@ -30,8 +31,9 @@ FAN_IN = 64
 # A fraction this close to a whole number is one.
 _EPSILON = 1e-9
 
-_UNIT = "struct<doc_id:bigint,size:bigint,weight:double,x:double>"
-_DONE = "array<struct<doc_id:bigint,size:bigint,extra:int>>"
+_UNIT = "struct<doc_id:bigint,size:bigint,tag:bigint,weight:double,x:double>"
+_DONE = "array<struct<doc_id:bigint,size:bigint,tag:bigint,extra:int>>"
+_KEY = ["source", "doc_id", "size", "tag"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
@@ -62,10 +64,10 @@ def _meet(state: Column, unit: Column, seed: int) -> Column:
     """Let the open unit of a group meet the next one."""
 
     def settled(u: Column, x: Column) -> Column:
-        return F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), F.round(x).cast("int").alias("extra"))
+        return F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["tag"].alias("tag"), F.round(x).cast("int").alias("extra"))
 
     def moved(u: Column, x: Column) -> Column:
-        return F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["weight"].alias("weight"), x.alias("x")).cast(_UNIT)
+        return F.struct(u["doc_id"].alias("doc_id"), u["size"].alias("size"), u["tag"].alias("tag"), u["weight"].alias("weight"), x.alias("x")).cast(_UNIT)
 
     def whole(x: Column) -> Column:
         return (x < _EPSILON) | (x > 1 - _EPSILON)
@@ -86,7 +88,7 @@ def _meet(state: Column, unit: Column, seed: int) -> Column:
 
     up = F.least((1 - a["x"]) * a["weight"], b["x"] * b["weight"])
     down = F.least(a["x"] * a["weight"], (1 - b["x"]) * b["weight"])
-    chance = unit_random(a["doc_id"], a["size"], b["doc_id"], b["size"], F.lit(seed))
+    chance = unit_random(a["doc_id"], a["size"], a["tag"], b["doc_id"], b["size"], b["tag"], F.lit(seed))
     # Words that move to a; each direction is as likely as the other one is long.
     step = let(F.struct(up.alias("up"), down.alias("down")), lambda t: F.when(chance * (t["up"] + t["down"]) < t["down"], t["up"]).otherwise(-t["down"]))
     met = let(
@@ -103,31 +105,32 @@ def _round_groups(units: DataFrame, seed: int) -> DataFrame:
     """(source, grp, open, done) of units with source and grp; large documents meet first."""
     start = F.struct(F.lit(None).cast(_UNIT).alias("open"), F.array().cast(_DONE).alias("done"))
     listed = units.groupBy("source", "grp").agg(
-        F.sort_array(F.collect_list(F.struct("weight", "doc_id", "size", "x")), asc=False).alias("units")
+        F.sort_array(F.collect_list(F.struct("weight", "doc_id", "size", "tag", "x")), asc=False).alias("units")
     )
     folded = F.aggregate("units", start, lambda state, unit: _meet(state, unit, seed))
     return listed.select("source", "grp", F.explode(F.array(folded)).alias("s")).select("source", "grp", "s.open", "s.done")
 
 
-def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) per row of (doc_id, source, size)."""
-    docs = durable(docs)
-    per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """One row per distinct (source, doc_id, size, tag) of docs, written.
+
+    Each of its n rows is taken base times; `more` of them once more.
+    """
+    keys = docs.groupBy(*_KEY).agg(F.count("*").alias("n"))
+    keys = durable(keys)
+    per_source = keys.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.count("*").alias("documents"))
     targets = durable(source_targets(per_source, weights, most))
     most_docs = targets.agg(F.coalesce(F.max("documents"), F.lit(0))).first()[0]
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rated = docs.alias("d").join(joinable(targets).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "d.source", "size", "source_size", "target", "documents", rate.alias("rate"), F.floor(rate + _EPSILON).alias("base")
+    rated = keys.alias("d").join(joinable(targets).alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(
+        "d.source", "doc_id", "size", "tag", "n", "source_size", "target", "documents", rate.alias("rate"), F.floor(rate + _EPSILON).alias("base")
     )
+    rated = rated.withColumn("all", F.when(F.col("size") > 0, F.col("n") * F.greatest(F.col("rate") - F.col("base"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    rated = durable(rated.withColumn("sure", F.floor(F.col("all") + _EPSILON)))
     groups = F.ceil(F.col("documents") / FAN_IN)
-    units = (
-        rated.where((F.col("size") > 0) & (F.col("rate") - F.col("base") > _EPSILON))
-        .groupBy("source", "doc_id", "size")
-        .agg(F.count("*").alias("n"), F.first(F.col("rate") - F.col("base")).alias("x"), F.first(groups).alias("groups"))
-        .select(
-            "source", "doc_id", "size", (F.col("n") * F.col("size")).cast("double").alias("weight"), "x",
-            F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("groups")).alias("grp"),
-        )
+    units = rated.where(F.col("all") - F.col("sure") > _EPSILON).select(
+        *_KEY, F.col("size").cast("double").alias("weight"), (F.col("all") - F.col("sure")).alias("x"),
+        F.pmod(F.xxhash64("doc_id", "size", "tag", F.lit(seed)), groups).alias("grp"),
     )
     settled = []
     width = -(-most_docs // FAN_IN)
@@ -140,26 +143,65 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MO
         units = rounds.where(F.col("open").isNotNull()).select(
             "source", "open.*", F.floor(F.col("grp") / FAN_IN).alias("grp")
         )
-    last = rounds.where(F.col("open").isNotNull()).select("source", "open.doc_id", "open.size", F.round("open.x").cast("int").alias("extra"))
-    extra = last
+    extra = rounds.where(F.col("open").isNotNull()).select(
+        "source", "open.doc_id", "open.size", "open.tag", F.round("open.x").cast("int").alias("extra")
+    )
     for part in settled:
         extra = extra.unionByName(part)
-    joined = rated.alias("r").join(
-        extra.alias("e"),
-        (F.col("r.doc_id").eqNullSafe(F.col("e.doc_id"))) & F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.size") == F.col("e.size")),
-        "left",
-    )
-    taken = F.least(F.col("base") + F.coalesce("extra", F.lit(0)), F.lit(most))
-    return joined.select(
-        "r.doc_id", "r.source", "r.size", "source_size", "target",
-        F.when(F.col("r.size") > 0, taken).otherwise(0).cast("int").alias("copies"),
+    joined = rated.alias("r").join(extra.alias("e"), _same("r", "e"), "left")
+    more = F.when(F.col("r.size") > 0, F.col("sure") + F.coalesce("extra", F.lit(0))).otherwise(0)
+    base = F.when(F.col("r.size") > 0, F.least(F.col("base"), F.lit(most))).otherwise(0)
+    return durable(joined.select(*(f"r.{c}" for c in _KEY), "n", "source_size", "target", base.cast("int").alias("base"), more.alias("more")))
+
+
+def _same(left: str, right: str) -> Column:
+    """Equal keys; nulls are equal to each other."""
+    first, *rest = (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in _KEY)
+    for condition in rest:
+        first = first & condition
+    return first
+
+
+def apply(docs: DataFrame, planned: DataFrame) -> DataFrame:
+    """docs with source_size, target and copies; docs has the keys of the plan and any other columns.
+
+    Equal rows of which only some get one more are numbered in parts, one per partition of
+    their written form, so that a row that is repeated very often stays in many tasks.
+    """
+    carried = [f"d.{c}" for c in docs.columns]
+    some = (F.col("more") > 0) & (F.col("more") < F.col("n"))
+    joined = docs.alias("d").join(planned.alias("p"), _same("d", "p"))
+    whole = F.col("base") + (F.col("more") >= F.col("n")).cast("int")
+    result = joined.where(~some).select(*carried, "source_size", "target", whole.cast("int").alias("copies"))
+    open_ = planned.where(some)
+    if open_.isEmpty():
+        return result
+    rows = docs.alias("d").join(open_.alias("p"), _same("d", "p")).select(
+        *carried, "source_size", "target", "base", "more", F.monotonically_increasing_id().alias("__at")
     )
+    rows = durable(rows)
+    part = F.shiftright("__at", 33)
+    counts = rows.groupBy(*_KEY, part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*_KEY).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = durable(counts.select(*_KEY, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    nth = F.row_number().over(Window.partitionBy(*_KEY, "__part").orderBy("__at"))
+    placed = rows.withColumn("__part", part).withColumn("__nth", nth)
+    numbered = placed.alias("d").join(joinable(offsets).alias("o"), _same("d", "o") & (F.col("d.__part") == F.col("o.__part")))
+    one_more = (F.col("__before") + F.col("__nth") <= F.col("more")).cast("int")
+    return result.unionByName(numbered.select(*carried, "source_size", "target", (F.col("base") + one_more).cast("int").alias("copies")))
+
+
+def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES, seed: int = 0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) per row of (doc_id, source, size, tag)."""
+    docs = durable(docs)
+    return apply(docs, plan(docs, weights, most, seed)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *more: str) -> DataFrame:
-    """(doc_id, source, size) of every row, and more columns; size is the number of words."""
+    """(doc_id, source, size, tag) of every row, and more columns; size is the number of words, tag a hash of the text."""
     return docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), *more
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+        F.xxhash64(text).alias("tag"), *more,
     )
 
 
@@ -173,7 +215,6 @@ def mix(docs: DataFrame, **columns: str) -> DataFrame:
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """Every row as often as the mix takes it, all columns as they were."""
     key = sized(docs.select(doc_id, text, source, F.struct("*").alias("__row")), doc_id, text, source, "__row")
-    plan = copies(key.drop("__row"), **options).groupBy("doc_id", "source", "size").agg(F.first("copies").alias("copies"))
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("doc_id", "source", "size")]
-    taken = key.alias("k").join(plan.where("copies > 0").alias("p"), same[0] & same[1] & same[2])
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
+    planned = plan(durable(key.drop("__row")), **options)
+    taken = apply(key, planned.where("base > 0 or more > 0"))
+    return taken.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")
