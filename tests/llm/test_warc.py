@@ -39,7 +39,7 @@ def brute(records, address):
     for r in (r for r in records if r[1] == "revisit"):
         url = address(r[3])
         earlier = [f for f in full if r[4] is not None and f[4] is not None and url is not None and address(f[3]) == url and f[4] < r[4]]
-        found = max(earlier, key=lambda f: (f[4], f[0]), default=None)
+        found = max(earlier, key=lambda f: (f[4], f[0], [(v is not None, v or "") for v in (validators(f)[1], validators(f)[2], validators(f)[0])]), default=None)
         if found is None:
             out.append((r[0], url, r[4], "orphan", None, None, None))
             continue
@@ -92,6 +92,20 @@ def test_many_captures_of_one_url(spark):
     assert Counter(map(plain, got)) == brute(records, lambda u: "a")
 
 
+def test_repeated_ids_keep_their_own_headers_and_bodies(spark):
+    records = [
+        (1, "response", 200, "http://a/", 10, [("ETag", "a")], None, "body a", ""), (1, "response", 200, "http://b/", 10, [("ETag", "b")], None, "body b", ""),
+        (1, "response", 200, "http://b/", 10, [("ETag", "a")], None, "body of another tag", ""),
+        (5, "revisit", 304, "http://a/", 20, [("ETag", "a"), ("X", "first")], None, None, ""), (5, "revisit", 304, "http://b/", 20, [("ETag", "b"), ("X", "second")], None, None, ""),
+        (5, "revisit", 304, "http://a/", 20, [("ETag", "a"), ("X", "third")], None, None, ""), (5, "revisit", 304, "http://a/", 20, [("ETag", "a"), ("X", "third")], None, None, ""),
+    ]
+    got = warc.resolve_revisits(spark.createDataFrame(records, SCHEMA)).collect()
+    assert Counter(map(plain, got)) == brute(records, address)
+    assert sorted((r.url, r.headers[-1].value, r.body) for r in got) == [
+        ("a", "first", "body a"), ("a", "third", "body a"), ("a", "third", "body a"), ("b", "second", "body b")
+    ]
+
+
 def test_empty(spark):
     assert warc.resolve_revisits(spark.createDataFrame([], SCHEMA)).collect() == []
 

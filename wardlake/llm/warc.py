@@ -58,16 +58,18 @@ def _agreement(mine: str, theirs: str) -> Column:
 
 
 def latest_earlier(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Revisits with `found`, the validators and id of the latest earlier response.
+    """Revisits with `found`: id, time and validators of the latest earlier response.
 
-    `records` has record_id, url (canonical), ts, full (a response) and validators `v`.
+    `records` has record_id, url (canonical), ts, full (a response) and validators `v`; other
+    columns of revisits are kept. Of responses at one time, the largest id counts, then the
+    largest validators.
     """
     rows = records.where("url is not null and ts is not null").withColumn("bucket", F.floor(F.col("ts") / bucket_seconds))
-    response = F.when(F.col("full"), F.struct("record_id", "v"))
-    order = Window.partitionBy("url", "bucket").orderBy("ts", "full", "record_id")
+    response = F.when(F.col("full"), F.struct("ts", "record_id", "v"))
+    order = Window.partitionBy("url", "bucket").orderBy("ts", "full", "record_id", "v")
     placed = rows.withColumn("near", F.last(response, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     # One row per URL and bucket: its last response, and the one before the bucket.
-    ends = rows.groupBy("url", "bucket").agg(F.max_by(response, F.when(F.col("full"), F.struct("ts", "record_id"))).alias("end"))
+    ends = rows.groupBy("url", "bucket").agg(F.max(response).alias("end"))
     before = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("url", "bucket", F.last("end", ignorenulls=True).over(before).alias("far"))
     revisits = placed.where(~F.col("full"))
@@ -80,12 +82,14 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     `records` has record_id, kind (`response`, `revisit`), status, url, ts (seconds), headers
     (array of name and value), digest (of the body; may be null) and body.
     """
-    tag = F.regexp_replace(header(F.col("headers"), "etag"), "^W/", "")
-    known = records.where(
-        ((F.col("kind") == "response") & (F.col("status") == 200)) | (F.col("kind") == "revisit")
-    ).select(
-        "record_id", canonical(F.col("url")).alias("url"), "ts", (F.col("kind") == "response").alias("full"),
-        F.struct(tag.alias("etag"), header(F.col("headers"), "last-modified").alias("modified"), F.col("digest").alias("digest")).alias("v"),
+    headers = F.col("headers")
+    tag = F.regexp_replace(header(headers, "etag"), "^W/", "")
+    validators = F.struct(tag.alias("etag"), header(headers, "last-modified").alias("modified"), F.col("digest").alias("digest"))
+    is_full = (F.col("kind") == "response") & (F.col("status") == 200)
+    # A revisit's own headers go with it, so that records with equal ids keep theirs.
+    known = records.where(is_full | (F.col("kind") == "revisit")).select(
+        "record_id", canonical(F.col("url")).alias("url"), "ts", (F.col("kind") == "response").alias("full"), validators.alias("v"),
+        F.when(F.col("kind") == "revisit", headers).alias("fresh"),
     )
     resolved = latest_earlier(known, bucket_seconds)
     lost = known.where("not full and (url is null or ts is null)").withColumn("found", F.lit(None).cast(resolved.schema["found"].dataType))
@@ -95,18 +99,16 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     outcome = (
         F.when(F.col("found").isNull(), "orphan").when(differs, "mismatch").when(agreed, "resolved").otherwise("unverified")
     )
-    decided = joined.select("record_id", "url", "ts", F.col("found.record_id").alias("refers_to"), outcome.alias("outcome"))
-    usable = F.col("outcome").isin("resolved", "unverified")
-    stored = records.where((F.col("kind") == "response") & (F.col("status") == 200)).select(
-        F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "body"
+    decided = joined.select("record_id", "url", "ts", "found", "fresh", outcome.alias("outcome"))
+    decided = decided.withColumn("usable", F.col("outcome").isin("resolved", "unverified"))
+    # A response is known by id, URL, time and validators; of several such, the smallest counts.
+    stored = records.where(is_full).select(
+        canonical(F.col("url")).alias("url"), F.struct("ts", "record_id", validators.alias("v")).alias("found"), headers.alias("stored"), "body"
     )
-    # Each revisit's own headers come back by its id; repeated records have equal headers or meet their twins.
-    fresh = records.where(F.col("kind") == "revisit").groupBy("record_id").agg(F.min("headers").alias("fresh"))
-    with_fresh = decided.join(fresh, "record_id", "left").withColumn("source_id", F.when(usable, F.col("refers_to")))
-    bodied = with_fresh.where("source_id is not null").join(stored.dropDuplicates(["source_id"]), "source_id", "left")
-    plain = with_fresh.where("source_id is null").withColumn("stored", F.lit(None).cast(HEADERS)).withColumn("body", F.lit(None).cast("string"))
-    every = bodied.unionByName(plain)
-    return every.select(
-        "record_id", "url", "ts", "outcome", "refers_to",
-        F.when(F.col("source_id").isNotNull(), merge_headers(F.col("stored"), F.col("fresh"))).alias("headers"), "body",
+    stored = stored.where("url is not null and found.ts is not null").groupBy("url", "found").agg(F.min(F.struct("stored", "body")).alias("s"))
+    bodied = decided.where("usable").join(stored, ["url", "found"], "left").select(*decided.columns, "s.stored", "s.body")
+    plain = decided.where("not usable").withColumn("stored", F.lit(None).cast(HEADERS)).withColumn("body", F.lit(None).cast("string"))
+    return bodied.unionByName(plain).select(
+        "record_id", "url", "ts", "outcome", F.col("found.record_id").alias("refers_to"),
+        F.when(F.col("usable"), merge_headers(F.col("stored"), F.col("fresh"))).alias("headers"), "body",
     )
