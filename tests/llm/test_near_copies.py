@@ -57,6 +57,77 @@ def test_stage_drops_planted_copies(spark):
     assert sorted(r.doc_id for r in got.collect()) == brute_kept(rows)
 
 
+def half_alike(count):
+    """Texts that share half of their words with all others, and with some of them a little more."""
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(120)]
+    texts = []
+    for i in range(count):
+        own = [f"o{i}x{j}" for j in range(60)]
+        shared = [f"s{i % 40}x{j}" for j in range(rng.randrange(50, 70))]
+        texts.append(" ".join(common + shared + own))
+    return texts
+
+
+def test_many_half_alike_texts(spark, monkeypatch):
+    """A group that shares keys but is not similar makes few candidates; its near copies are found."""
+    texts = half_alike(2_000)
+    rows = list(enumerate([*texts, *(t + " and one more" for t in texts[:50])]))
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA).repartition(8)
+    made = []
+    plain = near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda d, pairs, t: made.append(pairs.count()) or plain(d, pairs, t))
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == list(range(2_000))
+    assert sum(made) < 30 * len(rows)
+
+
+def test_edits_of_one_text(spark):
+    """Similarities on both sides of the limit, with chains: groups are those of brute force."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        text = list(base[: rng.randrange(120, 151)])
+        for _ in range(rng.randrange(1, 8)):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(60)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA).repartition(8)
+    assert sorted(r.doc_id for r in near_copies.keep_one(docs).collect()) == brute_kept(rows)
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Every similar pair of different groups is a candidate, whatever the sizes."""
+    rng = random.Random(11)
+    sets = {}
+    for i in range(300):
+        universe = range(1, 12) if i % 3 else range(20, 140)
+        sets[i] = sorted(rng.sample(universe, rng.randrange(1, 10) if i % 3 else rng.randrange(90, 115)))
+    frame = spark.createDataFrame([(i, s) for i, s in sets.items()], "node long, s array<bigint>")
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "node long, n long, group long")
+    got = {(r.a, r.b) for r in near_copies.prefix_pairs(frame, nodes).collect()}
+    for i in sets:
+        for j in range(i):
+            k = len(set(sets[i]) & set(sets[j]))
+            if 5 * k >= 4 * (len(sets[i]) + len(sets[j]) - k):
+                assert (j, i) in got
+    assert len(got) < 300 * 299 / 4
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from wardlake.llm import components
+
+    monkeypatch.setattr(components, "HUB", 4)
+    rng = random.Random(13)
+    pairs = [(0, i) for i in range(50, 90)] + [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    forest = Forest(400)
+    for a, b in pairs:
+        forest.add(a, b)
+    nodes = {x for p in pairs if p[0] != p[1] for x in p}
+    want = {x: min(y for y in nodes if forest.root(y) == forest.root(x)) for x in nodes}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_given_documents(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")

@@ -3,7 +3,9 @@
 Each round, a node takes the smallest label among its neighbours' and its own; then
 labels are followed one step further (pointer jumping), so long chains shrink by halves.
 Label tables are written to the shared folder each round. Minima are taken before rows
-move, so a node with very many links is no burden.
+move. Links to a node with very many of them get its label by broadcast, and so does what
+points to a label that changed, as long as these tables are small; so neither a hub nor a
+large component gathers its rows in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.llm.common import durable
+from wardlake.llm.common import durable, joinable
+
+# Links from which a node is a hub. There are at most 2 / HUB hubs a link.
+HUB = 256
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,23 +24,33 @@ def components(links: DataFrame) -> DataFrame:
     both = durable(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     )
-    labels = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    nodes = durable(both.groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("degree")))
+    hubs = durable(nodes.where(F.col("degree") >= HUB).select(F.col("a").alias("hub")))
+    some = not hubs.isEmpty()
+    if some:
+        both = durable(both.join(joinable(hubs), both.b == hubs.hub, "left"))
+    labels = durable(nodes.select(F.col("a").alias("node"), F.least("a", "least").alias("component")))
     while True:
-        offered = (
-            both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("offer"))
-            .withColumnRenamed("a", "node")
-        )
+        plain = both.where("hub is null") if some else both
+        offered = plain.join(labels, plain.b == labels.node).groupBy("a").agg(F.min("component").alias("offer"))
+        if some:
+            known = durable(hubs.join(labels, hubs.hub == labels.node).select("hub", "component"))
+            told = both.where("hub is not null").join(joinable(known), "hub").groupBy("a").agg(F.min("component").alias("offer"))
+            offered = offered.unionByName(told).groupBy("a").agg(F.min("offer").alias("offer"))
+        offered = offered.withColumnRenamed("a", "node")
         # The root of a component learns of smaller labels through its members as well.
         root = offered.join(labels, "node").groupBy("component").agg(F.min("offer").alias("offer"))
         root = root.select(F.col("component").alias("node"), "offer")
         best = offered.unionByName(root).groupBy("node").agg(F.min("offer").alias("offer"))
-        stepped = labels.join(best, "node").select(
-            "node", F.col("component").alias("was"), F.least("component", "offer").alias("component")
+        stepped = durable(
+            labels.join(best, "node").select("node", F.col("component").alias("was"), F.least("component", "offer").alias("component"))
         )
-        ends = stepped.select(F.col("node").alias("component"), F.col("component").alias("end"))
-        after = durable(
-            stepped.join(ends, "component").select("node", "was", F.least("component", "end").alias("component"))
-        )
-        labels = after.select("node", "component")
-        if after.where("component <> was").isEmpty():
+        if stepped.where("component <> was").isEmpty():
             return labels
+        # Only labels that are no end themselves lead further.
+        used = stepped.groupBy("component").agg(F.count("*").alias("n")).withColumnRenamed("component", "label")
+        ends = stepped.join(used, stepped.node == used.label).where("component <> node")
+        ends = durable(ends.select(F.col("node").alias("component"), F.col("component").alias("end")))
+        labels = durable(
+            stepped.join(joinable(ends), "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+        )
