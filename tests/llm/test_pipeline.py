@@ -6,10 +6,10 @@ from collections import Counter
 
 import pytest
 from test_mixing import WORD, brute_targets
+from test_near_copies import brute_kept
 from test_packing import check as check_packing
 from test_quality import brute as brute_quality
 from test_secret_scan import brute_base
-from test_simhash import brute_fingerprint, brute_groups
 
 import corpus_pipeline
 from wardlake.llm import packing, quality
@@ -46,8 +46,8 @@ def test_quality(steps):
 
 def test_one_of_each_group_stays(steps):
     before, after = steps[1], steps[2]
-    rows = [(r.doc_id, brute_fingerprint(r.text)) for r in before]
-    want = [r for r, c in zip(before, brute_groups(rows)) if r.doc_id == c]
+    kept = set(brute_kept([(r.doc_id, r.text) for r in before]))
+    want = [r for r in before if r.doc_id in kept]
     assert sorted(map(tuple, after)) == sorted(map(tuple, want)) and len(want) < len(before)
 
 
