@@ -11,7 +11,7 @@ from test_masking import CORPUS, leftmost_longest, mint
 
 from wardlake.runtime import use_state_store
 from wardlake.schemas import CHUNK_SCHEMA, MAPPING_SCHEMA
-from wardlake.streaming import chunks, holds, mapping_store, verdicts
+from wardlake.streaming import chunks, holds, mapping_store, responses, verdicts
 
 PATTERN = re.compile(r"<<hs:[0-9a-f]{32}>>")
 
@@ -99,6 +99,47 @@ def test_out_of_order_chunks_over_several_batches(spark, tmp_path):
     assert got == {name: data.replace(mint(secret).encode(), secret.encode()) for name, data in streams.items()}
 
 
+def test_responses_by_class_over_several_batches(spark, tmp_path):
+    """Chunks before their heads, heads before their chunks, and chunks without any."""
+    use_state_store(spark)
+    secret, began = "sk-a-secret", datetime(2024, 5, 1)
+    body = (f"a {mint(secret)} b " * 3).encode()
+    classes = {
+        "ok": (200, None, "salt", None), "named": (404, " Identity ", "salt", None), "zip": (200, "gzip", "salt", "encoded"), "part": (206, None, "salt", "partial_content"),
+        "old": (304, "gzip", "salt", "not_modified"), "none": (204, None, "salt", "no_content"), "info": (103, None, "salt", "informational"),
+        "other": (200, "", "unused", "nothing_to_restore"), "bytes": (200, None, "salt", None),
+    }
+    data = {name: (b"\xff" if name == "bytes" else b"") + body for name in classes}
+    pieces = [(name, began + timedelta(seconds=i // 10), i // 10, bytearray(d[i : i + 10]), i + 10 >= len(d)) for name, d in {**data, "lost": body}.items() for i in range(0, len(d), 10)]
+    heads = [(name, began, status, encoding, salt) for name, (status, encoding, salt, _) in classes.items()]
+    chunk_schema = "stream_id string, ts timestamp, seq bigint, chunk binary, is_last boolean"
+    mapping = spark.createDataFrame([("salt", mint(secret), secret, 0)], MAPPING_SCHEMA)
+    folder = str(tmp_path)
+
+    def add(what, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/{what}")
+
+    def run():
+        chunk = spark.readStream.schema(chunk_schema).parquet(f"{folder}/chunks")
+        head = spark.readStream.schema(responses.HEAD_SCHEMA).parquet(f"{folder}/heads")
+        matched = responses.with_heads(chunk, head, "1 hour", "1 hour", 600)
+        responses.restore_responses_to(matched, lambda: mapping, f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    add("chunks", [p for p in pieces if p[2] % 2], chunk_schema)
+    add("heads", heads[::2], responses.HEAD_SCHEMA)
+    run()
+    add("chunks", [p for p in pieces if not p[2] % 2], chunk_schema)
+    add("heads", heads[1::2], responses.HEAD_SCHEMA)
+    run()
+    got, reasons = {}, {}
+    for r in spark.read.parquet(f"{folder}/out").orderBy("stream_id", "seq").collect():
+        got[r.stream_id] = got.get(r.stream_id, b"") + bytes(r.chunk)
+        reasons.setdefault(r.stream_id, set()).add(r.skip_reason)
+    assert reasons == {name: {c[3]} for name, c in classes.items()}
+    restored = body.replace(mint(secret).encode(), secret.encode())
+    assert got == {name: restored if name in ("ok", "named") else data[name] for name in classes}
+
+
 def simulate(rows, cap, timeout_ms, end_ms):
     """The approval queue as a loop over one gateway."""
     out, open_holds = [], {}

@@ -6,7 +6,7 @@ and returns what was written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.masking import redact, salt_pads
@@ -15,11 +15,12 @@ from wardlake.operators.policy import Policy, Rule
 from wardlake.plans import checks
 from wardlake.plans.dlp_queries import document_mapping
 from wardlake.plans.registry import query
-from wardlake.plans.tables import AUDIT_SQL, SALT, audit_rows, pick, table
+from wardlake.plans.tables import AUDIT_SQL, SALT, audit_rows, pick, pick_sql, table
 from wardlake.runtime import shared_dir, use_state_store
 from wardlake.streaming.chunks import recut, restore_to
 from wardlake.streaming.holds import hold_events
 from wardlake.streaming.mapping_store import latest_store, read_metrics, store_to
+from wardlake.streaming.responses import restore_responses_to, with_heads
 from wardlake.streaming.verdicts import deduplicated, rolling_counts, stream_verdicts
 
 
@@ -154,6 +155,51 @@ def stream_binary_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.join(got, "stream_id", "full_outer").select("stream_id", "is_binary", (F.col("sent") == F.col("body")).alias("intact"))
 
 
+_RESPONSE_STATUS = ["206", "304", "204", "101"] + ["200"] * 9
+_RESPONSE_ENCODING = ["gzip", " Identity ", ""] + [None] * 8
+
+
+def _sent_at(key: Column) -> Column:
+    """A second per response; a watermark begins at the epoch, so times lie after it."""
+    return F.timestamp_seconds(key + 86_400)
+
+
+def response_heads(documents: DataFrame) -> DataFrame:
+    """A response head per document: all classes of status and encoding, and a salt without a mapping."""
+    key = F.col("doc_id")
+    return documents.select(
+        key.cast("string").alias("stream_id"), _sent_at(key).alias("ts"), pick(_RESPONSE_STATUS, key % 13).cast("int").alias("status"),
+        pick(_RESPONSE_ENCODING, key % 11).alias("encoding"), F.when(key % 17 == 0, "unused").otherwise("main").alias("salt_id"),
+    )
+
+
+@query(
+    f"""SELECT stream_id, skip_reason, CASE WHEN skip_reason IS NULL AND NOT is_binary THEN sha256(text) END AS text_hash, TRUE AS intact
+FROM (SELECT CAST(doc_id AS VARCHAR) AS stream_id, doc_id % 10 = 9 AS is_binary, text, CASE {pick_sql(_RESPONSE_STATUS, 'doc_id % 13')}
+  WHEN '101' THEN 'informational' WHEN '204' THEN 'no_content' WHEN '206' THEN 'partial_content' WHEN '304' THEN 'not_modified'
+  ELSE CASE WHEN doc_id % 11 = 0 THEN 'encoded' WHEN doc_id % 17 = 0 THEN 'nothing_to_restore' END END AS skip_reason FROM documents)"""
+)
+def stream_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads and chunks of responses as two streams: restored ones equal the texts, skipped ones what was sent."""
+    use_state_store(spark)
+    path = shared_dir(spark, "responses")
+    heads = response_heads(stream_table(spark, sf_dir, "documents"))
+    sent_at = _sent_at(F.col("stream_id").cast("bigint")) + F.make_dt_interval(secs=F.col("seq") % 60)
+    chunks = _chunked(stream_table(spark, sf_dir, "documents")).withColumn("ts", sent_at)
+    merge(document_mapping(spark, sf_dir)).write.parquet(f"{path}/mapping")
+    matched = with_heads(chunks, heads, "1 minute", "1 minute", max_seconds=60)
+    finish(restore_responses_to(matched, lambda: spark.read.parquet(f"{path}/mapping"), f"{path}/data", f"{path}/checkpoint"))
+    out = spark.read.parquet(f"{path}/data")
+    reasons = out.groupBy("stream_id").agg(F.max("skip_reason").alias("skip_reason"))
+    got = _bodies(out).join(reasons, "stream_id")
+    sent = _bodies(_chunked(table(spark, sf_dir, "documents"))).select("stream_id", F.col("body").alias("sent"))
+    unchanged = F.col("skip_reason").isNotNull() | (F.col("stream_id").cast("bigint") % 10 == 9)
+    return got.join(sent, "stream_id", "full_outer").select(
+        "stream_id", "skip_reason", F.when(~unchanged, F.sha2("body", 256)).alias("text_hash"),
+        F.when(unchanged, F.col("body") == F.col("sent")).otherwise(F.col("body").isNotNull()).alias("intact"),
+    )
+
+
 def hold_requests(events: DataFrame) -> DataFrame:
     """Events as pauses and resolutions of five gateways: four neighbouring events share a request."""
     kind = F.when(F.col("event_id") % 4 == 0, "pause").otherwise(

@@ -56,17 +56,19 @@ class ChunkRecutter(StatefulProcessor):
     With a time to live, the marker and whatever an unfinished stream left go after it.
     """
 
-    def __init__(self, ttl_seconds: int | None) -> None:
+    def __init__(self, ttl_seconds: int | None, carried: tuple[str, ...] = ()) -> None:
         self._ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
+        # Columns of the key after the stream's id, which come out again; a `skip` makes a stream pass as it is.
+        self._carried = carried
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._position = handle.getValueState("position", "next_seq bigint, carry binary, is_text boolean", self._ttl_ms)
         self._early = handle.getMapState("early", "seq bigint", "chunk binary, is_last boolean", self._ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stream_id = key[0]
+        stream_id, more = key[0], dict(zip(self._carried, key[1:]))
         stored = self._position.get()
-        next_seq, carry, is_text = stored if stored else (0, b"", True)
+        next_seq, carry, is_text = stored if stored else (0, b"", more.get("skip") is None)
         if next_seq == _FINISHED:
             return
         carry = bytes(carry)
@@ -94,7 +96,7 @@ class ChunkRecutter(StatefulProcessor):
                     emit, carry, is_text = cut(carry, chunk, is_last)
                 else:
                     emit = chunk
-                yield Row(stream_id=stream_id, seq=next_seq, chunk=emit, restorable=is_text)
+                yield Row(stream_id=stream_id, seq=next_seq, chunk=emit, restorable=is_text, **more)
                 next_seq += 1
                 finished = is_last
             if len(early) > _EARLY_IN_MEMORY:
