@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.masking import redact, salt_pads
+from wardlake.operators.admission import admissions
 from wardlake.operators.mappings import mapping_rows, merge
 from wardlake.operators.policy import Policy, Rule
 from wardlake.plans import checks
@@ -261,6 +262,26 @@ def stream_approvals_full_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("gateway", "decision", "cause").agg(F.count("*").alias("n"))
 
 
+_HOT_HOLDS = f"SELECT * REPLACE (CASE WHEN gateway = 'gw-4' THEN gateway ELSE 'hot' END AS gateway) FROM ({_HOLDS})"
+
+
+@query(
+    f"""SELECT gateway, o.decision, o.cause, o.n FROM (
+SELECT gateway, unnest([{{'decision': 'paused', 'cause': 'hold', 'n': s[3]}}, {{'decision': 'rejected', 'cause': 'full', 'n': s[4]}},
+  {{'decision': 'approved', 'cause': 'approve', 'n': s[5]}}, {{'decision': 'rejected', 'cause': 'reject', 'n': s[6]}},
+  {{'decision': 'rejected', 'cause': 'disconnect', 'n': s[7]}},
+  {{'decision': 'rejected', 'cause': 'timeout', 'n': s[8] + (s[1] >= 0 AND s[2] <= (SELECT max(epoch_us(ts) // 1000) FROM events))::BIGINT}}]) AS o
+FROM (SELECT gateway, {_ONE_HOLD} AS s
+  FROM (SELECT *, CASE kind WHEN 'pause' THEN 0 WHEN 'approve' THEN 1 WHEN 'reject' THEN 2 ELSE 3 END AS kind_code FROM ({_HOT_HOLDS})) GROUP BY gateway)) WHERE o.n > 0"""
+)
+def hold_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a full queue admits and refuses in batch, with most requests at one gateway whose time is cut into segments."""
+    requests = hold_requests(table(spark, sf_dir, "events"))
+    requests = requests.withColumn("gateway", F.when(F.col("gateway") == "gw-4", F.col("gateway")).otherwise("hot"))
+    outcomes, _ = admissions(requests, max_pending=1, segment_seconds=12 * 3600, timeout_seconds=3600)
+    return outcomes.groupBy("gateway", "decision", "cause").agg(F.count("*").alias("n"))
+
+
 _REDACTED = checks.redactions("SELECT doc_id AS key, text FROM documents", SALT)
 _MAPPING = f"SELECT {checks.placeholder('secret', SALT)} AS placeholder, secret, max(key) AS last_seq FROM (SELECT key, unnest(surfaces) AS secret FROM ({_REDACTED})) GROUP BY secret"
 _CAPS = {"max_entries": 30, "max_bytes": 500}
