@@ -12,6 +12,7 @@ from wardlake.functions.pii import SPAN_TYPE
 from wardlake.labels import LABELS
 from wardlake.operators import corpus, scoring
 from wardlake.operators.corpus import label_tables
+from wardlake.operators.run_metrics import daily_sketches, latency_report, merged
 from wardlake.plans import checks
 from wardlake.plans.registry import query
 from wardlake.plans.tables import pick, pick_sql, table
@@ -376,3 +377,14 @@ def evaluation_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of all evaluation sets together."""
     records = corpus.union_sources(order_positives(spark, sf_dir), part_negatives(spark, sf_dir))
     return records.groupBy("source").agg(F.count("*").alias("docs"))
+
+
+@query(
+    """SELECT event_type AS run, count(*) AS documents, round(avg(value), 6) AS mean, quantile_disc(value, 0.99) AS p99, round(1000 / avg(value), 6) AS documents_per_second
+FROM events WHERE value IS NOT NULL GROUP BY event_type"""
+)
+def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, 99th percentile and rate of runs, from sketches of their days; event values stand for milliseconds."""
+    measured = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.to_date("ts").alias("day"), "value")
+    report = latency_report(merged(daily_sketches(measured, "value", ["run", "day"]), ["run"]), ["run"], {"p99": 0.99})
+    return report.select("run", "documents", F.round("mean", 6).alias("mean"), "p99", F.round("documents_per_second", 6).alias("documents_per_second"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardlake.operators.policy_documents import document_problems, document_tables
 from wardlake.operators.rule_tables import decide_by_tables, residual_conditions, rule_faults
 from wardlake.plans.registry import query
 from wardlake.plans.tables import K8S_VERBS, ORDER_FACTS_SQL, SQL_VERBS, order_facts, pick, pick_sql, table
@@ -80,3 +81,52 @@ def tenant_rule_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = tenant_rules(spark, sf_dir)
     residual = [r["condition"] for r in residual_conditions(rules).collect()]
     return rule_faults(rules, tenant_requests(spark, sf_dir), residual)
+
+
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy document per customer, some of them with faults of every kind."""
+    c = F.col("c_custkey")
+    extra = F.when(c % 5 == 0, ',"owner":"x"').otherwise("")
+    default = pick(['"default":"allow",', '"default":"deny",', '"default":"perhaps",', ""], c % 4)
+    egress = F.concat(F.lit("{"), default, F.when(c % 7 == 0, '"mode":1,').otherwise(""), F.lit('"allow":["*.example.com"]}'))
+    first = F.concat(F.lit('{"name":"one","endpoint":"web","condition":"http.body_size > 5","verdict":"'), pick(["deny", "pause", "block"], c % 3), F.lit('"}'))
+    second = F.concat(
+        F.lit('{"name":"two","endpoint":"*"'), F.when(c % 8 == 0, "").otherwise(',"condition":"pii.count >= 1"'),
+        F.when(c % 9 == 0, ',"note":null').otherwise(""), F.lit(',"verdict":"pause"}'),
+    )
+    version = pick(['"1"', "0", "true", "3", "4", "5"], c % 6)
+    whole = F.concat(F.lit('{"version":'), version, extra, F.lit(',"egress":'), egress, F.lit(',"rules":['), first, F.lit(","), second, F.lit("]}"))
+    doc = F.when(c % 11 == 0, F.concat(whole, F.lit("}"))).when(c % 13 == 0, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole)
+    return table(spark, sf_dir, "customer").select(_policy("c_custkey").alias("policy"), doc.alias("doc"))
+
+
+_SOUND = "c % 11 <> 0 AND c % 13 <> 0"
+
+
+@query(
+    f"""WITH d AS (SELECT c_custkey AS c, 'tenant-' || c_custkey AS policy FROM customer)
+SELECT policy, 'not a document' AS problem FROM d WHERE NOT ({_SOUND})
+UNION ALL SELECT policy, 'version must be a positive integer' FROM d WHERE {_SOUND} AND c % 6 < 3
+UNION ALL SELECT policy, 'unknown key: owner' FROM d WHERE {_SOUND} AND c % 5 = 0
+UNION ALL SELECT policy, 'unknown default verdict' FROM d WHERE {_SOUND} AND c % 4 = 2
+UNION ALL SELECT policy, 'unknown egress key: mode' FROM d WHERE {_SOUND} AND c % 7 = 0
+UNION ALL SELECT policy, 'rule 0: unknown verdict' FROM d WHERE {_SOUND} AND c % 3 = 2
+UNION ALL SELECT policy, 'rule 1: missing condition' FROM d WHERE {_SOUND} AND c % 8 = 0
+UNION ALL SELECT policy, 'rule 1: unknown key note' FROM d WHERE {_SOUND} AND c % 9 = 0"""
+)
+def policy_document_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the policy documents of a table."""
+    return document_problems(customer_documents(spark, sf_dir))
+
+
+@query(
+    f"""SELECT 'tenant-' || c AS policy, CAST(pos AS BIGINT) AS pos, CASE pos WHEN 0 THEN 'one' ELSE 'two' END AS name, CASE pos WHEN 0 THEN 'web' ELSE '*' END AS endpoint,
+  CASE WHEN pos = 0 THEN 'http.body_size > 5' WHEN c % 8 <> 0 THEN 'pii.count >= 1' END AS condition,
+  CASE WHEN pos = 1 THEN 'pause' ELSE {pick_sql(["deny", "pause", "block"], 'c % 3')} END AS verdict,
+  {pick_sql(["allow", "deny", "perhaps", "deny"], 'c % 4')} AS "default"
+FROM (SELECT c_custkey AS c, unnest([0, 1]) AS pos FROM customer) WHERE {_SOUND}"""
+)
+def policy_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and defaults of the documents, as tables."""
+    rules, _, defaults = document_tables(customer_documents(spark, sf_dir))
+    return rules.join(defaults, "policy").select("policy", F.col("pos").cast("bigint").alias("pos"), "name", "endpoint", "condition", "verdict", "default")
