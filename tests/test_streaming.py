@@ -197,6 +197,113 @@ def test_holds_against_a_loop(spark, tmp_path, cap, late):
         assert sorted([(r.at_ms, r.request_id, r.decision, r.cause, r.approval_id) for r in got if r.gateway == gateway], key=str) == want
 
 
+def hold_rows(seed, count, seconds, gateways=("g0", "g1")):
+    import random
+
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        kind = rng.choice(["pause", "pause", "approve", "reject", "disconnect"])
+        request = i - i % 3 if kind == "pause" else rng.randrange(max(0, i - 8), i + 3)
+        rows.append((rng.choice(gateways), datetime(2026, 1, 1) + timedelta(seconds=seconds * i), i, kind, request))
+    return rows
+
+
+def outcomes_of(rows, cap, timeout_ms):
+    """Of all gateways, up to the last event."""
+    ms = lambda t: int(t.timestamp()) * 1000
+    end = max(ms(r[1]) for r in rows)
+    return sorted(
+        ((g, *o) for g in {r[0] for r in rows} for o in simulate([(ms(t), q, k, r) for h, t, q, k, r in rows if h == g], cap, timeout_ms, end)), key=str
+    )
+
+
+@pytest.mark.parametrize("cap", [2, None])
+def test_restart_from_what_was_left_open(spark, tmp_path, cap):
+    """A job that begins with the holds of an earlier one's output goes on as one job would; its state shows what is open."""
+    use_state_store(spark)
+    rows = hold_rows(21, 160, 40)
+    first, second = rows[:90], rows[90:]
+    spark.createDataFrame(first, holds.HOLD_INPUT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "first"))
+    spark.createDataFrame(second, holds.HOLD_INPUT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "second"))
+
+    def run(source, **begin):
+        stream = spark.readStream.schema(holds.HOLD_INPUT_SCHEMA).parquet(str(tmp_path / source))
+        drain(holds.hold_events(stream, "0 seconds", max_pending=cap, timeout_seconds=300, parts=4, bucket_seconds=60, **begin), f"out-{source}", tmp_path)
+        return spark.read.parquet(str(tmp_path / f"out-{source}"))
+
+    before = run("first")
+    left = holds.left_open(before, 300)
+    assert left.count() > 1
+    state = holds.open_in_state(spark, str(tmp_path / "out-first-c"))
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, left.collect()))
+    one = left.first().approval_id
+    assert [r.approval_id for r in state.where(F.col("approval_id") == one).collect()] == [one]
+    spark.createDataFrame(left.collect(), left.schema).write.parquet(str(tmp_path / "left"))
+    after = run("second", open_holds=spark.read.parquet(str(tmp_path / "left")))
+    got = sorted(map(tuple, before.unionByName(after).collect()), key=str)
+    assert got == outcomes_of(rows, cap, 300_000)
+
+
+def test_a_timer_reads_the_due_buckets_only():
+    """A backlog of other buckets is not touched."""
+
+    class Map(dict):
+        read = 0
+
+        def getValue(self, key):
+            Map.read += 1
+            return self[key]
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        removeKey = dict.pop
+        containsKey = dict.__contains__
+
+    class Value:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        timers: list[int] = []
+
+        def getMapState(self, *_):
+            return Map()
+
+        def getValueState(self, *_):
+            return Value()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 120_000
+
+        def getExpiryTimeInMs(self):
+            return 0
+
+    from pyspark.sql import Row
+
+    registry = holds.HoldRegistry(None, 300, 60)
+    registry.init(Handle())
+    backlog = 50_000
+    list(registry.handleInputRows(("g",), (Row(at_ms=60_000 * (i % 500), seq=i, kind="pause", request_id=i) for i in range(backlog)), None))
+    Map.read = 0
+    done = list(registry.handleExpiredTimer(("g",), Now(), Now()))
+    assert len(done) == 3 * backlog // 500 and Map.read <= 6
+    assert Handle.timers[-1] == 180_000
+
+
 def test_mapping_store_batches(spark, tmp_path):
     path = str(tmp_path)
     batches = [[("a", "11", 0), ("b", "22", 1)], [("c", "33", 2), ("a", "11", 3)], [("d", "4" * 100, 4)], [("e", "55", 5)]]
