@@ -19,18 +19,19 @@ from wardlake.plans.registry import query
 from wardlake.plans.tables import AUDIT_SQL, SALT, audit_rows, pick, pick_sql, table
 from wardlake.runtime import shared_dir, use_state_store
 from wardlake.streaming.chunks import recut, restore_to
-from wardlake.streaming.holds import hold_events
+from wardlake.streaming.holds import hold_events, left_open, open_in_state
 from wardlake.streaming.mapping_store import latest_store, read_metrics, store_to
 from wardlake.streaming.responses import restore_responses_to, with_heads
 from wardlake.streaming.verdicts import deduplicated, rolling_counts, stream_verdicts
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a stream of its files."""
-    return (
-        spark.readStream.schema(table(spark, sf_dir, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-    )
+    """A given table, one file or a folder of files, as a stream of its files."""
+    given = table(spark, sf_dir, name)
+    stream = spark.readStream.schema(given.schema)
+    if given.inputFiles()[0].endswith(f"/{name}.parquet"):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return stream.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def finish(writer) -> None:
@@ -217,15 +218,17 @@ _HOLDS = """SELECT *, epoch_us(ts) // 1000 AS ms FROM (SELECT 'gw-' || ((event_i
   CASE WHEN event_id % 4 = 0 THEN 'pause' ELSE CASE CAST(floor(value * 100) AS BIGINT) % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'disconnect' END END AS kind FROM events)"""
 
 
-@query(
-    f"""WITH h AS ({_HOLDS}),
-paired AS (SELECT p.gateway, p.request_id, p.ms, r.kind, r.ms AS resolved FROM (SELECT * FROM h WHERE kind = 'pause') p
-  LEFT JOIN (SELECT request_id, arg_min(kind, (ms, seq)) AS kind, min(ms) AS ms FROM h WHERE kind <> 'pause' GROUP BY request_id) r ON r.request_id = p.request_id)
+_PAIRED = f"""WITH h AS ({_HOLDS}),
+paired AS (SELECT p.gateway, p.request_id, p.ms, p.seq, r.kind, r.ms AS resolved FROM (SELECT * FROM h WHERE kind = 'pause') p
+  LEFT JOIN (SELECT request_id, arg_min(kind, (ms, seq)) AS kind, min(ms) AS ms FROM h WHERE kind <> 'pause' GROUP BY request_id) r ON r.request_id = p.request_id)"""
+_APPROVALS = f"""{_PAIRED}
 SELECT gateway, request_id, ms AS at_ms, 'paused' AS decision, 'hold' AS cause FROM paired
 UNION ALL SELECT gateway, request_id, resolved, CASE kind WHEN 'approve' THEN 'approved' ELSE 'rejected' END, kind FROM paired WHERE resolved <= ms + 300000
 UNION ALL SELECT gateway, request_id, ms + 300000, 'rejected', 'timeout' FROM paired
   WHERE coalesce(resolved > ms + 300000, TRUE) AND ms + 300000 <= (SELECT max(ms) FROM h)"""
-)
+
+
+@query(_APPROVALS)
 def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live holds: approved, rejected, abandoned, or timed out after five minutes."""
     use_state_store(spark)
@@ -234,6 +237,39 @@ def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("gateway", "request_id", "at_ms", "decision", "cause")
 
 
+@query(_APPROVALS)
+def stream_approvals_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same holds from two jobs: the second begins with what the first one left open."""
+    use_state_store(spark)
+    requests = hold_requests(stream_table(spark, sf_dir, "events"))
+    span = hold_requests(table(spark, sf_dir, "events")).agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    half = F.lit(span["first"] + (span["last"] - span["first"]) / 2)
+    before = to_parquet(hold_events(requests.where(F.col("ts") <= half), "0 seconds"), spark, "holds")
+    after = to_parquet(hold_events(requests.where(F.col("ts") > half), "0 seconds", open_holds=left_open(before)), spark, "holds")
+    return before.unionByName(after).select("gateway", "request_id", "at_ms", "decision", "cause")
+
+
+@query(
+    f"""{_PAIRED}, held AS (SELECT * FROM paired WHERE (request_id % 3 = 0 OR coalesce(resolved > ms + 86400000, TRUE)) AND ms + 86400000 > (SELECT max(ms) FROM h))
+SELECT gateway, request_id, seq AS approval_id, ms + 86400000 AS deadline FROM held UNION ALL SELECT 'all gateways', NULL, NULL, CAST(count(*) AS BIGINT) FROM held"""
+)
+def stream_open_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holds that are open in a job's state, and their number."""
+    use_state_store(spark)
+    path = shared_dir(spark, "open-holds")
+    # Every third request is never resolved, so that holds stay open for the day that they may.
+    requests = hold_requests(stream_table(spark, sf_dir, "events")).where("kind = 'pause' OR request_id % 3 <> 0")
+    finish(
+        hold_events(requests, "0 seconds", timeout_seconds=86_400).writeStream.format("parquet").option("path", f"{path}/data")
+        .option("checkpointLocation", f"{path}/checkpoint").outputMode("append")
+    )
+    held = open_in_state(spark, f"{path}/checkpoint")
+    number = held.agg(F.count("*").alias("deadline")).select(
+        F.lit("all gateways").alias("gateway"), F.lit(None).cast("bigint").alias("request_id"), F.lit(None).cast("bigint").alias("approval_id"), "deadline"
+    )
+    return held.unionByName(number)
+
+
 # One hold at most, as a fold over each gateway's events in time order. The state is
 # [open request or -1, deadline, paused, full, approved, rejected, disconnected, timed out].
 _ONE_HOLD = """list_reduce(list([ms, kind_code, request_id] ORDER BY ms, seq), lambda s, e: [
