@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.constants import GATED_LABELS, SURFACES
+from wardlake.constants import GATED_LABELS, NEGATIVE_FP_BUDGET, SURFACES
 from wardlake.functions import synth
 from wardlake.functions.pii import SPAN_TYPE
 from wardlake.labels import LABELS
@@ -16,7 +16,9 @@ from wardlake.operators.run_metrics import daily_sketches, latency_report, merge
 from wardlake.plans import checks
 from wardlake.plans.registry import query
 from wardlake.plans.tables import pick, pick_sql, table
+from wardlake.runtime import shared_dir
 from wardlake.schemas import META_TYPE
+from wardlake.sources.files import read_kdpii
 
 _SEED = 42
 _LABELS = list(synth.DRAWS)
@@ -84,6 +86,19 @@ def synth_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(F.count("*").alias("n"), F.count_if(valid).cast("int").alias("valid"))
 
 
+_NEGATIVES_SQL = f"""SELECT n, kind, surface, {checks.negative_text('surface', 'value')} AS text FROM (SELECT *, {checks.negative_value('kind', 'u')} AS value
+FROM (SELECT p_partkey AS n, {pick_sql(list(synth.NEGATIVES), 'p_partkey % 8')} AS kind, {pick_sql(SURFACES, '(p_partkey // 8) % 6')} AS surface,
+  {checks.draws(7, f'p_partkey * {synth.NEGATIVE_DRAWS} + 1', synth.NEGATIVE_DRAWS)} AS u FROM part))"""
+_FALSE_SPANS = checks.spans(f"SELECT n AS key, text FROM ({_NEGATIVES_SQL})")
+
+
+@query(f"SELECT CAST(n AS BIGINT) AS n, kind, surface, text FROM ({_NEGATIVES_SQL})")
+def synth_negative_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives by value."""
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("bigint").alias("n")
+    return part_negatives(spark, sf_dir).select(number, F.col("meta.domain").alias("kind"), "surface", "text")
+
+
 # Predictions of the positives: detected spans, but records dropped, spans changed, and records added.
 def noisy_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = order_positives(spark, sf_dir)
@@ -193,7 +208,7 @@ def pii_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.markdown_rows(scoring.score(order_positives(spark, sf_dir), noisy_predictions(spark, sf_dir)))
 
 
-@query()
+@query(f"SELECT CAST(count(*) AS BIGINT) AS fp, CAST({NEGATIVE_FP_BUDGET} AS BIGINT) AS budget, count(*) <= {NEGATIVE_FP_BUDGET} AS passed FROM ({_FALSE_SPANS})")
 def negatives_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False positives on hard negatives, against a budget that grows with their number."""
     negatives = part_negatives(spark, sf_dir)
@@ -201,7 +216,9 @@ def negatives_fp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.gate_negative(counts)
 
 
-@query()
+@query(
+    f"SELECT docs, flagged, CASE WHEN docs = 0 THEN 0.0 ELSE flagged / docs END AS rate FROM (SELECT (SELECT count(*) FROM part) AS docs, (SELECT count(DISTINCT key) FROM ({_FALSE_SPANS})) AS flagged)"
+)
 def negatives_fp_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of hard negatives with a false positive."""
     negatives = part_negatives(spark, sf_dir)
@@ -388,3 +405,41 @@ def run_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = table(spark, sf_dir, "events").select(F.col("event_type").alias("run"), F.to_date("ts").alias("day"), "value")
     report = latency_report(merged(daily_sketches(measured, "value", ["run", "day"]), ["run"]), ["run"], {"p99": 0.99})
     return report.select("run", "documents", F.round("mean", 6).alias("mean"), "p99", F.round("documents_per_second", 6).alias("documents_per_second"))
+
+
+def _people(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A person name of one to four letters per turn as gold; predicted for every second turn."""
+    key = F.col("conv_id") * 100 + F.col("turn")
+    name = F.repeat(F.lit("김"), (key % 4 + 1).cast("int"))
+    span = F.struct(
+        F.lit(0).cast("bigint").alias("start"), F.length(name).cast("bigint").alias("end"), F.lit("PERSON").alias("label"), name.alias("text"), F.lit(1).cast("bigint").alias("tier")
+    )
+    turns = table(spark, sf_dir, "conversations").select(key.cast("string").alias("id"), key.alias("k"), F.array(span).cast(f"array<{SPAN_TYPE}>").alias("spans"))
+    none = F.array().cast(f"array<{SPAN_TYPE}>")
+    return turns.select("id", "spans"), turns.select("id", F.when(F.floor(F.col("k") / 4) % 2 == 0, F.col("spans")).otherwise(none).alias("spans"))
+
+
+@query(
+    f"""SELECT label, tp, fp, fn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM (SELECT label, {_RATES} FROM (
+SELECT unnest(['PERSON', NULL]) AS label, count(*) FILTER (k // 4 % 2 = 0) AS tp, 0 AS fp, count(*) FILTER (k // 4 % 2 = 1) AS fn
+FROM (SELECT conv_id * 100 + turn AS k FROM conversations) WHERE k % 4 >= 2 GROUP BY 1))"""
+)
+def person_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of person names: those of one or two letters count on neither side."""
+    return _rounded(scoring.score(*_people(spark, sf_dir)))
+
+
+@query(
+    f"""SELECT 'kdpii-valid-' || lpad(CAST(k AS VARCHAR), greatest(length(CAST(k AS VARCHAR)), 5)::INT, '0') AS id, label,
+  CAST(i * 3 AS BIGINT) AS start, substr(text, i * 3 + 1, 2) AS text FROM ({_MARKS_SQL}) WHERE label IS NOT NULL"""
+)
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corpus from files that hold one JSON array of sentences each."""
+    path = shared_dir(spark, "kdpii")
+    sentences = labelled_sentences(spark, sf_dir).withColumn("file", F.floor(F.col("sent_idx").cast("bigint") / 5_000))
+    # A file is one array, so its sentences are one row; their number is bounded by the file's range of ids.
+    whole = sentences.groupBy("file").agg(F.to_json(F.collect_list(F.struct("sent_idx", "sentence", "PII_set"))).alias("value"))
+    whole.write.partitionBy("file").text(path)
+    labels, label_map = label_tables(spark, LABELS)
+    records = corpus.normalize_kdpii(read_kdpii(spark, f"{path}/file=*"), labels, label_map, "valid")
+    return records.select("id", F.explode("spans").alias("s")).select("id", "s.label", "s.start", "s.text")

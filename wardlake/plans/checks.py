@@ -226,3 +226,40 @@ def positive_text(surface: str, label: str, value: str) -> str:
     fields = _case(label, {k: w[1] for k, w in synth.LABEL_WORDS.items()})
     words = _case(label, {k: w[0] for k, w in synth.LABEL_WORDS.items()})
     return f"replace(replace(replace({text}, '{{f}}', {fields}), '{{k}}', {words}), '{{v}}', {value})"
+
+
+def negative_value(kind: str, u: str) -> str:
+    """The value of a negative kind from its list of draws."""
+
+    def hexes(first: int, count: int) -> str:
+        return "(" + " || ".join(f"printf('%x', {below(f'{u}[{first + i}]', 16)})" for i in range(count)) + ")"
+
+    def valid(v: str) -> str:
+        digits = f"regexp_replace({v}, '[^0-9]', '', 'g')"
+        as_id = f"(regexp_full_match(replace({v}, '-', ''), '[0-9]{{13}}') AND ({_check12('d')}) || '' = substr(d, 13, 1))"
+        return _bind(digits, "d", f"({as_id} OR length(d) >= 12 AND {luhn('d')})")
+
+    def clean(prefix: str, suffix: str, shift: str) -> str:
+        tries = f"list_transform(range(10), lambda t: p || ((t + {shift}) % 10) || '{suffix}')"
+        return _bind(prefix, "p", f"list_filter({tries}, lambda v: NOT {valid('v')})[1]")
+
+    front = f"({_pad2(below(f'{u}[1]', 100))} || {_pad2(below(f'{u}[2]', 12) + ' + 1')} || {_pad2(below(f'{u}[3]', 28) + ' + 1')})"
+    number = f"({front} || '-' || ({below(f'{u}[4]', 4)} + 1) || {_run(u, 5, 5)})"
+    check = f"list_filter(range(10), lambda c: {luhn("(b || c)")})[1]"
+    card = _bind(f"('4' || {_run(u, 1, 14)})", "b", f"b || (({check} + {below(f'{u}[15]', 8)} + 1) % 10)")
+    parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    values = {
+        "invalid-rrn": clean(number, "", below(f"{u}[10]", 10)),
+        "luhn-fail-card": _bind(card, "w", "substr(w,1,4) || '-' || substr(w,5,4) || '-' || substr(w,9,4) || '-' || substr(w,13,4)"),
+        "order-no": f"('ORD-' || {_run(u, 1, 10)})",
+        "tracking-no": clean(f"({_run(u, 1, 12)})", "", below(f"{u}[13]", 10)),
+        "session-id": hexes(1, 32),
+        "uuid": "(" + " || '-' || ".join(hexes(*p) for p in parts) + ")",
+        "git-sha": hexes(1, 40),
+        "rrn-like-date": clean(f"({_run(u, 1, 5)})", "-0000000", below(f"{u}[6]", 10)),
+    }
+    return "CASE " + kind + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+def negative_text(surface: str, value: str) -> str:
+    return f"replace({_case(surface, synth.NEGATIVE_TEXTS)}, '{{v}}', {value})"

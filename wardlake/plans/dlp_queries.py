@@ -22,6 +22,7 @@ from wardlake.functions.secrets import detect_secrets, generic_secrets
 from wardlake.operators.enforcement import forwarded_bodies, inspected
 from wardlake.operators.hooks import hook_verdicts, prompt_block_reason
 from wardlake.operators.mappings import mapping_rows, merge, restore, retained, retention_stats, unstable_secrets
+from wardlake.operators.salts import read_machines, session_salts, with_pads, write_machines
 from wardlake.plans import checks
 from wardlake.plans.policy_queries import PATHS, uploads
 from wardlake.plans.registry import query
@@ -310,9 +311,11 @@ SELECT conv_id, turn, sha256('c' || conv_id) AS secret,
 FROM (SELECT *, {checks.hmac("'s' || conv_id", MACHINE_SECRET)} AS salt FROM conversations))"""
 )
 def session_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each session masks under its own derived salt."""
-    pads = session_pads("session_id", salt_pads(MACHINE_SECRET))
-    masked = session_turns(spark, sf_dir).withColumn("r", let(pads, lambda p: redact("text", p)))
+    """Each session masks under its own derived salt, with salts from a table."""
+    path = shared_dir(spark, "machines")
+    write_machines(spark, {"local": MACHINE_SECRET}, path)
+    turns = session_turns(spark, sf_dir).withColumn("machine_id", F.lit("local"))
+    masked = with_pads(turns, session_salts(turns, read_machines(spark, path))).withColumn("r", redact("text", F.col("pads")))
     return masked.select("conv_id", "turn", F.explode(F.map_keys("r.mapping")).alias("placeholder"))
 
 
@@ -325,6 +328,22 @@ def turn_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unstable_secrets(rows.withColumnRenamed("salt_id", "session_id"))
 
 
+@query(
+    """SELECT session_id, CAST(count(DISTINCT secret) AS BIGINT) AS secrets, CAST(count(*) AS BIGINT) AS masked, CAST(0 AS BIGINT) AS unstable
+FROM (SELECT 's' || conv_id AS session_id, sha256('c' || conv_id) AS secret FROM conversations) GROUP BY session_id"""
+)
+def turn_stability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per session: secrets, how often they were masked, and how many got a second placeholder, which none did."""
+    pads = session_pads("session_id", salt_pads(MACHINE_SECRET))
+    masked = session_turns(spark, sf_dir).withColumn("r", let(pads, lambda p: redact("text", p)))
+    rows = mapping_rows(masked.withColumn("mapping", F.col("r.mapping")), "mapping", "turn", "session_id")
+    rows = rows.withColumnRenamed("salt_id", "session_id")
+    rows = rows.where(F.length("secret") == 64)  # the credential of each turn; its texts may hold other findings
+    unstable = unstable_secrets(rows).groupBy("session_id").agg(F.count("*").alias("unstable"))
+    seen = rows.groupBy("session_id").agg(F.count_distinct("secret").alias("secrets"), F.count("*").alias("masked"))
+    return seen.join(unstable, "session_id", "left").select("session_id", "secrets", "masked", F.coalesce("unstable", F.lit(0)).cast("bigint").alias("unstable"))
+
+
 # JSON bodies: each document's text as a string value, and its card numbers bare.
 def json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     card = F.regexp_extract("text", r"(?<![0-9A-Za-z_])[0-9]{16}(?![0-9A-Za-z_])", 0)

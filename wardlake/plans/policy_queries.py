@@ -19,7 +19,7 @@ from wardlake.functions.hosts import canonical_host, host_of, matches_domain, re
 from wardlake.functions.kube import k8s_facts
 from wardlake.functions.paths import is_sensitive_path
 from wardlake.functions.sqlfacts import postgres_facts, sql_facts
-from wardlake.functions.summaries import body_hold_summary, describe_facts, host_hold_summary, time_of_day
+from wardlake.functions.summaries import body_hold_summary, describe_facts, host_hold_summary, rfc3339, time_of_day
 from wardlake.operators.enforcement import (
     audit_drafts,
     enforce,
@@ -397,6 +397,27 @@ def intercept_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intercepted(gateway_requests(spark, sf_dir), ["github.com", "api.anthropic.com"]).select("event_id")
 
 
+@query(
+    f"""SELECT 'all' AS form, event_id FROM events UNION ALL
+SELECT 'table', event_id FROM (SELECT event_id, lower({pick_sql(DOMAINS, 'user_id % 7')}) AS host FROM events) WHERE host IN ('github.com', 'api.anthropic.com')"""
+)
+def intercept_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other forms of that selection: none, all, and a table of hosts."""
+    requests = gateway_requests(spark, sf_dir)
+    chosen = table(spark, sf_dir, "events").select(pick(DOMAINS, F.col("user_id") % 7).alias("host"))
+    hosts = chosen.where(F.lower("host").isin("github.com", "api.anthropic.com")).distinct()
+    forms = {"none": "none", "all": "all", "table": hosts}
+    parts = [intercepted(requests, hosts).select(F.lit(form).alias("form"), "event_id") for form, hosts in forms.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_id, strftime(make_timestamp(event_id * 86399000001), '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM events")
+def event_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants as RFC 3339 text."""
+    instant = F.timestamp_micros(F.col("event_id") * 86_399_000_001)
+    return table(spark, sf_dir, "events").select("event_id", rfc3339(instant).alias("at"))
+
+
 # Uploads: documents as request bodies.
 _UPLOAD_POLICY = Policy(
     default="allow",
