@@ -18,6 +18,7 @@ from wardlake.plans.dlp_queries import document_mapping
 from wardlake.plans.registry import query
 from wardlake.plans.tables import AUDIT_SQL, SALT, audit_rows, pick, pick_sql, table
 from wardlake.runtime import shared_dir, use_state_store
+from wardlake.streaming import mapping_log
 from wardlake.streaming.chunks import recut, restore_to
 from wardlake.streaming.holds import hold_events, left_open, open_in_state
 from wardlake.streaming.mapping_store import latest_store, read_metrics, store_to
@@ -352,3 +353,22 @@ def stream_mapping_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("entries", "version").alias("entries"), F.max_by("bytes", "version").alias("bytes"),
         F.sum("evicted").alias("evicted"),
     )
+
+
+@query(
+    f"""SELECT placeholder, secret, last_seq FROM (SELECT *, row_number() OVER w AS r, sum(strlen(secret)) OVER (w ROWS UNBOUNDED PRECEDING) AS b
+FROM ({_MAPPING}) WINDOW w AS (ORDER BY last_seq DESC, placeholder)) WHERE r <= {_CAPS['max_entries']} AND b <= {_CAPS['max_bytes']}"""
+)
+def stream_mapping_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store after six batches that append to it."""
+    path = shared_dir(spark, "log")
+    documents = table(spark, sf_dir, "documents")
+    span = documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    step = (span["high"] - span["low"]) // 6 + 1
+    for n in range(6):
+        low = span["low"] + n * step
+        documents.where(F.col("doc_id").between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(f"{path}/documents")
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/documents")
+    masked = stream.select("doc_id", F.lit("main").alias("salt_id"), redact("text", salt_pads(SALT))["mapping"].alias("mapping"))
+    finish(mapping_log.store_to(mapping_rows(masked, "mapping", "doc_id", "salt_id"), path, f"{path}/checkpoint", compact_every=4, **_CAPS))
+    return mapping_log.latest_store(spark, path, 4).select("placeholder", "secret", "last_seq")
