@@ -203,6 +203,10 @@ def stream_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The events of a gateway are some minutes apart: few parts and long buckets save state calls.
+_HOLD_STATE = {"parts": 8, "bucket_seconds": 3_600}
+
+
 def hold_requests(events: DataFrame) -> DataFrame:
     """Events as pauses and resolutions of five gateways: four neighbouring events share a request."""
     kind = F.when(F.col("event_id") % 4 == 0, "pause").otherwise(
@@ -234,7 +238,7 @@ def stream_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live holds: approved, rejected, abandoned, or timed out after five minutes."""
     use_state_store(spark)
     requests = hold_requests(stream_table(spark, sf_dir, "events"))
-    out = to_parquet(hold_events(requests, "0 seconds"), spark, "holds")
+    out = to_parquet(hold_events(requests, "0 seconds", **_HOLD_STATE), spark, "holds")
     return out.select("gateway", "request_id", "at_ms", "decision", "cause")
 
 
@@ -245,8 +249,8 @@ def stream_approvals_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = hold_requests(stream_table(spark, sf_dir, "events"))
     span = hold_requests(table(spark, sf_dir, "events")).agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
     half = F.lit(span["first"] + (span["last"] - span["first"]) / 2)
-    before = to_parquet(hold_events(requests.where(F.col("ts") <= half), "0 seconds"), spark, "holds")
-    after = to_parquet(hold_events(requests.where(F.col("ts") > half), "0 seconds", open_holds=left_open(before)), spark, "holds")
+    before = to_parquet(hold_events(requests.where(F.col("ts") <= half), "0 seconds", **_HOLD_STATE), spark, "holds")
+    after = to_parquet(hold_events(requests.where(F.col("ts") > half), "0 seconds", open_holds=left_open(before), **_HOLD_STATE), spark, "holds")
     return before.unionByName(after).select("gateway", "request_id", "at_ms", "decision", "cause")
 
 
@@ -261,7 +265,7 @@ def stream_open_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every third request is never resolved, so that holds stay open for the day that they may.
     requests = hold_requests(stream_table(spark, sf_dir, "events")).where("kind = 'pause' OR request_id % 3 <> 0")
     finish(
-        hold_events(requests, "0 seconds", timeout_seconds=86_400).writeStream.format("parquet").option("path", f"{path}/data")
+        hold_events(requests, "0 seconds", timeout_seconds=86_400, **_HOLD_STATE).writeStream.format("parquet").option("path", f"{path}/data")
         .option("checkpointLocation", f"{path}/checkpoint").outputMode("append")
     )
     held = open_in_state(spark, f"{path}/checkpoint")
