@@ -156,7 +156,6 @@ def prefix_pairs(sets: DataFrame, nodes: DataFrame) -> DataFrame:
     own as that class needs.
     """
     listed = sets.join(nodes, "node").select("node", "n", "group", F.explode("s").alias("s"))
-    listed = durable(listed)
     # A shingle of a single set has no partner; such ones come first in their set's order.
     often = listed.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     ordered = listed.join(often, "s").groupBy("node", "n", "group").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("common"))
