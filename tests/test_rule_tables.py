@@ -7,6 +7,7 @@ import re
 
 import pytest
 from conftest import texts
+from pyspark.sql import functions as F
 
 from wardlake.operators.policy import Policy, Rule, decide
 from wardlake.operators.rule_tables import condition_atoms, decide_by_tables, first_matches, residual_conditions, rule_faults
@@ -107,3 +108,18 @@ def test_plan_does_not_grow_with_rules(spark, tmp_path):
         plan = first_matches(requests, "i", spark.read.parquet(f"{tmp_path}/{count}"))._jdf.queryExecution().optimizedPlan().toString()
         plans.append(re.sub(r"[#_]\d+L?", "", plan))
     assert plans[0] == plans[1]
+
+
+def test_tables_of_policies_are_not_broadcast(spark):
+    """Their size is unknown before they are exploded, so no join may send them through the driver."""
+    rows = spark.range(50)
+    policy = F.concat(F.lit("p"), F.col("id").cast("string")).alias("policy")
+    rule = F.struct(F.lit(0).alias("pos"), F.lit("r").alias("name"), F.lit("*").alias("endpoint"), F.lit("http.method = 'GET'").alias("condition"), F.lit("deny").alias("verdict"))
+    rules = rows.select(policy, F.explode(F.array(rule)).alias("r")).select("policy", "r.*")
+    egress = rows.select(policy, F.lit("allow").alias("kind"), F.lit("*.a.com").alias("pattern"))
+    defaults = rows.select(policy, F.lit("pause").alias("default"))
+    http = F.struct(F.when(F.col("id") < 20, "GET").alias("method"), F.lit("q.a.com").alias("host"), F.lit("/").alias("path"), F.lit(1).cast("bigint").alias("body_size"))
+    requests = rows.select("id", policy, F.lit("q.a.com").alias("domain"), http.alias("http"))
+    decided = decide_by_tables(requests, "id", rules, egress, defaults)
+    assert "BroadcastExchange" not in decided._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: (r.verdict, r.rule) for r in decided.collect()} == {i: ("deny", "r") if i < 20 else ("allow", None) for i in range(50)}

@@ -222,15 +222,15 @@ def host_verdicts(hosts: DataFrame, egress: DataFrame, default: str | None = "de
 
     The suffix rule is an equi join: a host is looked up by each of its suffixes,
     the whole host in exact and wildcard form. Work is per distinct host, so a host
-    that holds a large share of the traffic costs one row here. Whether the pattern
-    side is broadcast is left to the planner and its byte threshold.
+    that holds a large share of the traffic costs one row here. Patterns are not
+    broadcast, since the planner cannot tell the size of a table made by exploding.
     """
     patterns = pattern_table(egress, by)
     keys = hosts.select(*by, "host").where(F.col("host").isNotNull()).distinct().select(
         *by, "host", F.posexplode(domain_suffixes("host")).alias("depth", "suffix")
     )
     hits = (
-        keys.join(patterns, [*by, "suffix"], "left")
+        keys.join(patterns.hint("merge"), [*by, "suffix"], "left")
         .groupBy(*by, "host")
         .agg(
             F.max(F.col("deny") & (F.col("wildcard") | (F.col("depth") == 0))).alias("denied"),

@@ -4,7 +4,9 @@ A condition that is a conjunction of comparisons, or several joined by OR, becom
 atoms `(fact, op, constants)`. Rules are indexed by one equality of theirs, so a request
 meets only the rules of its own policy that it can match: it looks up each of its facts by
 an equi join, and a rule matches when as many of its atoms hit as it has. The plan has no
-expression per rule and is the same for ten policies and for ten million.
+expression per rule and is the same for ten policies and for ten million. Tables of policies
+are never broadcast: the planner sees the size before they are exploded, which may be a
+small part of theirs.
 
 What is no such condition is kept as text. Each distinct text is compiled once
 (`residual_conditions`, then `residual=`); where it holds, it is one more fact that rules are
@@ -106,8 +108,9 @@ def rule_index(rules: DataFrame) -> DataFrame:
 
 
 def residual_conditions(rules: DataFrame) -> DataFrame:
-    """The distinct conditions that have to be compiled."""
-    return rule_index(rules).where("residual is not null").select(F.col("residual").alias("condition")).distinct()
+    """The distinct conditions that have to be compiled; each text is parsed once."""
+    texts = rules.where(F.length(F.trim("condition")) > 0).select("condition").distinct()
+    return computed(texts, "parts", condition_atoms("condition")).where("parts is null").select("condition")
 
 
 def rule_faults(rules: DataFrame, requests: DataFrame, residual: Sequence[str]) -> DataFrame:
@@ -159,7 +162,7 @@ def first_matches(requests: DataFrame, request_id: str, rules: DataFrame, residu
     )
     compiled = F.col("residual").isNull() | F.col("residual").isin(list(residual)) if residual else F.col("residual").isNull()
     index = rule_index(rules).withColumn("value", F.when(F.assert_true(compiled, F.lit("a condition has not been compiled")).isNull(), F.col("value")))
-    met = looked.join(index, ["policy", "fact", "value"])
+    met = looked.join(index.hint("merge"), ["policy", "fact", "value"])
     hits = F.size(F.filter("atoms", lambda a: _hit(a, F.col("texts"), F.col("numbers"))))
     first = F.min(F.struct("pos", "verdict", F.col("name").alias("rule"))).alias("first")
     return met.where(hits == F.size("atoms")).groupBy(request_id, "policy").agg(first).select(request_id, "policy", "first.*")
@@ -183,8 +186,8 @@ def decide_by_tables(
     defaults = defaults.select(F.col("policy").alias("_own"), F.col("default").alias("_default"))
     same_host = (F.col("policy") == F.col("_policy")) & (ascii_lower(F.col("domain")) == F.col("_host"))
     joined = (
-        requests.join(matched, F.col(request_id) == F.col("_id"), "left").join(listed, same_host, "left")
-        .join(defaults, F.col("policy") == F.col("_own"), "left")
+        requests.join(matched.hint("merge"), F.col(request_id) == F.col("_id"), "left").join(listed.hint("merge"), same_host, "left")
+        .join(defaults.hint("merge"), F.col("policy") == F.col("_own"), "left")
     )
     verdict = F.coalesce("_verdict", "_listed", "_default", F.lit("deny"))
     return joined.select(*(requests[c] for c in requests.columns), verdict.alias("verdict"), F.col("_rule").alias("rule"))

@@ -129,4 +129,4 @@ FROM (SELECT c_custkey AS c, unnest([0, 1]) AS pos FROM customer) WHERE {_SOUND}
 def policy_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and defaults of the documents, as tables."""
     rules, _, defaults = document_tables(customer_documents(spark, sf_dir))
-    return rules.join(defaults, "policy").select("policy", F.col("pos").cast("bigint").alias("pos"), "name", "endpoint", "condition", "verdict", "default")
+    return rules.join(defaults.hint("merge"), "policy").select("policy", F.col("pos").cast("bigint").alias("pos"), "name", "endpoint", "condition", "verdict", "default")
