@@ -148,3 +148,20 @@ def test_times(spark):
     df = texts(spark, ["2026-01-02T03:04:05Z", "soon"]).select("i", summaries.time_of_day("t").alias("x"))
     assert results(df, "x") == ["03:04:05", "soon"]
     assert spark.sql("SELECT timestamp'2026-01-02 03:04:05.5' AS t").select(summaries.rfc3339("t")).first()[0] == "2026-01-02T03:04:05.500000Z"
+
+
+def test_instants_of_any_year_and_zone(spark):
+    """Years beyond 9999 have no sign, and a session's gaps in summer time move nothing."""
+    micros = {
+        0: "1970-01-01T00:00:00.000000Z", -1: "1969-12-31T23:59:59.999999Z", 2_940_000 * 86_399_000_001: "10019-05-09T23:20:02.940000Z",
+        5_999_999 * 86_399_000_001: "18397-04-01T13:20:06.999999Z", 1_773_023_400_000_005: "2026-03-09T02:30:00.000005Z", 1_772_937_000_000_000: "2026-03-08T02:30:00.000000Z",
+    }
+    df = spark.createDataFrame([(m,) for m in micros] + [(None,)], "m bigint")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for other in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        try:
+            got = {r.m: r.x for r in df.select("m", summaries.rfc3339(F.timestamp_micros("m")).alias("x")).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        assert got == {**micros, None: None}

@@ -57,8 +57,24 @@ def time_of_day(timestamp_text: ColumnLike) -> Column:
 
 
 def rfc3339(ts: ColumnLike) -> Column:
-    """A timestamp as RFC 3339 text in UTC with microseconds."""
+    """A timestamp as RFC 3339 text in UTC with microseconds; years beyond 9999 have more digits and no sign.
+
+    Made of numbers, since formats of dates sign such years and follow the session's time zone.
+    """
+    micros, day_micros = F.unix_micros(as_column(ts)), F.lit(86_400_000_000)
+    rest = F.pmod(micros, day_micros)
+    day = F.date_from_unix_date(F.call_function("div", micros - rest, day_micros).cast("int"))
+
+    def digits(number: Column, width: int) -> Column:
+        text = number.cast("string")
+        return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+    def clock(unit: int, below: int, width: int = 2) -> Column:
+        return digits(F.call_function("div", rest, F.lit(unit)) % below, width)
+
+    year = F.year(day)
     return F.concat(
-        F.date_format(F.to_utc_timestamp(as_column(ts), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        F.when(year < 0, year.cast("string")).otherwise(digits(year, 4)), F.lit("-"), digits(F.month(day), 2), F.lit("-"), digits(F.dayofmonth(day), 2),
+        F.lit("T"), clock(3_600_000_000, 24), F.lit(":"), clock(60_000_000, 60), F.lit(":"), clock(1_000_000, 60), F.lit("."), clock(1, 1_000_000, 6),
         F.lit("Z"),
     )
