@@ -335,3 +335,52 @@ def test_rolling_counts_batch_equals_stream_plan(spark):
     df = spark.createDataFrame(rows, "decision string, timestamp timestamp")
     counts = verdicts.rolling_counts(df).orderBy("window_start").select(F.col("n")).collect()
     assert [r.n for r in counts] == [2, 1]
+
+
+def test_holds_pass_in_parts(spark, tmp_path, monkeypatch):
+    """Neither the events of a group nor its outcomes are ever one list; ids beyond 2^53 and null ones stay."""
+    import inspect
+
+    from pyspark.sql import Row
+
+    read, kept = [], []
+
+    class Waiting:
+        def index(self):
+            return {}
+
+        def add(self, index, rows):
+            kept.append((len(rows), len(read)))
+
+        def keep(self, index):
+            pass
+
+    class Handle:
+        def registerTimer(self, at):
+            assert at == 0
+
+    def rows(n):
+        for i in range(n):
+            read.append(i)
+            yield Row(at_ms=(i + 5) % 11, seq=i, kind="pause", request_id=i)
+
+    registry = holds.HoldRegistry(1, 300, 60)
+    registry._waiting, registry._handle = Waiting(), Handle()
+    monkeypatch.setattr(holds, "_ROWS_IN_MEMORY", 40)
+    list(registry.handleInputRows(("g",), rows(100), None))
+    assert kept == [(40, 40), (40, 80), (20, 100)]
+
+    monkeypatch.setattr(holds, "_OUTCOMES_AT_ONCE", 4)
+    monkeypatch.setattr(holds.HoldRegistry, "handleExpiredTimer", lambda self, *_: (self._event(("g",), i, i, "rejected", "full", None) for i in range(10)))
+    frames = holds._FramedHolds(1, 300, 60).handleExpiredTimer(("g",), None, None)
+    assert inspect.isgenerator(frames) and [len(f) for f in frames] == [4, 4, 2]
+    monkeypatch.undo()
+
+    use_state_store(spark)
+    base, big = datetime(2026, 1, 1), 2**60 + 1
+    events = [("g", base, big, "pause", big), ("g", base + timedelta(seconds=1), big + 2, "pause", None), ("g", base + timedelta(seconds=2), big + 4, "approve", big), ("g", base + timedelta(seconds=900), 1, "approve", 5)]
+    spark.createDataFrame(events, holds.HOLD_INPUT_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    drain(holds.hold_events(spark.readStream.schema(holds.HOLD_INPUT_SCHEMA).parquet(str(tmp_path / "in")), "0 seconds", max_pending=1, timeout_seconds=300), "out", tmp_path)
+    got = sorted((r.at_ms, r.request_id, r.cause, r.approval_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    start = int(base.timestamp()) * 1000
+    assert got == [(start, big, "hold", big), (start + 1000, None, "full", None), (start + 2000, big, "approve", big)]

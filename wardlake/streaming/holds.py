@@ -9,7 +9,7 @@ gateway the group.
 State is kept by time: waiting events and deadlines lie in buckets of some minutes, with a small
 index of the buckets, and open holds are looked up by request. A timer reads the buckets
 that are due, one after the other, and what it finds; neither a long backlog nor many open
-holds are ever read as a whole.
+holds are ever read as a whole. Events are read and outcomes sent on in parts of fixed size.
 
 A hold's approval id is the `seq` of its pause. A resolution ends every open hold of its
 request. Events later than the stated lateness are dropped by Spark, which reports their
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
+from math import inf
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -38,44 +40,52 @@ OPEN_HOLD_SCHEMA = "gateway string, request_id bigint, approval_id bigint, deadl
 # Parts that a gateway's independent requests are dealt to by default; a state call per request costs more.
 PARTS = 64
 BUCKET_SECONDS = 600
-_BUCKETS = "buckets array<struct<bucket:bigint,first:bigint>>"
+_BUCKETS = "buckets array<struct<bucket:bigint,first:bigint,slabs:bigint>>"
+# Waiting events that are read before they are put into state, and outcomes that leave at once.
+_ROWS_IN_MEMORY = 100_000
+_OUTCOMES_AT_ONCE = 10_000
 
 
 class _Buckets:
-    """Rows of a map state by bucket, with an index of the buckets and their earliest time."""
+    """Rows of a map state by bucket, with an index of the buckets, their earliest time and number of slabs.
 
-    def __init__(self, handle: StatefulProcessorHandle, name: str, row: str, bucket_ms: int) -> None:
+    Rows are added to a bucket as a further slab, so what lies there is not read or written again.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, columns: str, bucket_ms: int) -> None:
         self._bucket_ms = bucket_ms
-        self._rows = handle.getMapState(name, "bucket bigint", f"rows array<struct<{row}>>")
+        self._rows = handle.getMapState(name, "bucket bigint, slab bigint", columns)
         self._listed = handle.getValueState(f"{name}_index", _BUCKETS)
 
-    def index(self) -> dict[int, int]:
-        """bucket → earliest time."""
+    def index(self) -> dict[int, tuple[int, int]]:
+        """bucket → earliest time, number of slabs."""
         stored = self._listed.get()
-        return {b[0]: b[1] for b in stored[0]} if stored else {}
+        return {b[0]: (b[1], b[2]) for b in stored[0]} if stored else {}
 
-    def keep(self, index: dict[int, int]) -> None:
+    def keep(self, index: dict[int, tuple[int, int]]) -> None:
         if index:
-            self._listed.update((sorted(index.items()),))
+            self._listed.update((sorted((bucket, *entry) for bucket, entry in index.items()),))
         else:
             self._listed.clear()
 
-    def add(self, index: dict[int, int], rows: list[tuple]) -> None:
+    def add(self, index: dict[int, tuple[int, int]], rows: list[tuple]) -> None:
         """Put rows, whose first entry is their time, into their buckets."""
         parts: dict[int, list[tuple]] = {}
         for row in rows:
             parts.setdefault(row[0] // self._bucket_ms, []).append(row)
         for bucket, part in parts.items():
-            stored = [tuple(r) for r in self._rows.getValue((bucket,))[0]] if bucket in index else []
-            self._rows.updateValue((bucket,), (stored + part,))
-            index[bucket] = min(index.get(bucket, part[0][0]), *(r[0] for r in part))
+            earliest = min(r[0] for r in part)
+            first, slabs = index.get(bucket, (earliest, 0))
+            self._rows.updateValue((bucket, slabs), tuple(list(column) for column in zip(*part)))
+            index[bucket] = (min(first, earliest), slabs + 1)
 
-    def take(self, index: dict[int, int], bucket: int) -> list[tuple]:
+    def take(self, index: dict[int, tuple[int, int]], bucket: int) -> list[tuple]:
         """Remove a bucket and return its rows in order; one that came twice counts once."""
-        rows = sorted({tuple(r) for r in self._rows.getValue((bucket,))[0]})
-        self._rows.removeKey((bucket,))
-        del index[bucket]
-        return rows
+        rows: set[tuple] = set()
+        for slab in range(index.pop(bucket)[1]):
+            rows.update(zip(*self._rows.getValue((bucket, slab))))
+            self._rows.removeKey((bucket, slab))
+        return sorted(rows)
 
 
 class HoldRegistry(StatefulProcessor):
@@ -88,8 +98,8 @@ class HoldRegistry(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = _Buckets(handle, "waiting", "at_ms:bigint,seq:bigint,kind:string,request_id:bigint", self._bucket_ms)
-        self._deadlines = _Buckets(handle, "deadlines", "deadline:bigint,approval_id:bigint,request_id:bigint", self._bucket_ms)
+        self._waiting = _Buckets(handle, "waiting", "at_ms array<bigint>, seq array<bigint>, kind array<string>, request_id array<bigint>", self._bucket_ms)
+        self._deadlines = _Buckets(handle, "deadlines", "deadline array<bigint>, approval_id array<bigint>, request_id array<bigint>", self._bucket_ms)
         # The watermark up to which everything was handled, and the number of open holds.
         self._handled = handle.getValueState("handled", "at_ms bigint")
         self._count = handle.getValueState("count", "open bigint")
@@ -109,13 +119,15 @@ class HoldRegistry(StatefulProcessor):
         self._handle.registerTimer(deadline)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        index = self._waiting.index()
-        new = [(row.at_ms, row.seq, row.kind, row.request_id) for row in rows]
-        if new:
+        index, events, first = self._waiting.index(), ((row.at_ms, row.seq, row.kind, row.request_id) for row in rows), None
+        while new := list(islice(events, _ROWS_IN_MEMORY)):
             self._waiting.add(index, new)
+            earliest = min(event[0] for event in new)
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
             self._waiting.keep(index)
             # The first timer that the watermark passes handles all that is due by then.
-            self._handle.registerTimer(min(new)[0])
+            self._handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -125,7 +137,7 @@ class HoldRegistry(StatefulProcessor):
             return
         now = timerValues.getCurrentWatermarkInMs()
         waiting, run = self._waiting.index(), _Run(self)
-        for bucket in sorted(b for b, first in waiting.items() if first <= now):
+        for bucket in sorted(b for b, (first, _) in waiting.items() if first <= now):
             later = []
             for event in self._waiting.take(waiting, bucket):
                 if event[0] > now:
@@ -137,7 +149,7 @@ class HoldRegistry(StatefulProcessor):
         for outcome in run.expire(now):
             yield self._event(key, *outcome)
         self._waiting.keep(waiting)
-        ahead = [*waiting.values(), *run.store()]
+        ahead = [*(first for first, _ in waiting.values()), *run.store()]
         if ahead:
             self._handle.registerTimer(min(ahead))
             self._handled.update((now,))
@@ -165,11 +177,16 @@ class _Run:
         # How many of the open holds are in state: without any, it need not be asked.
         self._stored = count[0] if count else 0
         self._index = self._deadlines.index()
+        self._next = self._earliest()
         self._read: deque[tuple[int, int, int]] = deque()
         self._fresh: deque[tuple[int, int, int]] = deque()
         self._of_request: dict[int, list[tuple[int, int]]] = {}
         self._open = 0
 
+    def _earliest(self) -> float:
+        """The first deadline that is in state."""
+        return min((first for first, _ in self._index.values()), default=inf)
+
     def _in_state(self, request: int) -> list[tuple[int, int]]:
         if not self._stored or not self._state.containsKey((request,)):
             return []
@@ -177,8 +194,10 @@ class _Run:
 
     def expire(self, now_ms: int):
         """Holds whose deadline has come."""
-        while self._index and min(self._index.values()) <= now_ms:
+        while self._next <= now_ms:
+            # Buckets follow each other in time, so the earliest deadline lies in the first.
             self._read = deque(sorted([*self._read, *self._deadlines.take(self._index, min(self._index))]))
+            self._next = self._earliest()
         while True:
             of_state = bool(self._read) and (not self._fresh or self._read[0] <= self._fresh[0])
             due = self._read if of_state else self._fresh
@@ -235,7 +254,40 @@ class _Run:
             self._count.update((total,))
         else:
             self._count.clear()
-        return list(self._index.values())
+        return [first for first, _ in self._index.values()]
+
+
+class _FramedHolds(HoldRegistry):
+    """The same with pandas frames in and out: Spark sends them on one by one, but rows only when the last is there.
+
+    Ids come as texts, since a frame would turn whole numbers beside a null into doubles.
+    """
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for request, approval, deadline in _values(initialState, "request_id", "approval_id", "deadline"):
+            super().handleInitialState(key, Row(request_id=_id(request), approval_id=_id(approval), deadline=deadline), timerValues)
+
+    def handleInputRows(self, key, rows, timerValues):
+        events = (
+            Row(at_ms=at_ms, seq=_id(seq), kind=kind, request_id=_id(request))
+            for frame in rows for at_ms, seq, kind, request in _values(frame, "at_ms", "seq", "kind", "request_id")
+        )
+        return super().handleInputRows(key, events, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        outcomes = super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        while part := list(islice(outcomes, _OUTCOMES_AT_ONCE)):
+            yield pd.DataFrame(part, columns=list(part[0].__fields__), dtype=object)
+
+
+def _values(frame, *columns: str) -> Iterator[tuple]:
+    return zip(*(frame[c].tolist() for c in columns))
+
+
+def _id(text: str | None) -> int | None:
+    return int(text) if isinstance(text, str) else None
 
 
 def hold_events(
@@ -255,14 +307,18 @@ def hold_events(
     """
     group = ["gateway"] if max_pending is not None else ["gateway", "part"]
     part = F.pmod(F.xxhash64("request_id"), F.lit(parts))
-    begin = {} if open_holds is None else {"initialState": open_holds.withColumn("part", part).groupBy(*group)}
+
+    def ids_as_texts(rows: DataFrame, *ids: str) -> DataFrame:
+        return rows.withColumn("part", part).withColumns({c: F.col(c).cast("string") for c in ids})
+
+    begin = {} if open_holds is None else {"initialState": ids_as_texts(open_holds, "request_id", "approval_id").groupBy(*group)}
     return (
-        requests.withColumn("part", part)
+        ids_as_texts(requests, "request_id", "seq")
         .withWatermark("ts", lateness)
         .withColumn("at_ms", F.unix_millis("ts"))
         .groupBy(*group)
-        .transformWithState(
-            statefulProcessor=HoldRegistry(max_pending, timeout_seconds, bucket_seconds),
+        .transformWithStateInPandas(
+            statefulProcessor=_FramedHolds(max_pending, timeout_seconds, bucket_seconds),
             outputStructType=HOLD_OUTPUT_SCHEMA,
             outputMode="append",
             timeMode="EventTime",
