@@ -75,3 +75,33 @@ def test_output_is_masked_under_the_session_salt(spark, judged):
 def test_unparseable_payloads_are_ignored(spark):
     df = parse_transcripts(spark.createDataFrame([(0, "not json"), (1, '{"hook_event_name": "PreToolUse"}'), (2, "")], "i int, value string"))
     assert [r.hook_event_name for r in df.collect()] == ["PreToolUse"]
+
+
+def test_a_batch_is_never_python_values_as_a_whole(monkeypatch):
+    """Texts and leaves of an Arrow batch become Python values some rows at a time."""
+    import pyarrow as pa
+
+    from wardlake.functions import json_leaves
+
+    alive, most = set(), []
+
+    class Text(str):
+        def __del__(self):
+            alive.discard(id(self))
+
+    def rows(n):
+        for i in range(n):
+            text = Text(i)
+            alive.add(id(text))
+            most.append(len(alive))
+            yield text
+            del text
+
+    monkeypatch.setattr(json_leaves, "_ROWS_AT_ONCE", 8)
+    assert json_leaves._in_parts(rows(100), pa.string()).to_pylist() == [str(i) for i in range(100)]
+    assert max(most) <= 17
+    texts = pa.array(['{"a":"x","b":["y"]}', None, "no json"] * 10)
+    leaves = json_leaves.string_leaves.func(texts)
+    assert leaves.to_pylist() == [["x", "y"], None, None] * 10
+    changed = json_leaves.replace_leaves.func(texts, pa.array([["x", "z"], None, None] * 10))
+    assert changed.to_pylist() == ['{"a":"x","b":["z"]}', None, "no json"] * 10 and json_leaves._in_parts(iter(()), pa.string()).to_pylist() == []

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,8 @@ _TOKEN = re.compile(
     r"|(?P<mark>[][{},:])|(?P<plain>-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][+-]?[0-9]++)?+|true|false|null))"
 )
 _BLANK = re.compile(r"[ \t\n\r]*")
+# Rows of an Arrow batch that are Python values at a time.
+_ROWS_AT_ONCE = 64
 
 
 def string_tokens(text: str, with_paths: bool = False) -> list[tuple[int, int, str | None, int]] | None:
@@ -83,31 +87,45 @@ def _whole_characters(token: str) -> bool:
     return True
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def string_leaves(values: pd.Series) -> pd.Series:
+def _in_parts(rows: Iterator, kind: pa.DataType) -> pa.Array:
+    """An Arrow array of many rows, of which only some are Python values at a time."""
+    parts = []
+    while part := list(islice(rows, _ROWS_AT_ONCE)):
+        parts.append(pa.array(part, kind))
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def string_leaves(values: pa.Array) -> pa.Array:
     """Contents of the string values, in order; NULL if the text is no JSON."""
-    out = []
-    for raw in values:
-        tokens = None if raw is None else string_tokens(raw)
-        out.append(None if tokens is None else [json.loads(raw[s:e]) for s, e, _, _ in tokens])
-    return pd.Series(out, dtype=object)
 
+    def rows():
+        for value in values:
+            raw = value.as_py()
+            tokens = None if raw is None else string_tokens(raw)
+            yield None if tokens is None else [json.loads(raw[s:e]) for s, e, _, _ in tokens]
+
+    return _in_parts(rows(), pa.list_(pa.string()))
 
-@F.pandas_udf(T.StringType())
-def replace_leaves(values: pd.Series, replacements: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.StringType())
+def replace_leaves(values: pa.Array, replacements: pa.Array) -> pa.Array:
     """The text with the string values that differ from their replacements written anew."""
-    out = []
-    for raw, texts in zip(values, replacements):
-        if raw is None or texts is None:
-            out.append(raw)
-            continue
-        parts, at = [], 0
-        for (start, end, _, _), text in zip(string_tokens(raw), texts):
-            if json.loads(raw[start:end]) != text:
-                parts += [raw[at:start], json.dumps(text, ensure_ascii=False)]
-                at = end
-        out.append("".join(parts) + raw[at:])
-    return pd.Series(out, dtype=object)
+
+    def rows():
+        for value, replacement in zip(values, replacements):
+            raw, texts = value.as_py(), replacement.as_py()
+            if raw is None or texts is None:
+                yield raw
+                continue
+            parts, at = [], 0
+            for (start, end, _, _), text in zip(string_tokens(raw), texts):
+                if json.loads(raw[start:end]) != text:
+                    parts += [raw[at:start], json.dumps(text, ensure_ascii=False)]
+                    at = end
+            yield "".join(parts) + raw[at:]
+
+    return _in_parts(rows(), pa.string())
 
 
 def redact_leaves(leaves: ColumnLike, pads: Column) -> Column:
