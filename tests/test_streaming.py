@@ -384,3 +384,29 @@ def test_holds_pass_in_parts(spark, tmp_path, monkeypatch):
     got = sorted((r.at_ms, r.request_id, r.cause, r.approval_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     start = int(base.timestamp()) * 1000
     assert got == [(start, big, "hold", big), (start + 1000, None, "full", None), (start + 2000, big, "approve", big)]
+
+
+def test_a_stream_within_a_batch_asks_the_state_twice():
+    """Every call to the state is a round trip, and most streams come whole in one batch."""
+    from pyspark.sql import Row
+
+    calls = []
+
+    class State:
+        def __init__(self, name):
+            self._name = name
+
+        def __getattr__(self, method):
+            return lambda *_: calls.append((self._name, method))
+
+    class Handle:
+        def getValueState(self, name, *_):
+            return State(name)
+
+        getMapState = getValueState
+
+    recutter = chunks.ChunkRecutter(None)
+    recutter.init(Handle())
+    rows = [Row(stream_id="s", seq=i, chunk=bytearray(b"abc"), is_last=i == 4) for i in (4, 3, 2, 1, 0)]
+    assert [(r.seq, r.chunk) for r in recutter.handleInputRows(("s",), iter(rows), None)] == [(i, b"abc") for i in range(5)]
+    assert calls == [("position", "get"), ("position", "update")]

@@ -73,8 +73,8 @@ class ChunkRecutter(StatefulProcessor):
             return
         carry = bytes(carry)
         early: dict[int, tuple[bytes, bool]] = {}
-        # Asking the state costs a round trip, so ask only when something was put there.
-        self._spilled = self._early.exists()
+        # Asking the state costs a round trip, so ask only when something was put there; a new stream has nothing.
+        self._spilled = stored is not None and self._early.exists()
 
         def waiting(seq: int):
             if seq in early:

@@ -40,7 +40,8 @@ def with_heads(chunks: DataFrame, heads: DataFrame, chunk_lateness: str, head_la
 
 def recut_responses(matched: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
     """Re-cut chunks with their salt and skip class; those of skipped responses are as they came."""
-    return matched.groupBy("stream_id", "salt_id", "skip").transformWithState(
+    # Times have done their work in the join; Python would make each of them an object.
+    return matched.drop("ts").groupBy("stream_id", "salt_id", "skip").transformWithState(
         statefulProcessor=ChunkRecutter(ttl_seconds, ("salt_id", "skip")),
         outputStructType=RESPONSE_SCHEMA,
         outputMode="append",
