@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from test_masking import CORPUS, leftmost_longest, mint
 
@@ -410,3 +412,174 @@ def test_a_stream_within_a_batch_asks_the_state_twice():
     rows = [Row(stream_id="s", seq=i, chunk=bytearray(b"abc"), is_last=i == 4) for i in (4, 3, 2, 1, 0)]
     assert [(r.seq, r.chunk) for r in recutter.handleInputRows(("s",), iter(rows), None)] == [(i, b"abc") for i in range(5)]
     assert calls == [("position", "get"), ("position", "update")]
+
+
+class ValueState:
+    def __init__(self):
+        self.value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class MapState(dict):
+    def exists(self):
+        return bool(self)
+
+    containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    def keys(self):
+        return iter(list(dict.keys(self)))
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
+class Handle:
+    """The state of one stream, and its timers."""
+
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getValueState(self, name, *_):
+        return self.states.setdefault(name, ValueState())
+
+    def getMapState(self, name, *_):
+        return self.states.setdefault(name, MapState())
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def is_empty(self):
+        return all(s.value is None if isinstance(s, ValueState) else not s for s in self.states.values())
+
+
+class Expired:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def head_row(at=1_000_000, until=9_000_000, salt_id="salt", skip=None):
+    return Row(at=at, until=until, seq=None, chunk=None, is_last=None, salt_id=salt_id, skip=skip)
+
+
+def chunk_row(seq, chunk, is_last, at=1_000_000):
+    return Row(at=at, until=None, seq=seq, chunk=bytearray(chunk), is_last=is_last, salt_id=None, skip=None)
+
+
+@pytest.mark.parametrize("skip", [None, "encoded"])
+def test_a_response_in_any_order_over_any_batches(skip, monkeypatch):
+    """The head anywhere among the chunks, some of them repeated, with more of them than memory may keep."""
+    monkeypatch.setattr(chunks, "_EARLY_IN_MEMORY", 3)
+    monkeypatch.setattr(responses, "_HELD_IN_MEMORY", 3)
+    body = f"é before {mint('x')} after {mint('y')} {'z' * 40}".encode()
+    pieces = [body[i : i + 7] for i in range(0, len(body), 7)]
+    whole = [chunk_row(i, p, i == len(pieces) - 1, 1_000_000 + i) for i, p in enumerate(pieces)]
+    shuffled = random.Random(4)
+    for _ in range(200):
+        rows = whole + [head_row(skip=skip)] + shuffled.sample(whole, 4)
+        # Of another time than the head's: these meet nothing.
+        rows += [chunk_row(0, b"before", False, 999_999), chunk_row(2, b"after", True, 9_000_001)]
+        shuffled.shuffle(rows)
+        handle, got, at = Handle(), [], 0
+        while at < len(rows):
+            n = shuffled.randint(1, len(rows))
+            recutter = responses.ResponseRecutter(None)
+            recutter.init(handle)
+            got += recutter.handleInputRows(("s",), iter(rows[at : at + n]), None)
+            at += n
+        assert [r.seq for r in got] == list(range(len(pieces)))
+        assert b"".join(r.chunk for r in got) == body
+        assert {(r.stream_id, r.salt_id, r.skip, r.restorable) for r in got} == {("s", "salt", skip, skip is None)}
+        if skip is not None:
+            assert [r.chunk for r in got] == pieces
+        assert not handle.states["early"] and not handle.states["held"]
+
+
+def test_responses_forget_what_can_no_longer_meet():
+    def after(rows):
+        handle = Handle()
+        recutter = responses.ResponseRecutter(None)
+        recutter.init(handle)
+        list(recutter.handleInputRows(("s",), iter(rows), None))
+        return recutter, handle
+
+    recutter, handle = after([chunk_row(1, b"b", True, 1_500_900), chunk_row(0, b"a", False, 1_400_000)])
+    assert handle.timers == [1501] and len(handle.states["held"]) == 2
+    list(recutter.handleExpiredTimer(("s",), None, Expired(1500)))
+    assert dict(handle.states["held"]) == {(1_500_900, 1): (b"b", True)}
+    list(recutter.handleExpiredTimer(("s",), None, Expired(1501)))
+    assert handle.is_empty()
+
+    recutter, handle = after([head_row(), chunk_row(1, b"b", True)])
+    assert handle.timers == [9001]
+    list(recutter.handleExpiredTimer(("s",), None, Expired(8999)))
+    assert not handle.is_empty()
+    list(recutter.handleExpiredTimer(("s",), None, Expired(9001)))
+    assert handle.is_empty()
+
+    # A finished stream needs no timer and keeps its marker.
+    recutter, handle = after([chunk_row(0, b"a", True), head_row()])
+    assert handle.timers == [] and not handle.is_empty()
+    assert list(recutter.handleInputRows(("s",), iter([head_row(), chunk_row(0, b"a", True)]), None)) == []
+
+
+def test_responses_take_little_disk(spark, tmp_path):
+    """A body that comes with its head leaves one row in state, and re-cut chunks go once they are restored."""
+    use_state_store(spark)
+    began = datetime(2024, 5, 1)
+    pieces = [(f"s{k}", began, i, bytearray(b"some text "), i == 19) for k in range(6) for i in range(20)]
+    pieces += [(None, began, 0, bytearray(b"x"), True), ("s0", None, 0, bytearray(b"x"), True)]
+    spark.createDataFrame(pieces, "stream_id string, ts timestamp, seq bigint, chunk binary, is_last boolean").write.parquet(str(tmp_path / "chunks"))
+    heads = [(f"s{k}", began, 200, None, "salt") for k in range(6)] + [(None, began, 200, None, "salt")]
+    spark.createDataFrame(heads, responses.HEAD_SCHEMA).write.parquet(str(tmp_path / "heads"))
+    mapping = spark.createDataFrame([("salt", mint("x"), "x", 0)], MAPPING_SCHEMA)
+    chunk = spark.readStream.schema("stream_id string, ts timestamp, seq bigint, chunk binary, is_last boolean").parquet(str(tmp_path / "chunks"))
+    head = spark.readStream.schema(responses.HEAD_SCHEMA).parquet(str(tmp_path / "heads"))
+    matched = responses.with_heads(chunk, head, "1 minute", "1 minute", 600)
+    query = responses.restore_responses_to(matched, lambda: mapping, str(tmp_path / "out"), str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress) == 6
+    assert spark.read.schema(responses.RESPONSE_SCHEMA).parquet(str(tmp_path / "out-staged")).count() == 0
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("stream_id", "seq").collect()
+    assert [(r.stream_id, r.seq, bytes(r.chunk)) for r in got] == [(s, i, bytes(c)) for s, at, i, c, _ in pieces if s and at]
+    assert {r.skip_reason for r in got} == {None}
+
+
+def test_late_heads_and_chunks_of_responses(spark, tmp_path):
+    """What the watermark has passed meets nothing, and leaves the state."""
+    use_state_store(spark)
+    began = datetime(2024, 5, 1)
+    chunk_schema = "stream_id string, ts timestamp, seq bigint, chunk binary, is_last boolean"
+    mapping = spark.createDataFrame([("salt", mint("x"), "x", 0)], MAPPING_SCHEMA)
+    folder = str(tmp_path)
+
+    def run(heads, pieces):
+        spark.createDataFrame([(s, began + timedelta(seconds=t), 200, None, "salt") for s, t in heads], responses.HEAD_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/heads")
+        rows = [(s, began + timedelta(seconds=t), n, bytearray(b"ab"), last) for s, t, n, last in pieces]
+        spark.createDataFrame(rows, chunk_schema).coalesce(1).write.mode("append").parquet(f"{folder}/chunks")
+        matched = responses.with_heads(
+            spark.readStream.schema(chunk_schema).parquet(f"{folder}/chunks"), spark.readStream.schema(responses.HEAD_SCHEMA).parquet(f"{folder}/heads"),
+            "10 seconds", "10 seconds", 60,
+        )
+        query = responses.restore_responses_to(matched, lambda: mapping, f"{folder}/out", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+    # "half" lacks its end, "headless" its head.
+    assert run([("half", 0), ("done", 0)], [("half", 0, 0, False), ("done", 0, 0, True), ("headless", 0, 0, True)]) > 1
+    left = run([("new", 500)], [("new", 500, 0, True)])
+    # Only the markers of "done" and "new" are left, and all that comes late is dropped.
+    assert left == 2
+    assert run([("headless", 0), ("new", 501)], [("half", 1, 1, True), ("new", 501, 0, True)]) == 2
+    got = spark.read.parquet(f"{folder}/out").collect()
+    assert sorted((r.stream_id, r.seq) for r in got) == [("done", 0), ("half", 0), ("new", 0)]

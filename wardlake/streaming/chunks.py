@@ -49,6 +49,58 @@ def cut(carry: bytes, chunk: bytes, is_last: bool) -> tuple[bytes, bytes, bool]:
     return data[:emit_end], data[emit_end:], True
 
 
+class ChunkOrder:
+    """One stream within a batch: takes its chunks in any order and gives them in theirs, with moved boundaries."""
+
+    def __init__(self, position: tuple[int, bytes, bool], early, spilled: bool) -> None:
+        self.next_seq, self.carry, self.is_text = position[0], bytes(position[1]), position[2]
+        self._early, self.spilled = early, spilled
+        self._near: dict[int, tuple[bytes, bool]] = {}
+
+    @property
+    def finished(self) -> bool:
+        return self.next_seq == _FINISHED
+
+    def add(self, seq: int, chunk: bytes, is_last: bool) -> Iterator[tuple[int, bytes, bool]]:
+        """`(seq, chunk, is text)` of what the new chunk lets go; repeated chunks are without effect."""
+        if self.finished or seq < self.next_seq:
+            return
+        self._near[seq] = (bytes(chunk), bool(is_last))
+        while not self.finished and (entry := self._waiting(self.next_seq)) is not None:
+            emit, ends = entry
+            if self.is_text:
+                emit, self.carry, self.is_text = cut(self.carry, emit, ends)
+            yield self.next_seq, emit, self.is_text
+            self.next_seq = _FINISHED if ends else self.next_seq + 1
+        if len(self._near) > _EARLY_IN_MEMORY:
+            self._keep()
+
+    def position(self) -> tuple[int, bytes, bool]:
+        """What to remember; early chunks go to the state, and leave it when the stream is finished."""
+        if not self.finished:
+            self._keep()
+            return self.next_seq, self.carry, self.is_text
+        if self.spilled:
+            self._early.clear()
+        return _FINISHED, b"", self.is_text
+
+    def _waiting(self, seq: int) -> tuple[bytes, bool] | None:
+        if seq in self._near:
+            return self._near.pop(seq)
+        # Asking the state costs a round trip, so ask only when something was put there.
+        if self.spilled and self._early.containsKey((seq,)):
+            chunk, is_last = self._early.getValue((seq,))
+            self._early.removeKey((seq,))
+            return bytes(chunk), is_last
+        return None
+
+    def _keep(self) -> None:
+        for seq, entry in self._near.items():
+            self._early.updateValue((seq,), entry)
+            self.spilled = True
+        self._near.clear()
+
+
 class ChunkRecutter(StatefulProcessor):
     """Per stream: puts chunks in order and moves their boundaries.
 
@@ -56,64 +108,23 @@ class ChunkRecutter(StatefulProcessor):
     With a time to live, the marker and whatever an unfinished stream left go after it.
     """
 
-    def __init__(self, ttl_seconds: int | None, carried: tuple[str, ...] = ()) -> None:
+    def __init__(self, ttl_seconds: int | None) -> None:
         self._ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
-        # Columns of the key after the stream's id, which come out again; a `skip` makes a stream pass as it is.
-        self._carried = carried
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._position = handle.getValueState("position", "next_seq bigint, carry binary, is_text boolean", self._ttl_ms)
         self._early = handle.getMapState("early", "seq bigint", "chunk binary, is_last boolean", self._ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        stream_id, more = key[0], dict(zip(self._carried, key[1:]))
         stored = self._position.get()
-        next_seq, carry, is_text = stored if stored else (0, b"", more.get("skip") is None)
-        if next_seq == _FINISHED:
+        # A new stream has nothing in state.
+        order = ChunkOrder(stored or (0, b"", True), self._early, stored is not None and stored[0] != _FINISHED and self._early.exists())
+        if order.finished:
             return
-        carry = bytes(carry)
-        early: dict[int, tuple[bytes, bool]] = {}
-        # Asking the state costs a round trip, so ask only when something was put there; a new stream has nothing.
-        self._spilled = stored is not None and self._early.exists()
-
-        def waiting(seq: int):
-            if seq in early:
-                return early.pop(seq)
-            if self._spilled and self._early.containsKey((seq,)):
-                chunk, is_last = self._early.getValue((seq,))
-                self._early.removeKey((seq,))
-                return bytes(chunk), is_last
-            return None
-
-        finished = False
         for row in rows:
-            if finished or row.seq < next_seq:
-                continue
-            early[row.seq] = (bytes(row.chunk), bool(row.is_last))
-            while not finished and (entry := waiting(next_seq)) is not None:
-                chunk, is_last = entry
-                if is_text:
-                    emit, carry, is_text = cut(carry, chunk, is_last)
-                else:
-                    emit = chunk
-                yield Row(stream_id=stream_id, seq=next_seq, chunk=emit, restorable=is_text, **more)
-                next_seq += 1
-                finished = is_last
-            if len(early) > _EARLY_IN_MEMORY:
-                self._keep(early)
-        if finished:
-            if self._spilled:
-                self._early.clear()
-            self._position.update((_FINISHED, b"", is_text))
-        else:
-            self._keep(early)
-            self._position.update((next_seq, carry, is_text))
-
-    def _keep(self, early: dict[int, tuple[bytes, bool]]) -> None:
-        for seq, entry in early.items():
-            self._early.updateValue((seq,), entry)
-            self._spilled = True
-        early.clear()
+            for seq, chunk, is_text in order.add(row.seq, row.chunk, row.is_last):
+                yield Row(stream_id=key[0], seq=seq, chunk=chunk, restorable=is_text)
+        self._position.update(order.position())
 
     def close(self) -> None:
         pass
@@ -147,19 +158,25 @@ def restored_chunks(safe_chunks: DataFrame, mapping: DataFrame, salt_id: str) ->
     return done.select("stream_id", "seq", F.coalesce(F.col("_text").cast("binary"), F.col("chunk")).alias("chunk"))
 
 
+def write_restored(batch: DataFrame, restored: Callable[[DataFrame], DataFrame], path: str, batch_id: int) -> None:
+    """Write what `restored` makes of a batch's re-cut chunks, one folder per batch, rewritten on a retry.
+
+    The re-cut chunks are written first, because restoring reads them more than once and the
+    stateful steps must run once. They take disk only until they are restored.
+    """
+    staged, spark = f"{path}-staged", batch.sparkSession
+    compressed = {"mode": "overwrite", "compression": "zstd"}
+    batch.write.parquet(staged, **compressed)
+    restored(spark.read.schema(batch.schema).parquet(staged)).write.parquet(f"{path}/batch={batch_id}", **compressed)
+    spark.createDataFrame([], batch.schema).write.parquet(staged, **compressed)
+
+
 def restore_to(
     chunks: DataFrame, mapping: Callable[[], DataFrame], salt_id: str, path: str, checkpoint: str, ttl_seconds: int | None = None
 ):
-    """Streaming sink of restored chunks: one folder per batch, rewritten on a retry.
-
-    `mapping` is called for each batch, so placeholders minted meanwhile are known. The re-cut chunks are written before they are restored, because restoring reads
-    them twice and the stateful step must run once.
-    """
+    """Streaming sink of restored chunks; `mapping` is called for each batch, so placeholders minted meanwhile are known."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        staged = f"{path}-staged/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(staged)
-        safe = batch.sparkSession.read.schema(batch.schema).parquet(staged)
-        restored_chunks(safe, mapping(), salt_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        write_restored(batch, lambda safe: restored_chunks(safe, mapping(), salt_id), path, batch_id)
 
     return recut(chunks, ttl_seconds).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,51 +1,155 @@
 """Restoring responses: heads and chunks of bodies come as two streams.
 
-A head says whether a body may be restored; its chunks meet it by a stream-stream join that
+A head says whether a body may be restored; its chunks meet it in one stateful step that
 either side may reach first. Skipped bodies pass byte for byte; the others are re-cut, so
 that no placeholder crosses a boundary, and restored with the mapping of the head's salt, as
 it is at each batch.
 
-Both sides have a watermark, and a chunk belongs to a head for a stated time, so the join
+Both sides have a watermark, and a chunk belongs to a head for a stated time, so the step
 forgets heads and chunks that can no longer meet. Chunks without a head are dropped with it.
+Only what has to wait lies in state: a body that comes with its head in one batch leaves a
+marker and none of its bytes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardlake.functions.bodies import restore_skip_reason
 from wardlake.operators.mappings import restore
-from wardlake.streaming.chunks import RECUT_SCHEMA, ChunkRecutter
+from wardlake.streaming.chunks import RECUT_SCHEMA, ChunkOrder, write_restored
 
 HEAD_SCHEMA = "stream_id string, ts timestamp, status int, encoding string, salt_id string"
 RESPONSE_SCHEMA = f"{RECUT_SCHEMA}, salt_id string, skip string"
 
+# Chunks whose head is not there yet are kept in memory up to this many, then in state.
+_HELD_IN_MEMORY = 1024
+
+
+def _event_time(ts: str) -> Column:
+    """A time that Python can hold; those beyond its years count as the last ones, and are never late."""
+    return F.greatest(F.least(ts, F.lit("9999-12-30").cast("timestamp")), F.lit("0001-01-02").cast("timestamp"))
+
 
 def with_heads(chunks: DataFrame, heads: DataFrame, chunk_lateness: str, head_lateness: str, max_seconds: int) -> DataFrame:
-    """Chunks `(stream_id, ts, seq, chunk, is_last)` with the salt and the skip class of their head.
+    """Heads and chunks `(stream_id, ts, seq, chunk, is_last)` as one stream; heads have the salt, the skip class and an end.
 
-    A chunk comes at the time of its head or up to `max_seconds` after it.
+    A chunk comes at the time of its head or up to `max_seconds` after it. What has no stream or no time meets nothing.
     """
-    head = heads.withWatermark("ts", head_lateness).select(
-        F.col("stream_id").alias("_stream"), F.col("ts").alias("_began"), "salt_id",
-        restore_skip_reason("status", "encoding", F.lit(1)).alias("skip"),
+    heads, chunks = heads.dropna(subset=["stream_id", "ts"]), chunks.dropna(subset=["stream_id", "ts"])
+    head = heads.withColumn("_time", _event_time("ts")).withWatermark("_time", head_lateness).select(
+        "_time", "stream_id", F.unix_micros("ts").alias("at"),
+        F.unix_micros(F.col("ts") + F.make_dt_interval(secs=F.lit(max_seconds))).alias("until"),
+        "salt_id", restore_skip_reason("status", "encoding", F.lit(1)).alias("skip"),
     )
-    chunk = chunks.withWatermark("ts", chunk_lateness)
-    during = (F.col("ts") >= F.col("_began")) & (F.col("ts") <= F.col("_began") + F.make_dt_interval(secs=F.lit(max_seconds)))
-    return chunk.join(head, (F.col("stream_id") == F.col("_stream")) & during).select("stream_id", "ts", "seq", "chunk", "is_last", "salt_id", "skip")
+    chunk = chunks.withColumn("_time", _event_time("ts")).withWatermark("_time", chunk_lateness).select(
+        "_time", "stream_id", F.unix_micros("ts").alias("at"), "seq", "chunk", "is_last"
+    )
+    return head.unionByName(chunk, allowMissingColumns=True)
+
+
+class ResponseRecutter(StatefulProcessor):
+    """Per stream: chunks in the time of the head in their order, with moved boundaries; those of a skipped response as they came.
+
+    A stream has one head; of several the first to come counts. A finished stream keeps only a
+    marker. An unfinished one goes when the watermark has passed its head's time, a chunk without
+    a head when it has passed the chunk; with a time to live, everything goes after it instead.
+    """
+
+    def __init__(self, ttl_seconds: int | None) -> None:
+        self._ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        position = "next_seq bigint, carry binary, is_text boolean, began bigint, until bigint, salt_id string, skip string"
+        self._position = handle.getValueState("position", position, self._ttl_ms)
+        self._early = handle.getMapState("early", "seq bigint", "chunk binary, is_last boolean", self._ttl_ms)
+        self._held = handle.getMapState("held", "at bigint, seq bigint", "chunk binary, is_last boolean", self._ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        stored = self._position.get()
+        began, until, salt_id, skip = stored[3:] if stored else (None, None, None, None)
+        order = ChunkOrder(stored[:3] if stored else (0, b"", True), self._early, False)
+        if order.finished:
+            return
+        # Asking the state costs a round trip, so ask only for streams that left something there.
+        order.spilled = until is not None and self._early.exists()
+        in_state = stored is not None and until is None
+        held: dict[tuple[int, int], tuple[bytes, bool]] = {}
+        last_held, new_head = None, False
+
+        def emitted(at: int, seq: int, chunk: bytes, is_last: bool) -> Iterator[Row]:
+            if began <= at <= until:
+                for n, out, is_text in order.add(seq, chunk, is_last):
+                    yield Row(stream_id=key[0], seq=n, chunk=out, restorable=is_text, salt_id=salt_id, skip=skip)
+
+        for row in rows:
+            if until is not None:
+                if row.until is None:
+                    yield from emitted(row.at, row.seq, row.chunk, row.is_last)
+            elif row.until is None:
+                held[row.at, row.seq] = (bytes(row.chunk), bool(row.is_last))
+                last_held = row.at if last_held is None else max(last_held, row.at)
+                if len(held) > _HELD_IN_MEMORY:
+                    self._keep(held)
+                    in_state = True
+            else:
+                began, until, salt_id, skip, new_head = row.at, row.until, row.salt_id, row.skip, True
+                order.is_text = skip is None
+                for (at, seq), entry in held.items():
+                    yield from emitted(at, seq, *entry)
+                if in_state:
+                    for (at, seq), entry in self._held.iterator():
+                        yield from emitted(at, seq, *entry)
+                    self._held.clear()
+        if until is None:
+            self._keep(held)
+            self._forget_after(last_held)
+        elif new_head and not order.finished:
+            self._forget_after(until)
+        self._position.update((*order.position(), began, until, salt_id, skip))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        stored = self._position.get()
+        if stored is None or ChunkOrder(stored[:3], None, False).finished:
+            return iter(())
+        if stored[4] is None:
+            times = [tuple(k) for k in self._held.keys()]
+            for at, seq in times:
+                if at <= passed:
+                    self._held.removeKey((at, seq))
+            if all(at <= passed for at, _ in times):
+                self._position.clear()
+        elif stored[4] <= passed:
+            self._early.clear()
+            self._position.clear()
+        return iter(())
+
+    def _keep(self, held: dict[tuple[int, int], tuple[bytes, bool]]) -> None:
+        for at_seq, entry in held.items():
+            self._held.updateValue(at_seq, entry)
+        held.clear()
+
+    def _forget_after(self, micros: int) -> None:
+        if self._ttl_ms is None:
+            self._handle.registerTimer(micros // 1000 + 1)
+
+    def close(self) -> None:
+        pass
 
 
 def recut_responses(matched: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
     """Re-cut chunks with their salt and skip class; those of skipped responses are as they came."""
-    # Times have done their work in the join; Python would make each of them an object.
-    return matched.drop("ts").groupBy("stream_id", "salt_id", "skip").transformWithState(
-        statefulProcessor=ChunkRecutter(ttl_seconds, ("salt_id", "skip")),
+    return matched.groupBy("stream_id").transformWithState(
+        statefulProcessor=ResponseRecutter(ttl_seconds),
         outputStructType=RESPONSE_SCHEMA,
         outputMode="append",
-        timeMode="none" if ttl_seconds is None else "processingTime",
+        timeMode="eventTime" if ttl_seconds is None else "processingTime",
     )
 
 
@@ -71,16 +175,9 @@ def restored_responses(safe_chunks: DataFrame, mapping: DataFrame) -> DataFrame:
 def restore_responses_to(
     matched: DataFrame, mapping: Callable[[], DataFrame], path: str, checkpoint: str, ttl_seconds: int | None = None
 ):
-    """Streaming sink of restored responses: one folder per batch, rewritten on a retry.
-
-    The re-cut chunks are written before they are restored, because restoring reads them
-    more than once and the stateful steps must run once.
-    """
+    """Streaming sink of restored responses, with the mapping as it is at each batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        staged = f"{path}-staged/batch={batch_id}"
-        batch.write.mode("overwrite").parquet(staged)
-        safe = batch.sparkSession.read.schema(batch.schema).parquet(staged)
-        restored_responses(safe, mapping()).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        write_restored(batch, lambda safe: restored_responses(safe, mapping()), path, batch_id)
 
     return recut_responses(matched, ttl_seconds).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
