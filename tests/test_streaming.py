@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -468,12 +470,14 @@ class Expired:
         return self.ms
 
 
-def head_row(at=1_000_000, until=9_000_000, salt_id="salt", skip=None):
-    return Row(at=at, until=until, seq=None, chunk=None, is_last=None, salt_id=salt_id, skip=skip)
+def head_row(skip=None):
+    return Row(head={"began": 1_000_000, "until": 9_000_000, "salt_id": "salt", "skip": skip}, entries=None, data=None)
 
 
-def chunk_row(seq, chunk, is_last, at=1_000_000):
-    return Row(at=at, until=None, seq=seq, chunk=bytearray(chunk), is_last=is_last, salt_id=None, skip=None)
+def pack_row(*chunks):
+    """A pack of chunks `(seq, chunk, is_last, at)`."""
+    entries = b"".join(struct.pack(responses.PACK_ENTRY, at, seq, len(chunk), is_last) for seq, chunk, is_last, at in chunks)
+    return Row(head=None, entries=entries, data=b"".join(c[1] for c in chunks))
 
 
 @pytest.mark.parametrize("skip", [None, "encoded"])
@@ -483,12 +487,17 @@ def test_a_response_in_any_order_over_any_batches(skip, monkeypatch):
     monkeypatch.setattr(responses, "_HELD_IN_MEMORY", 3)
     body = f"é before {mint('x')} after {mint('y')} {'z' * 40}".encode()
     pieces = [body[i : i + 7] for i in range(0, len(body), 7)]
-    whole = [chunk_row(i, p, i == len(pieces) - 1, 1_000_000 + i) for i, p in enumerate(pieces)]
+    whole = [(i, p, i == len(pieces) - 1, 1_000_000 + i) for i, p in enumerate(pieces)]
     shuffled = random.Random(4)
     for _ in range(200):
-        rows = whole + [head_row(skip=skip)] + shuffled.sample(whole, 4)
-        # Of another time than the head's: these meet nothing.
-        rows += [chunk_row(0, b"before", False, 999_999), chunk_row(2, b"after", True, 9_000_001)]
+        # Two of another time than the head's, which meet nothing.
+        sent = whole + shuffled.sample(whole, 4) + [(0, b"before", False, 999_999), (2, b"after", True, 9_000_001)]
+        shuffled.shuffle(sent)
+        rows = [head_row(skip)]
+        while sent:
+            n = shuffled.randint(1, 5)
+            rows.append(pack_row(*sent[:n]))
+            del sent[:n]
         shuffled.shuffle(rows)
         handle, got, at = Handle(), [], 0
         while at < len(rows):
@@ -497,14 +506,48 @@ def test_a_response_in_any_order_over_any_batches(skip, monkeypatch):
             recutter.init(handle)
             got += recutter.handleInputRows(("s",), iter(rows[at : at + n]), None)
             at += n
-        assert [r.seq for r in got] == list(range(len(pieces)))
-        assert b"".join(r.chunk for r in got) == body
+        assert [r.seq + n for r in got for n in range(len(r.chunks))] == list(range(len(pieces)))
+        emitted = [c for r in got for c in r.chunks]
+        assert b"".join(emitted) == body
         assert {(r.stream_id, r.salt_id, r.skip, r.restorable) for r in got} == {("s", "salt", skip, skip is None)}
         if skip is not None:
-            assert [r.chunk for r in got] == pieces
+            assert emitted == pieces
         assert not handle.states["early"] and not handle.states["held"]
 
 
+def test_a_response_turns_binary_and_fills_packs():
+    token = mint("x").encode()
+    big = [b"y" * 9000] * 5
+    pieces = [b"ok " + token, b"<<hs:1", *big, b"\xff" + token, token]
+    handle = Handle()
+    recutter = responses.ResponseRecutter(None)
+    recutter.init(handle)
+    got = list(recutter.handleInputRows(("s",), iter([head_row(), pack_row(*((i, p, i == 8, 1_000_000) for i, p in enumerate(pieces)))]), None))
+    flat = [(r.seq + n, c, r.restorable) for r in got for n, c in enumerate(r.chunks)]
+    assert [(c, ok) for _, c, ok in flat] == feed(pieces)
+    assert [n for n, _, _ in flat] == list(range(9))
+    assert max(sum(map(len, r.chunks)) for r in got) < 2 * 16_384 and len(got) > 3
+
+
+def test_packs_hold_all_chunks():
+    """Chunks of many streams and sizes, in any order, some without bytes."""
+    some = random.Random(5)
+    rows = [(f"s{some.randint(0, 9)}", some.randint(-5, 2**60), n, some.randbytes(some.choice([0, 1, 300, 20_000])), some.choice([True, False, None])) for n in range(500)]
+    schema = pa.schema([("stream_id", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("chunk", pa.binary()), ("is_last", pa.bool_())])
+    whole = pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema)
+    for batches in ([whole], [whole.slice(0, 7), whole.slice(7, 0), whole.slice(7)]):
+        got, sizes = [], []
+        for b in responses.pack(iter(batches)):
+            for r in b.to_pylist():
+                chunks_of = list(responses.unpacked(r["entries"], r["data"]))
+                sizes.append(sum(len(c[2]) for c in chunks_of[:-1]))
+                assert r["_time"].year <= 9999
+                got += [(r["stream_id"], at, seq, chunk, last) for at, seq, chunk, last in chunks_of]
+        assert sorted(got, key=lambda r: r[2]) == [(*r[:4], bool(r[4])) for r in rows]
+        assert max(sizes) < 16_384 and len(sizes) < 400
+    assert [b.num_rows for b in responses.pack(iter([whole.slice(0, 0)]))] == []
+
+
 def test_responses_forget_what_can_no_longer_meet():
     def after(rows):
         handle = Handle()
@@ -513,14 +556,14 @@ def test_responses_forget_what_can_no_longer_meet():
         list(recutter.handleInputRows(("s",), iter(rows), None))
         return recutter, handle
 
-    recutter, handle = after([chunk_row(1, b"b", True, 1_500_900), chunk_row(0, b"a", False, 1_400_000)])
+    recutter, handle = after([pack_row((1, b"b", True, 1_500_900)), pack_row((0, b"a", False, 1_400_000))])
     assert handle.timers == [1501] and len(handle.states["held"]) == 2
     list(recutter.handleExpiredTimer(("s",), None, Expired(1500)))
     assert dict(handle.states["held"]) == {(1_500_900, 1): (b"b", True)}
     list(recutter.handleExpiredTimer(("s",), None, Expired(1501)))
     assert handle.is_empty()
 
-    recutter, handle = after([head_row(), chunk_row(1, b"b", True)])
+    recutter, handle = after([head_row(), pack_row((1, b"b", True, 1_000_000))])
     assert handle.timers == [9001]
     list(recutter.handleExpiredTimer(("s",), None, Expired(8999)))
     assert not handle.is_empty()
@@ -528,9 +571,9 @@ def test_responses_forget_what_can_no_longer_meet():
     assert handle.is_empty()
 
     # A finished stream needs no timer and keeps its marker.
-    recutter, handle = after([chunk_row(0, b"a", True), head_row()])
+    recutter, handle = after([pack_row((0, b"a", True, 1_000_000)), head_row()])
     assert handle.timers == [] and not handle.is_empty()
-    assert list(recutter.handleInputRows(("s",), iter([head_row(), chunk_row(0, b"a", True)]), None)) == []
+    assert list(recutter.handleInputRows(("s",), iter([head_row(), pack_row((0, b"a", True, 1_000_000))]), None)) == []
 
 
 def test_responses_take_little_disk(spark, tmp_path):

@@ -8,14 +8,18 @@ it is at each batch.
 Both sides have a watermark, and a chunk belongs to a head for a stated time, so the step
 forgets heads and chunks that can no longer meet. Chunks without a head are dropped with it.
 Only what has to wait lies in state: a body that comes with its head in one batch leaves a
-marker and none of its bytes.
+marker and none of its bytes. Chunks travel in packs, since to shuffle a small chunk and to
+make it a row in Python costs more than the chunk.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,28 +32,72 @@ RESPONSE_SCHEMA = f"{RECUT_SCHEMA}, salt_id string, skip string"
 
 # Chunks whose head is not there yet are kept in memory up to this many, then in state.
 _HELD_IN_MEMORY = 1024
-
-
-def _event_time(ts: str) -> Column:
-    """A time that Python can hold; those beyond its years count as the last ones, and are never late."""
-    return F.greatest(F.least(ts, F.lit("9999-12-30").cast("timestamp")), F.lit("0001-01-02").cast("timestamp"))
+# A pack is closed by the chunk that reaches so many bytes; its entries are time, number, bytes and whether it is the last.
+_PACK_BYTES = 16_384
+PACK_ENTRY = "<qqi?"
+_PACK_ENTRY = np.dtype([("at", "<i8"), ("seq", "<i8"), ("size", "<i4"), ("is_last", "?")])
+_PACK_SCHEMA = "_time timestamp, stream_id string, entries binary, data binary"
+_REPACKED_SCHEMA = "stream_id string, seq bigint, chunks array<binary>, restorable boolean, salt_id string, skip string"
+# The years that Python's times have; others count as the first or the last, where the watermark never goes.
+_TIMES = (-62_135_510_400_000_000, 253_402_128_000_000_000)
+
+
+def _parts(values: pa.Buffer | None, bounds: np.ndarray) -> pa.Array:
+    """Binary values that lie one behind the other in a buffer."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), values or pa.py_buffer(b"")])
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks `(stream_id, at, seq, chunk, is_last)` of a stream within a batch as packs, at the time of the latest of them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        streams = batch.column("stream_id").dictionary_encode().indices.to_numpy()
+        order = np.argsort(streams, kind="stable")
+        rows, streams, n = batch.take(pa.array(order)), streams[order], batch.num_rows
+        chunks = rows.column("chunk").cast(pa.binary())
+        ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + n + 1]
+        entries = np.empty(n, _PACK_ENTRY)
+        # A chunk without a time or a number is an error here.
+        entries["at"], entries["seq"], entries["size"] = rows.column("at").to_numpy(), rows.column("seq").to_numpy(), np.diff(ends)
+        entries["is_last"] = rows.column("is_last").fill_null(False).to_numpy(zero_copy_only=False)
+        first = np.append(True, streams[1:] != streams[:-1])
+        part = (ends[:-1] - ends[:-1][first][np.cumsum(first) - 1]) // _PACK_BYTES
+        begin = np.flatnonzero(first | np.append(True, part[1:] != part[:-1]))
+        bounds = np.append(begin, n)
+        latest = np.clip(np.maximum.reduceat(entries["at"], begin), *_TIMES)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(latest).cast(pa.timestamp("us", "UTC")), rows.column("stream_id").take(pa.array(begin)),
+                _parts(pa.py_buffer(entries.tobytes()), bounds * _PACK_ENTRY.itemsize), _parts(chunks.buffers()[2], ends[bounds]),
+            ],
+            ["_time", "stream_id", "entries", "data"],
+        )
 
 
 def with_heads(chunks: DataFrame, heads: DataFrame, chunk_lateness: str, head_lateness: str, max_seconds: int) -> DataFrame:
-    """Heads and chunks `(stream_id, ts, seq, chunk, is_last)` as one stream; heads have the salt, the skip class and an end.
+    """Heads and packs of chunks `(stream_id, ts, seq, chunk, is_last)` as one stream.
 
-    A chunk comes at the time of its head or up to `max_seconds` after it. What has no stream or no time meets nothing.
+    A chunk comes at the time of its head or up to `max_seconds` after it. What has no stream or
+    no time meets nothing. A pack is late when all its chunks are.
     """
     heads, chunks = heads.dropna(subset=["stream_id", "ts"]), chunks.dropna(subset=["stream_id", "ts"])
-    head = heads.withColumn("_time", _event_time("ts")).withWatermark("_time", head_lateness).select(
-        "_time", "stream_id", F.unix_micros("ts").alias("at"),
-        F.unix_micros(F.col("ts") + F.make_dt_interval(secs=F.lit(max_seconds))).alias("until"),
-        "salt_id", restore_skip_reason("status", "encoding", F.lit(1)).alias("skip"),
+    until = F.unix_micros(F.col("ts") + F.make_dt_interval(secs=F.lit(max_seconds)))
+    time = F.timestamp_micros(F.greatest(F.least(F.unix_micros("ts"), F.lit(_TIMES[1])), F.lit(_TIMES[0])))
+    head = heads.withColumn("_time", time).withWatermark("_time", head_lateness).select(
+        "_time", "stream_id",
+        F.struct(F.unix_micros("ts").alias("began"), until.alias("until"), "salt_id", restore_skip_reason("status", "encoding", F.lit(1)).alias("skip")).alias("head"),
     )
-    chunk = chunks.withColumn("_time", _event_time("ts")).withWatermark("_time", chunk_lateness).select(
-        "_time", "stream_id", F.unix_micros("ts").alias("at"), "seq", "chunk", "is_last"
-    )
-    return head.unionByName(chunk, allowMissingColumns=True)
+    packs = chunks.select("stream_id", F.unix_micros("ts").alias("at"), "seq", "chunk", "is_last").mapInArrow(pack, _PACK_SCHEMA)
+    return head.unionByName(packs.withWatermark("_time", chunk_lateness), allowMissingColumns=True)
+
+
+def unpacked(entries: bytes, data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
+    """`(at, seq, chunk, is_last)` of a pack's chunks."""
+    begin = 0
+    for at, seq, size, is_last in struct.iter_unpack(PACK_ENTRY, entries):
+        yield at, seq, data[begin : begin + size], is_last
+        begin += size
 
 
 class ResponseRecutter(StatefulProcessor):
@@ -81,31 +129,44 @@ class ResponseRecutter(StatefulProcessor):
         in_state = stored is not None and until is None
         held: dict[tuple[int, int], tuple[bytes, bool]] = {}
         last_held, new_head = None, False
-
-        def emitted(at: int, seq: int, chunk: bytes, is_last: bool) -> Iterator[Row]:
-            if began <= at <= until:
-                for n, out, is_text in order.add(seq, chunk, is_last):
-                    yield Row(stream_id=key[0], seq=n, chunk=out, restorable=is_text, salt_id=salt_id, skip=skip)
+        # Chunks that go out one after the other, as text or not.
+        out, first, out_bytes, out_text = [], order.next_seq, 0, True
+
+        def packed() -> Row:
+            return Row(stream_id=key[0], seq=first, chunks=out, restorable=out_text, salt_id=salt_id, skip=skip)
+
+        def ready(chunks) -> Iterator[Row]:
+            nonlocal out, first, out_bytes, out_text
+            for at, seq, chunk, is_last in chunks:
+                if not began <= at <= until:
+                    continue
+                for n, emit, is_text in order.add(seq, chunk, is_last):
+                    if out and (is_text != out_text or out_bytes >= _PACK_BYTES):
+                        yield packed()
+                        out, first, out_bytes = [], n, 0
+                    out.append(emit)
+                    out_bytes, out_text = out_bytes + len(emit), is_text
 
         for row in rows:
-            if until is not None:
-                if row.until is None:
-                    yield from emitted(row.at, row.seq, row.chunk, row.is_last)
-            elif row.until is None:
-                held[row.at, row.seq] = (bytes(row.chunk), bool(row.is_last))
-                last_held = row.at if last_held is None else max(last_held, row.at)
-                if len(held) > _HELD_IN_MEMORY:
-                    self._keep(held)
-                    in_state = True
-            else:
-                began, until, salt_id, skip, new_head = row.at, row.until, row.salt_id, row.skip, True
-                order.is_text = skip is None
-                for (at, seq), entry in held.items():
-                    yield from emitted(at, seq, *entry)
+            if row.head is None:
+                if until is not None:
+                    yield from ready(unpacked(row.entries, row.data))
+                    continue
+                for at, seq, chunk, is_last in unpacked(row.entries, row.data):
+                    held[at, seq] = (chunk, is_last)
+                    last_held = at if last_held is None else max(last_held, at)
+                    if len(held) > _HELD_IN_MEMORY:
+                        self._keep(held)
+                        in_state = True
+            elif until is None:
+                began, until, salt_id, skip = (row.head[name] for name in ("began", "until", "salt_id", "skip"))
+                new_head, order.is_text = True, skip is None
+                yield from ready((*at_seq, *entry) for at_seq, entry in held.items())
                 if in_state:
-                    for (at, seq), entry in self._held.iterator():
-                        yield from emitted(at, seq, *entry)
+                    yield from ready((*at_seq, *entry) for at_seq, entry in self._held.iterator())
                     self._held.clear()
+        if out:
+            yield packed()
         if until is None:
             self._keep(held)
             self._forget_after(last_held)
@@ -145,12 +206,15 @@ class ResponseRecutter(StatefulProcessor):
 
 def recut_responses(matched: DataFrame, ttl_seconds: int | None = None) -> DataFrame:
     """Re-cut chunks with their salt and skip class; those of skipped responses are as they came."""
-    return matched.groupBy("stream_id").transformWithState(
+    packs = matched.groupBy("stream_id").transformWithState(
         statefulProcessor=ResponseRecutter(ttl_seconds),
-        outputStructType=RESPONSE_SCHEMA,
+        outputStructType=_REPACKED_SCHEMA,
         outputMode="append",
         timeMode="eventTime" if ttl_seconds is None else "processingTime",
     )
+    return packs.select("*", F.posexplode("chunks").alias("_n", "chunk")).select(
+        "stream_id", (F.col("seq") + F.col("_n")).alias("seq"), "chunk", "restorable", "salt_id", "skip"
+    )
 
 
 def restored_responses(safe_chunks: DataFrame, mapping: DataFrame) -> DataFrame:
