@@ -592,7 +592,7 @@ def test_responses_take_little_disk(spark, tmp_path):
     query = responses.restore_responses_to(matched, lambda: mapping, str(tmp_path / "out"), str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress) == 6
-    assert spark.read.schema(responses.RESPONSE_SCHEMA).parquet(str(tmp_path / "out-staged")).count() == 0
+    assert spark.read.schema("stream_id string").parquet(str(tmp_path / "out-staged")).count() == 0
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("stream_id", "seq").collect()
     assert [(r.stream_id, r.seq, bytes(r.chunk)) for r in got] == [(s, i, bytes(c)) for s, at, i, c, _ in pieces if s and at]
     assert {r.skip_reason for r in got} == {None}
@@ -626,3 +626,39 @@ def test_late_heads_and_chunks_of_responses(spark, tmp_path):
     assert run([("headless", 0), ("new", 501)], [("half", 1, 1, True), ("new", 501, 0, True)]) == 2
     got = spark.read.parquet(f"{folder}/out").collect()
     assert sorted((r.stream_id, r.seq) for r in got) == [("done", 0), ("half", 0), ("new", 0)]
+
+
+def test_chunks_meet_few_salts_without_a_shuffle(spark, tmp_path):
+    """However large the mapping is, its salts say how large they are, and chunks are judged where they are."""
+    use_state_store(spark)
+    began = datetime(2024, 5, 1)
+    chunk_schema = "stream_id string, ts timestamp, seq bigint, chunk binary, is_last boolean"
+    body = f"a {mint('x')} b".encode()
+    spark.createDataFrame([(f"s{k}", began, 0, bytearray(body), True) for k in range(4)], chunk_schema).write.parquet(str(tmp_path / "chunks"))
+    heads = [(f"s{k}", began, 204 if k == 3 else 200, None, ["salt", "unused", None, "salt"][k]) for k in range(4)]
+    spark.createDataFrame(heads, responses.HEAD_SCHEMA).write.parquet(str(tmp_path / "heads"))
+    spark.range(30_000).select(F.lit("salt").alias("salt_id"), F.concat(F.lit("<<hs:"), F.md5(F.col("id").cast("string")), F.lit(">>")).alias("placeholder"), F.md5(F.uuid()).alias("secret"), F.col("id").alias("last_seq")).union(
+        spark.createDataFrame([("salt", mint("x"), "x", 0)], MAPPING_SCHEMA)
+    ).write.parquet(str(tmp_path / "mapping"))
+    matched = responses.with_heads(
+        spark.readStream.schema(chunk_schema).parquet(str(tmp_path / "chunks")), spark.readStream.schema(responses.HEAD_SCHEMA).parquet(str(tmp_path / "heads")), "1 minute", "1 minute", 60,
+    )
+    plans, judge = [], responses.judged
+
+    def seen(safe_chunks, salts):
+        df = judge(safe_chunks, salts)
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return df
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        responses.judged = seen
+        query = responses.restore_responses_to(matched, lambda: spark.read.parquet(str(tmp_path / "mapping")), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        responses.judged = judge
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+    got = {r.stream_id: (bytes(r.chunk), r.skip_reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {"s0": (b"a x b", None), "s1": (body, "nothing_to_restore"), "s2": (body, "nothing_to_restore"), "s3": (body, "no_content")}

@@ -217,16 +217,16 @@ def recut_responses(matched: DataFrame, ttl_seconds: int | None = None) -> DataF
     )
 
 
-def restored_responses(safe_chunks: DataFrame, mapping: DataFrame) -> DataFrame:
-    """`(stream_id, seq, chunk, skip_reason)` of the re-cut chunks of one batch.
+def judged(safe_chunks: DataFrame, salts: DataFrame) -> DataFrame:
+    """Re-cut chunks with the reason to skip them; a salt without any mapping row is one more."""
+    known = safe_chunks.join(salts.withColumn("_known", F.lit(True)), "salt_id", "left")
+    reason = F.coalesce("skip", F.when(F.col("_known").isNull(), "nothing_to_restore"))
+    return known.select("stream_id", "seq", "chunk", "restorable", "salt_id", reason.alias("skip_reason"))
 
-    A salt without any mapping row is one more reason to skip.
-    """
-    salts = mapping.select("salt_id").distinct().withColumn("_known", F.lit(True))
-    judged = safe_chunks.join(salts, "salt_id", "left").withColumn(
-        "skip_reason", F.coalesce("skip", F.when(F.col("_known").isNull(), "nothing_to_restore"))
-    )
-    texts = judged.withColumns(
+
+def restored_responses(judged_chunks: DataFrame, mapping: DataFrame) -> DataFrame:
+    """`(stream_id, seq, chunk, skip_reason)` of the judged chunks of one batch."""
+    texts = judged_chunks.withColumns(
         {
             "_id": F.concat_ws(" ", "stream_id", "seq"),
             "_text": F.when(F.col("restorable") & F.col("skip_reason").isNull(), F.col("chunk").try_cast("string")),
@@ -242,6 +242,11 @@ def restore_responses_to(
     """Streaming sink of restored responses, with the mapping as it is at each batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_restored(batch, lambda safe: restored_responses(safe, mapping()), path, batch_id)
+        now, spark = mapping(), batch.sparkSession
+        # The salts are written first, since from a table's own size the planner sees whether all chunks
+        # have to be shuffled to meet them; and chunks meet them once, not at each reading.
+        now.select("salt_id").distinct().write.mode("overwrite").parquet(f"{path}-salts")
+        salts = spark.read.schema("salt_id string").parquet(f"{path}-salts")
+        write_restored(judged(batch, salts), lambda safe: restored_responses(safe, now), path, batch_id)
 
     return recut_responses(matched, ttl_seconds).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
