@@ -548,6 +548,18 @@ def test_packs_hold_all_chunks():
     assert [b.num_rows for b in responses.pack(iter([whole.slice(0, 0)]))] == []
 
 
+def test_packs_are_smaller_than_their_chunks():
+    """Texts shrink on their way; what does not, or is short, goes as it is."""
+    text, noise = b"a text of some words, " * 4, random.Random(6).randbytes(88)
+    rows = [{"stream_id": s, "at": 0, "seq": n, "chunk": c, "is_last": False} for s, c, m in (("text", text, 30), ("noise", noise, 1), ("short", text, 2)) for n in range(m)]
+    schema = pa.schema([("stream_id", pa.string()), ("at", pa.int64()), ("seq", pa.int64()), ("chunk", pa.binary()), ("is_last", pa.bool_())])
+    (batch,) = responses.pack(iter([pa.RecordBatch.from_pylist(rows, schema)]))
+    packs = {r["stream_id"]: r for r in batch.to_pylist()}
+    assert len(packs["text"]["data"]) < 30 * len(text) // 3
+    assert packs["noise"]["data"] == noise and packs["short"]["data"] == text * 2
+    assert [c for _, _, c, _ in responses.unpacked(packs["text"]["entries"], packs["text"]["data"])] == [text] * 30
+
+
 def test_responses_forget_what_can_no_longer_meet():
     def after(rows):
         handle = Handle()

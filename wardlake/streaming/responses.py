@@ -33,7 +33,9 @@ RESPONSE_SCHEMA = f"{RECUT_SCHEMA}, salt_id string, skip string"
 # Chunks whose head is not there yet are kept in memory up to this many, then in state.
 _HELD_IN_MEMORY = 1024
 # A pack is closed by the chunk that reaches so many bytes; its entries are time, number, bytes and whether it is the last.
+# Its data are compressed if that makes them shorter, which is not tried on a few bytes.
 _PACK_BYTES = 16_384
+_LEAST_COMPRESSED = 256
 PACK_ENTRY = "<qqi?"
 _PACK_ENTRY = np.dtype([("at", "<i8"), ("seq", "<i8"), ("size", "<i4"), ("is_last", "?")])
 _PACK_SCHEMA = "_time timestamp, stream_id string, entries binary, data binary"
@@ -42,13 +44,14 @@ _REPACKED_SCHEMA = "stream_id string, seq bigint, chunks array<binary>, restorab
 _TIMES = (-62_135_510_400_000_000, 253_402_128_000_000_000)
 
 
-def _parts(values: pa.Buffer | None, bounds: np.ndarray) -> pa.Array:
-    """Binary values that lie one behind the other in a buffer."""
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), values or pa.py_buffer(b"")])
+def _shortened(data: pa.Buffer, codec: pa.Codec) -> bytes:
+    compressed = codec.compress(data, asbytes=True) if data.size >= _LEAST_COMPRESSED else None
+    return compressed if compressed is not None and len(compressed) < data.size else data.to_pybytes()
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks `(stream_id, at, seq, chunk, is_last)` of a stream within a batch as packs, at the time of the latest of them."""
+    codec = pa.Codec("zstd", compression_level=1)
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,12 +67,15 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.append(True, streams[1:] != streams[:-1])
         part = (ends[:-1] - ends[:-1][first][np.cumsum(first) - 1]) // _PACK_BYTES
         begin = np.flatnonzero(first | np.append(True, part[1:] != part[:-1]))
-        bounds = np.append(begin, n)
+        data = chunks.buffers()[2] or pa.py_buffer(b"")
+        bounds = np.append(begin, n).tolist()
+        spans = list(zip(bounds, bounds[1:]))
         latest = np.clip(np.maximum.reduceat(entries["at"], begin), *_TIMES)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(latest).cast(pa.timestamp("us", "UTC")), rows.column("stream_id").take(pa.array(begin)),
-                _parts(pa.py_buffer(entries.tobytes()), bounds * _PACK_ENTRY.itemsize), _parts(chunks.buffers()[2], ends[bounds]),
+                pa.array([entries[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([_shortened(data.slice(ends[a], ends[b] - ends[a]), codec) for a, b in spans], pa.binary()),
             ],
             ["_time", "stream_id", "entries", "data"],
         )
@@ -94,8 +100,12 @@ def with_heads(chunks: DataFrame, heads: DataFrame, chunk_lateness: str, head_la
 
 def unpacked(entries: bytes, data: bytes) -> Iterator[tuple[int, int, bytes, bool]]:
     """`(at, seq, chunk, is_last)` of a pack's chunks."""
+    chunks = list(struct.iter_unpack(PACK_ENTRY, entries))
+    total = sum(size for _, _, size, _ in chunks)
+    if len(data) < total:
+        data = pa.decompress(data, total, "zstd", asbytes=True)
     begin = 0
-    for at, seq, size, is_last in struct.iter_unpack(PACK_ENTRY, entries):
+    for at, seq, size, is_last in chunks:
         yield at, seq, data[begin : begin + size], is_last
         begin += size
 
